@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.llm import chat, decontam, exact_dedup, langid, packing, simhash, warc
+from clademill.llm import chat, decontam, exact_dedup, fuzzy_lines, langid, packing, simhash, warc
 from clademill.llm.common import new_path
 
 
@@ -47,6 +47,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.mapInPandas(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -73,6 +77,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
+    "op3_fuzzy_lines": op3_fuzzy_lines,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
