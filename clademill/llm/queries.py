@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.llm import chat, decontam, exact_dedup, fuzzy_lines, langid, packing, simhash, toxicity, warc
+from clademill.llm import chat, decontam, exact_dedup, fuzzy_lines, html_extract, langid, packing, simhash, toxicity, warc
 from clademill.llm.common import new_path
 
 
@@ -68,6 +68,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -88,6 +92,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_html_main_text": op8_html_main_text,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
