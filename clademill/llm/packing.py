@@ -16,30 +16,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS, CACHED_BYTES = 300_000, 64
+CACHED_WORDS, CACHED_BYTES = 800_000, 64
+#: ASCII punctuation but the apostrophe, which starts tokens such as "'s".
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longest stretch of tokens of a window that is carried over, as a share of a block.
 CARRIED = 0.25
 
 
 class Words(dict):
-    """Token ids (little-endian unsigned 32-bit) of texts without ASCII white space, from a tokenizer that never joins across it."""
+    """Token ids (little-endian unsigned 32-bit) of words, from a tokenizer that lower-cases and never joins tokens across white space
+    or between a letter and punctuation after it. So words are looked up in lower case without their closing punctuation."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
+
+    def encode(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
+        core = word.rstrip(PUNCTUATION)
+        if core and len(core) < len(word) and core.decode("utf-8", "replace").lower()[-1].isalpha():
+            out = self[core] + self[word[len(core) :]]
+        else:
+            out = self.encode(word)
+        self._keep(word, out)
+        return out
+
+    def _keep(self, word: bytes, out: bytes) -> None:
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = out
-        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        """Looks up new words of letters alone together: each is one piece, whose last token is one that ends a word."""
+        new = {c for w in set(words) if (c := w.rstrip(PUNCTUATION)) and c not in self and len(c) <= CACHED_BYTES}
+        plain = [w for w in new if w.decode("utf-8", "replace").lower().isalpha()]
+        if not plain:
+            return
+        ids = np.frombuffer(self.encode(b" ".join(plain)), dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(plain):
+            at = 0
+            for word, stop in zip(plain, (4 * stops).tolist(), strict=True):
+                self._keep(word, ids.data.cast("B")[at:stop].tobytes())
+                at = stop
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if b"<|" in text:  # may start a special token, which is told by its case
+            return self.encode(text)
+        words = text.lower().split()
+        parts = list(map(self.get, words))
+        if None in parts:
+            missing = [i for i, x in enumerate(parts) if x is None]
+            self.learn([words[i] for i in missing])
+            for i in missing:
+                parts[i] = self[words[i]]
+        return b"".join(parts)
+
+
+_SHARED: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """One cache for each worker process and tokenizer, which outlives a task."""
+    if path not in _SHARED:
+        _SHARED[path] = Words(path)
+    return _SHARED[path]
 
 
 class RoomTree:
@@ -180,7 +229,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words = Words(path)
+        words = words_of(path)
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         sequence = TaskContext.get().partitionId() << 36
         types: list = [None]
