@@ -57,8 +57,8 @@ def split_of(df: DataFrame, *names: str) -> list[str]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star steps.
 
-    ``edges`` has two orderable columns ``a`` and ``b``. Returns ``node, root``: each node that has an edge to another node,
-    with the smallest node of its component. Self-loops and rows with a null are ignored; an empty input gives an empty result.
+    ``edges`` has two orderable columns ``a`` and ``b``. Returns ``node, root``: each node that isn't the smallest of its component,
+    with that one. Self-loops and rows with a null are ignored; an empty input gives an empty result.
     Every step is aggregation by key (combined before the shuffle) and an equi-join, and is written to the shared folder.
     """
     now = materialise(
