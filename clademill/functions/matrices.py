@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values, published by Grantham (1974): composition, polarity and molecular volume of each residue, and the weights.
@@ -15,8 +17,8 @@ WEIGHTS, SCALE = (1.833, 0.1018, 0.000399), 50.723
 
 
 def grantham(a: str, b: str) -> float:
-    """The published distance, computed by its formula."""
-    return float(round(SCALE * sum(w * (x - y) ** 2 for w, x, y in zip(WEIGHTS, PROPERTIES[a], PROPERTIES[b], strict=True)) ** 0.5))
+    """The published distance, computed by its formula and rounded up."""
+    return float(math.ceil(SCALE * sum(w * (x - y) ** 2 for w, x, y in zip(WEIGHTS, PROPERTIES[a], PROPERTIES[b], strict=True)) ** 0.5))
 
 
 def parse_matrix(grid: str) -> dict[tuple[str, str], float]:
