@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm.common import components, materialise, split_of
+from clademill.llm.exact_dedup import may_be_in
 
 FAN_OUT = 8
 BLOCK_ROWS = 1 << 20
@@ -66,6 +67,32 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return source.mapInArrow(run, schema)
 
 
+def word_prints(data: bytes, lanes: int) -> list[int]:
+    """``lanes`` independent fingerprints of a text's set of words. Few edits change few words, so near copies differ in few bits."""
+    words = set(data.lower().split())
+    ones, total = np.zeros((lanes, 64), dtype=np.int64), len(words)
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64)
+    for lane in range(lanes if total else 0):
+        for at in range(0, total, 1 << 15):
+            bits = np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[lane] += bits.sum(axis=0, dtype=np.int64)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(31)
+    packed = np.packbits(2 * ones > total, axis=1)
+    return [int.from_bytes(row.tobytes(), "big") if total else 0 for row in packed]
+
+
+def _lanes(lanes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([word_prints(x.as_py() or b"", lanes) for x in batch.column(1)], dtype=np.uint64).reshape(-1, lanes)
+            rids = np.repeat(batch.column(0).to_numpy(), lanes)
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.tile(np.arange(lanes, dtype=np.int32), batch.num_rows)), pa.array(prints.ravel().view(np.int64))], names=["rid", "lane", "print"])
+
+    return run
+
+
 def gray_rank(code: Column) -> Column:
     """The position of ``code`` in the reflected Gray sequence (an exclusive-or over all higher bits)."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -179,7 +206,7 @@ def _meet(k: int, choose):
             found = list(index.pairs(np.cumsum(new) - 1, k))
             if found:
                 i, j = choose(len(code), found)
-                yield pa.RecordBatch.from_arrays([pa.array(code[i]), pa.array(code[j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(code[i]), pa.array(code[j])], names=["part", "a", "b"])
 
         for batch in batches:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
@@ -197,17 +224,19 @@ def _meet(k: int, choose):
 
 
 def linked_prints(prints: DataFrame, k: int = 2, agree: int = 1, whole: bool = True) -> DataFrame:
-    """Edges ``a, b`` among the distinct values of ``print`` that differ in at most ``k`` bits.
+    """Edges ``lane, a, b`` among the distinct values of ``print`` of each ``lane`` that differ in at most ``k`` bits.
 
     ``whole``: a spanning forest of all links that meet under each mask, so that components are exact. Otherwise links of each
     value under each mask to the first and the last in Gray order of its earlier partners, as candidates that are still to be verified.
     """
     choices = masks(k, agree)
     signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    dealt = prints.select(F.col("print").alias("code")).where("code is not null").distinct()
-    dealt = dealt.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("code").bitwiseAND(F.lit(m)).alias("key"), "code") for i, m in enumerate(signed)))).alias("x")).select("x.*")
+    dealt = prints.select("lane", F.col("print").alias("code")).where("code is not null").distinct()
+    parts = (F.struct((F.col("lane") * len(choices) + i).cast("int").alias("part"), F.col("code").bitwiseAND(F.lit(m)).alias("key"), "code") for i, m in enumerate(signed))
+    dealt = dealt.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
     dealt = dealt.repartition("part", "key").sortWithinPartitions("part", "key", gray_rank(F.col("code")))
-    return dealt.mapInArrow(_meet(k, _forest if whole else _nearest), "a long, b long")
+    found = dealt.mapInArrow(_meet(k, _forest if whole else _nearest), "part int, a long, b long")
+    return found.select((F.col("part") / len(choices)).cast("int").alias("lane"), "a", "b")
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, k: int = 2) -> DataFrame:
@@ -218,7 +247,7 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     """
     prints = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ("doc_id",), size), "prints")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = components(linked_prints(prints, k))
+    roots = components(linked_prints(prints.withColumn("lane", F.lit(0)), k))
     linked = firsts.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(lowest, "root").select("print", "component_id")
@@ -245,27 +274,39 @@ def _similar(size: int, least: float):
     return run
 
 
-def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int = 6, agree: int = 2, least: float = 0.8) -> DataFrame:
+def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int = 6, agree: int = 2, least: float = 0.8, lanes: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by pairs whose ``size``-word shingle sets have a Jaccard
     similarity of at least ``least``, the first row stays.
 
-    Fingerprints at most ``k`` bits apart are candidates, which are verified on whole texts. Texts without words equal each other.
-    All columns are returned as they are, whatever their names; an empty table gives an empty one.
+    Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, which are verified on whole
+    texts: first two of each row, then all that would still join different groups. Texts without words equal each other. All columns
+    are returned as they are, whatever their names; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    rid, code = split_of(docs, "rid", "code")
+    (rid,) = split_of(docs, "rid")
     kept = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
-    narrow = kept.select(F.col(rid).alias("rid"), F.col(text).alias("text"))
-    prints = materialise(fingerprints(narrow, "text", ("rid",), size), "prints")
-    firsts = prints.groupBy("print").agg(F.min("rid").alias("first"))
+    texts = kept.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    prints = materialise(texts.mapInArrow(_lanes(lanes), "rid long, lane int, print long"), "prints")
+    firsts = prints.groupBy("lane", "print").agg(F.min("rid").alias("first"))
     edges = linked_prints(prints, k, agree, whole=False).distinct()
-    across = edges.join(firsts.select(F.col("print").alias("a"), F.col("first").alias("x")), "a")
-    across = across.join(firsts.select(F.col("print").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    within = prints.join(firsts, "print").where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y"))
-    pairs = materialise(across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "pairs")
-    texts = narrow.select("rid", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("data").alias("left")), "a")
-    both = both.join(texts.select(F.col("rid").alias("b"), F.col("data").alias("right")), "b").select("a", "b", "left", "right")
-    roots = components(both.mapInArrow(_similar(size, least), "a long, b long"))
-    gone = roots.select(F.col("node").alias(rid))
-    return kept.join(gone, rid, "left_anti").select(*docs.columns)
+    across = edges.join(firsts.select("lane", F.col("print").alias("a"), F.col("first").alias("x")), ["lane", "a"])
+    across = across.join(firsts.select("lane", F.col("print").alias("b"), F.col("first").alias("y")), ["lane", "b"]).select("x", "y")
+    within = prints.join(firsts, ["lane", "print"]).where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y"))
+    pairs = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    pairs = materialise(pairs, "pairs")
+
+    def verified(some: DataFrame) -> DataFrame:
+        wanted = may_be_in(texts, "rid", some.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
+        both = some.join(wanted.select(F.col("rid").alias("a"), F.col("data").alias("left")), "a")
+        both = both.join(wanted.select(F.col("rid").alias("b"), F.col("data").alias("right")), "b").select("a", "b", "left", "right")
+        return materialise(both.mapInArrow(_similar(size, least), "a long, b long"), "verified")
+
+    ends = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    few = materialise(ends.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), "b"), "pairs")
+    sure = verified(few)
+    roots = components(sure)
+    rest = pairs.join(few, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    apart = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = components(sure.union(verified(materialise(apart, "pairs"))))
+    return kept.join(roots.select(F.col("node").alias(rid)), rid, "left_anti").select(*docs.columns)
