@@ -86,7 +86,8 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits:
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     some = flagged.where("maybe")
     order = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    best = some.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    # written, so that the join deals both sides out anew and Spark can split a hot digest's rows
+    best = materialise(some.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
     grouped = some.join(best, "sha").select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.r")).alias("kept"), "sha")
     return alone.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 

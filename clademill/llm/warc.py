@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clademill.llm.common import materialise
+
 
 DICTIONARY_FRAME, PAD_FRAME, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 _PAD = struct.pack("<II", PAD_FRAME, 1)
@@ -129,7 +131,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     source = source.withColumn("sha", F.unhex(F.sha1("payload")))
     large = source.where(F.octet_length("payload") >= least_bytes)
     response = large.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    ready = source.join(response.select("sha", "refers_to"), "sha", "left").select("page_id", "url", "payload", "sha", "refers_to")
+    # written, so that the join deals both sides out anew and Spark can split a hot payload's rows
+    response = materialise(response.select("sha", "refers_to"), "responses")
+    ready = source.join(response, "sha", "left").select("page_id", "url", "payload", "sha", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
