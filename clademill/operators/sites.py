@@ -73,12 +73,18 @@ def windows(sequences: DataFrame, size: int, total: str | None = None) -> DataFr
     """
     count = C.codon_count(F.coalesce(F.col("seq"), F.lit(""))) if total is None else F.col(total)
     rest = [c for c in sequences.columns if c != "seq"]
-    before, after = size // 2, size - 1 - size // 2
-    unknown = lambda k: F.array_repeat(F.lit("?"), k)
-    padded = F.concat(unknown(before), _fitted(codon_array(F.col("seq")), count), unknown(after))
-    rows = sequences.where(count > 0).select(*rest, padded.alias("__codons"), count.alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("w_idx"))
-    rows = rows.select(*rest, "w_idx", F.posexplode(F.slice("__codons", F.col("w_idx") + 1, F.col("__n"))).alias("__at", "__codon"))
-    return rows.select(*rest, (F.col("__at") + 1).alias("site"), "w_idx", C.codon_token(F.col("__codon")).alias("codon_tok"), C.aa_token(F.col("__codon")).alias("aa_tok"))
+    before = size // 2
+    # tokens are made once a codon, then each codon is dealt to the windows that it is in
+    codons = explode_sites(sequences.withColumn("__n", count), "__n")
+    tokens = codons.select(*rest, "__n", F.col("site").alias("__at"), C.codon_token(F.col("codon")).alias("codon_tok"), C.aa_token(F.col("codon")).alias("aa_tok"))
+    dealt = tokens.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("w_idx")).withColumn("site", F.col("__at") + before - F.col("w_idx"))
+    inside = dealt.where((F.col("site") >= 1) & (F.col("site") <= F.col("__n"))).select(*rest, "site", "w_idx", "codon_tok", "aa_tok")
+    edge = sequences.where(count > 0).select(*rest, count.alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("w_idx"))
+    edge = edge.withColumn("__off", F.col("w_idx") - before).where("__off <> 0")
+    first = F.when(F.col("__off") < 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.col("__n") - F.col("__off") + 1))
+    last = F.when(F.col("__off") < 0, F.least(F.col("__n"), -F.col("__off"))).otherwise(F.col("__n"))
+    outside = edge.select(*rest, F.explode(F.sequence(first, last)).alias("site"), "w_idx", F.lit(C.UNKNOWN_CODON).alias("codon_tok"), F.lit(C.UNKNOWN_AA).alias("aa_tok"))
+    return inside.unionByName(outside)
 
 
 def pad_tokens(tokens: DataFrame, column: str, size: int, fill: int) -> DataFrame:
