@@ -24,3 +24,10 @@ def test_sql(spark, name):
     got = sorted((tuple(r) for r in QUERIES[name](spark, sf).select(*columns).collect()), key=repr)
     clean = lambda rows: sorted(repr([round(x, 7) if isinstance(x, float) else x for x in r]) for r in rows)
     assert clean(got) == clean(want)
+
+
+def test_command_line():
+    from clademill.__main__ import options
+
+    a = options(["x.nex", "--reference", "hg38", "--use-zscore", "--z-1", "3"])
+    assert (a.alignments, a.reference, a.use_zscore, a.z_1, a.percentile_2, a.max_species) == ("x.nex", "hg38", True, 3.0, 97.0, 256)
