@@ -67,8 +67,9 @@ def subsample(rows: DataFrame, key: str, limit: int) -> DataFrame:
 def batches(rows: DataFrame, key: str, size: int, epoch: int = 0) -> DataFrame:
     """``rows`` with ``batch``, shuffled anew for each epoch; a short last batch is dropped if there is a full one."""
     n = rows.count()
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(epoch), F.col(key)), key)) - 1
-    out = rows.withColumn("batch", F.floor(place / size))
+    marked = rows.withColumn("__hash", F.xxhash64(F.lit(epoch), F.col(key))).withColumn("__one", F.lit(1.0))
+    placed = running_totals(marked, "__hash", "__one", descending=False)
+    out = placed.withColumn("batch", F.floor(F.col("before___one") / size)).drop("__hash", "__one", "before___one")
     return out.where(F.col("batch") < n // size) if n >= size else out
 
 
