@@ -23,6 +23,9 @@ from clademill.llm.exact_dedup import may_be_in
 FAN_OUT = 8
 BLOCK_ROWS = 1 << 20
 FRONTIER = 1 << 20
+#: Bands of minima of shingles, by which near copies meet that the fingerprints of words miss.
+BANDS, ROWS = 25, 5
+_FLIPS, _FACTORS = (np.random.default_rng(i).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (1, 2))
 
 
 def shingle_hashes(data: bytes, size: int) -> Iterator[np.ndarray]:
@@ -93,6 +96,29 @@ def _lanes(lanes: int):
     return run
 
 
+def shingle_bands(data: bytes, size: int, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, int]:
+    """A key for each band of ``rows`` minima of a text's set of ``size``-word shingles, and the set's size. Two texts agree on a band
+    with probability ``similarity ** rows``, whatever the kind of edit: at 0.8 on one of 25 bands of 5 with 0.99995."""
+    pieces = list(shingle_hashes(data, size)) or [np.zeros(1, np.uint64)]
+    hashes = np.unique(np.concatenate(pieces))
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 11):
+        np.minimum(low, ((hashes[at : at + (1 << 11), None] ^ _FLIPS[: len(low)]) * _FACTORS[: len(low)]).min(axis=0), out=low)
+    keys = (low.reshape(bands, rows) * _FACTORS[-rows:]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return keys ^ (keys >> np.uint64(31)), len(hashes)
+
+
+def _banded(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = zip(*(shingle_bands(x.as_py() or b"", size) for x in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+            rids, n = np.repeat(batch.column(0).to_numpy(), BANDS), np.repeat(np.array(sizes, np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(n)], names=["rid", "key", "n"])
+
+    return run
+
+
 def gray_rank(code: Column) -> Column:
     """The position of ``code`` in the reflected Gray sequence (an exclusive-or over all higher bits)."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -278,8 +304,9 @@ def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int
     """The rows of ``docs`` without near copies: of each group linked by pairs whose ``size``-word shingle sets have a Jaccard
     similarity of at least ``least``, the first row stays.
 
-    Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, which are verified on whole
-    texts: first two of each row, then all that would still join different groups. Texts without words equal each other. All columns
+    Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, and so are the rows of a band of
+    minima of shingles with its first and its last row. They are verified on whole texts: first two of each row, then all that would
+    still join different groups. Texts without words equal each other. All columns
     are returned as they are, whatever their names; an empty table gives an empty one.
     """
     (rid,) = split_of(docs, "rid")
@@ -291,7 +318,10 @@ def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int
     across = edges.join(firsts.select("lane", F.col("print").alias("a"), F.col("first").alias("x")), ["lane", "a"])
     across = across.join(firsts.select("lane", F.col("print").alias("b"), F.col("first").alias("y")), ["lane", "b"]).select("x", "y")
     within = prints.join(firsts, ["lane", "print"]).where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y"))
-    pairs = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    bands = materialise(texts.mapInArrow(_banded(size), "rid long, key long, n long"), "bands")
+    met = bands.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
+    met = bands.join(met, "key").select(F.explode(F.array("low", "high")).alias("x"), F.col("rid").alias("y"))
+    pairs = across.union(within).union(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
     pairs = materialise(pairs, "pairs")
 
     def verified(some: DataFrame) -> DataFrame:

@@ -116,6 +116,21 @@ def test_near_dedup(spark):
     assert simhash.near_deduplicate(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_finds_block_edits(spark):
+    rng = random.Random(11)
+    many = [f"v{i}" for i in range(5000)]
+    texts = [[rng.choice(many) for _ in range(rng.randint(80, 400))] for _ in range(160)]
+    fresh = lambda n: [rng.choice(many) for _ in range(n)]
+    near = []
+    for i, words in enumerate(texts):
+        n, at = len(words), len(words) // 3
+        near.append((words[: int(n * 0.84)], words + fresh(int(n * 0.18)), words[:at] + fresh(int(n * 0.05)) + words[at + int(n * 0.05) :], words[int(n * 0.1) :])[i % 4])
+    sets = [[set(zip(*(w[j:] for j in range(5)), strict=False)) for w in pair] for pair in zip(texts, near, strict=True)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts + near)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in simhash.near_deduplicate(docs).collect()} == set(range(160))
+
+
 def brute_lines(docs, least=0.8, size=8):
     first = {}
     for i, t in docs:
