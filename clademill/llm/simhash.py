@@ -25,6 +25,7 @@ BLOCK_ROWS = 1 << 20
 FRONTIER = 1 << 20
 #: Bands of minima of shingles, by which near copies meet that the fingerprints of words miss.
 BANDS, ROWS = 25, 5
+PAIR_BLOCK = 1 << 20
 _FLIPS, _FACTORS = (np.random.default_rng(i).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (1, 2))
 
 
@@ -300,13 +301,40 @@ def _similar(size: int, least: float):
     return run
 
 
+def _apart(least: float):
+    """Pairs of rows of one ``key`` with different roots; only sizes that rule the similarity out are left out."""
+
+    def pairs(rid: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rid), 1 << 10):
+            for j in range(i, len(rid), 1 << 10):
+                x, y = slice(i, i + (1 << 10)), slice(j, j + (1 << 10))
+                low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+                a, b = np.nonzero((root[x, None] != root[None, y]) & (low >= least * high) & ((i < j) | (rid[x, None] < rid[None, y])))
+                first, second = rid[x][a], rid[y][b]
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            edges = np.flatnonzero(np.diff(held[0])) + 1
+            for group in np.split(held, edges, axis=1)[:-1] if len(edges) else ():
+                yield from pairs(*group[1:])
+            held = held[:, edges[-1] :] if len(edges) else held
+        yield from pairs(*held[1:])
+
+    return run
+
+
 def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int = 6, agree: int = 2, least: float = 0.8, lanes: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by pairs whose ``size``-word shingle sets have a Jaccard
     similarity of at least ``least``, the first row stays.
 
     Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, and so are the rows of a band of
     minima of shingles with its first and its last row. They are verified on whole texts: first two of each row, then all that would
-    still join different groups. Texts without words equal each other. All columns
+    still join different groups, and at last all rows of a band against each other as far as they are in different groups, in blocks
+    of about ``PAIR_BLOCK`` pairs: where many texts that are no near copies share a band, that is work with the square of their number. Texts without words equal each other. All columns
     are returned as they are, whatever their names; an empty table gives an empty one.
     """
     (rid,) = split_of(docs, "rid")
@@ -338,5 +366,20 @@ def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int
     for c in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
     apart = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = components(sure.union(verified(materialise(apart, "pairs"))))
+    sure = sure.union(verified(materialise(apart, "pairs")))
+    roots = components(sure)
+    rooted = bands.join(roots, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("root", "rid").alias("root"), "n")
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("rows > 3 and low <> high").select("key")  # up to three rows have all met
+    crowd = rooted.join(mixed, "key").repartition("key").sortWithinPartitions("key")
+    left = crowd.mapInArrow(_apart(least), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    left = materialise(left, "pairs")
+    blocks = -(-left.count() // PAIR_BLOCK)
+    for i in range(blocks):
+        some = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == i)
+        for c in ("a", "b"):
+            some = some.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+        some = some.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        sure = sure.union(verified(materialise(some, "pairs")))
+        roots = components(sure)
     return kept.join(roots.select(F.col("node").alias(rid)), rid, "left_anti").select(*docs.columns)

@@ -131,6 +131,40 @@ def test_near_dedup_finds_block_edits(spark):
     assert {r.doc_id for r in simhash.near_deduplicate(docs).collect()} == set(range(160))
 
 
+def test_near_dedup_in_a_crowd(spark):
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(200)]
+    slots = range(2, 160, 10)
+
+    def varied():
+        return [f"{w}-{rng.randrange(4)}" if k in slots else w for k, w in enumerate(base)]
+
+    texts = [varied() for _ in range(400)]
+    near = [w[:-34] for w in texts[100:180]]
+    rows = texts[:180] + near + texts[180:]
+    sets = [set(zip(*(w[j:] for j in range(5)), strict=False)) for w in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = set(components_of(range(len(rows)), links).values())
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    old, simhash.PAIR_BLOCK = simhash.PAIR_BLOCK, 40_000
+    try:
+        assert {r.doc_id for r in simhash.near_deduplicate(docs).collect()} == want and len(want) >= 300
+    finally:
+        simhash.PAIR_BLOCK = old
+
+
+def test_all_rows_of_a_band_meet():
+    rng = np.random.default_rng(13)
+    key, rid = np.sort(rng.integers(0, 4, 3000)), rng.permutation(3000)
+    root, n = rng.integers(0, 40, 3000), rng.integers(50, 100, 3000)
+    batches = [simhash.pa.RecordBatch.from_arrays([x[at : at + 700] for x in map(simhash.pa.array, (key, rid, root, n))], names=["key", "rid", "root", "n"]) for at in range(0, 3000, 700)]
+    got = [(a, b) for x in simhash._apart(0.8)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    i, j = np.triu_indices(3000, 1)
+    meet = (key[i] == key[j]) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= 0.8 * np.maximum(n[i], n[j]))
+    want = {(min(a, b), max(a, b)) for a, b in zip(rid[i[meet]].tolist(), rid[j[meet]].tolist(), strict=True)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def brute_lines(docs, least=0.8, size=8):
     first = {}
     for i, t in docs:
