@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: 1 marks a token position that counts.
 MASKS = ("1101100111", "1110010111", "11010111001")
+#: Any overlap has a shortest part of at most 31 tokens that counts, and that part has a run of three equal tokens (of two in an item
+#: of five), as at most a fifth of it differs. So these seeds miss nothing; their many hits are first judged by ``REACH`` tokens around.
+RUNS, REACH, HITS = ("11", "111"), 28, 1 << 17
 BLOCK_BYTES = 8 << 20
 #: An overlap counts from so many equal tokens (or the whole of a shorter item) and this share of equal tokens.
 LEAST_TOKENS, LEAST_SHARE, PENALTY = 13, 0.8, 3
@@ -59,10 +62,10 @@ class SeedIndex:
             elif len(ids):
                 self.items.append((item, ids))
         shortest = min(map(len, MASKS))
-        self.masks = list(MASKS) + ["1" * n for n in range(SHORTEST, shortest) if any(len(x) == n for _, x in self.items)]
+        self.masks = list(MASKS) + [m for m in RUNS if any((len(x) == SHORTEST) == (m == "11") for _, x in self.items)] + ["1" * n for n in range(SHORTEST, shortest) if any(len(x) == n for _, x in self.items)]
         self.tables = []
         for mask in self.masks:
-            own = [(i, x) for i, (_, x) in enumerate(self.items) if len(x) == len(mask) or (mask in MASKS and len(x) >= shortest)]
+            own = [(i, x) for i, (_, x) in enumerate(self.items) if len(x) == len(mask) or (mask in MASKS and len(x) >= shortest) or (mask in RUNS and (len(x) == SHORTEST) == (mask == "11"))]
             found = [(_hashes(x, mask), i) for i, x in own]
             h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
             at = np.concatenate([np.stack([np.full(len(x), i), np.arange(len(x))], 1) for x, i in found]) if found else np.zeros((0, 2), int)
@@ -70,6 +73,36 @@ class SeedIndex:
             some = np.zeros(1 << 20, bool)
             some[h >> np.uint64(44)] = True
             self.tables.append((mask, h[order], at[order], some))
+        # all items in a row, zeros between them, so that the surroundings of many hits are compared at once
+        gap = np.zeros(REACH, np.uint64)
+        self.row = np.concatenate([gap, *(y for _, x in self.items for y in (x, gap))])
+        sizes = np.array([len(x) for _, x in self.items], np.int64)
+        self.starts = REACH + np.cumsum(sizes + REACH) - sizes - REACH
+        self.need = np.minimum(LEAST_TOKENS, np.ceil(LEAST_SHARE * sizes)).astype(np.int64)
+
+    def _near_hits(self, ids: np.ndarray, ends: np.ndarray, mask: str, h: np.ndarray, at: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``text number, place, item, its place`` of a run's hits with enough equal tokens around them, one for each diagonal."""
+        own = _hashes(ids, mask)
+        p = np.flatnonzero(some[own >> np.uint64(44)])
+        low, high = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
+        p, low, n = p[high > low], low[high > low], (high - low)[high > low]
+        around = np.arange(-REACH, REACH + 1)
+        wide = np.concatenate([np.zeros(REACH, np.uint64), ids, np.zeros(REACH, np.uint64)])
+        seen: set[tuple[int, int, int]] = set()
+        bounds = np.cumsum(n)
+        for first in range(0, int(bounds[-1]) if len(n) else 0, HITS):
+            k = np.arange(first, min(first + HITS, int(bounds[-1])))
+            of = np.searchsorted(bounds, k, "right")
+            place, (i, q) = p[of], at[low[of] + k - (bounds[of] - n[of])].T
+            mine, theirs = wide[place[:, None] + REACH + around], self.row[(self.starts[i] + q)[:, None] + around]
+            # places beyond the item's ends or another text's tokens only add to the count, so nothing is lost
+            enough = np.flatnonzero(((mine == theirs) & (mine != 0)).sum(axis=1) >= self.need[i])
+            for x in enough.tolist():
+                text = int(np.searchsorted(ends, place[x], "right"))
+                mark = (text, int(i[x]), int(place[x] - q[x]))
+                if place[x] + len(mask) <= ends[text] and mark not in seen:
+                    seen.add(mark)
+                    yield text, int(place[x]), int(i[x]), int(q[x])
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, object, int, int, int, int]]:
         """``text number, item_id, doc_start, item_start, overlap, equal``, in tokens: the best overlap of each text and item."""
@@ -82,6 +115,13 @@ class SeedIndex:
                     yield n, item, 0, 0, len(x), len(x)
         best: dict[tuple[int, int], tuple] = {}
         for mask, h, at, some in self.tables:
+            if mask in RUNS:
+                for n, p, i, q in self._near_hits(ids, ends, mask, h, at, some):
+                    begin = int(ends[n] - len(docs[n]))
+                    found, known = self._overlap(ids[begin : ends[n]], self.items[i][1], p - begin, q, mask), best.get((n, i))
+                    if found and (not known or found[3] > known[3]):
+                        best[n, i] = (*found, p - begin - q)
+                continue
             own = _hashes(ids, mask)
             for p in np.flatnonzero(some[own >> np.uint64(44)]):
                 low, high = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
@@ -104,7 +144,8 @@ class SeedIndex:
 
     @staticmethod
     def _overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int, mask: str) -> tuple[int, int, int, int] | None:
-        """The best-scoring stretch around a hit without shifts: +1 for an equal token, -PENALTY for a substituted one."""
+        """The best-scoring stretch around a hit without shifts: +1 for an equal token, -PENALTY for a substituted one. Where it has too
+        few equal tokens, the stretch of the diagonal with the most of them among those that meet the share."""
         back, ahead = min(p, q), min(len(doc) - p, len(item) - q)
         same = doc[p - back : p + ahead] == item[q - back : q + ahead]
         if any(x == "1" and not same[back + i] for i, x in enumerate(mask)):
@@ -117,6 +158,16 @@ class SeedIndex:
         equal, length = int(same[start:stop].sum()), stop - start
         if equal >= LEAST_SHARE * length and equal >= min(LEAST_TOKENS, math.ceil(LEAST_SHARE * len(item))):
             return p - back + start, q - back + start, length, equal
+        # share >= LEAST_SHARE means that no more than a fifth differs: the sum of equal - 4 * different isn't negative
+        total = np.append(0, np.cumsum(np.where(same, 1, -4)))
+        reach = np.maximum.accumulate(total[::-1])[::-1]
+        stops = len(total) - np.searchsorted(reach[::-1], total, "left") - 1
+        count = np.append(0, np.cumsum(same))
+        start = int((count[stops] - count).argmax())
+        hits = np.flatnonzero(same[start : stops[start]])
+        if len(hits) >= min(LEAST_TOKENS, math.ceil(LEAST_SHARE * len(item))):
+            start, length = start + int(hits[0]), int(hits[-1] - hits[0]) + 1
+            return p - back + start, q - back + start, length, len(hits)
         return None
 
 

@@ -220,3 +220,17 @@ def test_decontamination(spark):
         assert {(r.doc_id, r.item_id) for r in decontam.overlaps(table, bench).collect()} == want
     finally:
         decontam.BLOCK_BYTES = old
+
+
+@pytest.mark.parametrize("n, changed", [(5, 1), (6, 1), (10, 2), (12, 2), (15, 2), (15, 3), (20, 3), (20, 4), (30, 6)])
+def test_short_items_with_substitutions(n, changed):
+    rng = random.Random(n * 10 + changed)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i in range(100)]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        for k in rng.sample(range(n), changed):
+            words[k] = "changed"
+        texts.append(f"{prose(rng, 50)} {' '.join(words)} {prose(rng, 50)}")
+    found = {x[0]: x[1] for x in decontam.SeedIndex(items).matches(texts)}
+    assert found == {i: i for i in range(100)}
