@@ -4,7 +4,9 @@ A line's signature hashes the character shingles that start a word (every shingl
 Whether a shingle is taken depends on its own surroundings alone, so it is the same in both lines of a pair. The hashes fall into
 ``BANDS`` classes by remainder, and a band is the ``ROWS`` smallest of its class: two lines agree on a band with the probability
 that so many minima of their union are shared, about ``similarity ** ROWS``. Lines that agree on a band are compared with the
-first and the last of them by exact Jaccard similarity over all their shingles, and distributed union-find joins what links.
+first and the last of them by exact Jaccard similarity over all their shingles, and distributed union-find joins what links. Lines of
+a band that are still in different groups then are all compared, in blocks: where many lines that don't link share a band, that is
+work with the square of their number.
 
 At a similarity of 0.8 a pair meets in one of the bands with probability 0.995.
 """
@@ -14,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import components, materialise
+from clademill.llm.common import components, discard, materialise
 from clademill.llm.exact_dedup import flag_repeats, may_be_in, repeated_cells
 
 SHINGLE, BANDS, ROWS, LEAST = 8, 10, 4, 0.8
+#: Lines of crowded bands are compared in blocks of about so many pairs.
+PAIR_BLOCK = 1 << 24
 
 
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -65,9 +69,12 @@ def each_once(lines_: DataFrame, keys: DataFrame) -> DataFrame:
     return flagged.where("not maybe").select("line").union(flagged.where("maybe").select("line").distinct())
 
 
-def candidates(lines_: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def dealt_bands(lines_: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    return lines_.select(line_key(F.col("line")).alias("key"), F.explode(band_keys(F.col("line"), size, bands, rows)).alias("band"))
+
+
+def candidates(dealt: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of keys of different lines that share a band, one of each being the first or the last of the band."""
-    dealt = lines_.select(line_key(F.col("line")).alias("key"), F.explode(band_keys(F.col("line"), size, bands, rows)).alias("band"))
     dealt = dealt.repartition("band")
     ends = dealt.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     met = dealt.join(ends.hint("shuffle_hash"), "band").select("key", "low", "high").distinct()
@@ -75,6 +82,32 @@ def candidates(lines_: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows:
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def _rooted(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
+    return df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def linked(lines_: DataFrame, dealt: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``node, root`` of the groups that similar pairs link: of all lines that share a band, as far as they aren't joined already."""
+    pairs = materialise(candidates(dealt), "pairs")
+    sure = materialise(similar_pairs(lines_, pairs, size, least), "similar")
+    roots = components(sure)
+    rooted = _rooted(dealt, roots, "key", "root")
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowd = materialise(rooted.join(mixed.where("n > 3 and low <> high").select("band", "n"), "band"), "crowd")  # up to three lines have all met
+    total = crowd.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // (2 * PAIR_BLOCK))
+    for i in range(blocks):
+        crowd_now = _rooted(crowd.select("band", "key"), roots, "key", "root")
+        left = crowd_now.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).select("band", F.col("key").alias("a"), F.col("root").alias("x"))
+        right = crowd_now.select("band", F.col("key").alias("b"), F.col("root").alias("y"))
+        met = left.join(right, "band").where("a < b and x <> y").select("a", "b").distinct()
+        met = materialise(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        sure = sure.union(materialise(similar_pairs(lines_, met, size, least), "similar"))
+        roots = components(sure)
+        discard(met)
+    return roots
+
+
 def similar_pairs(lines_: DataFrame, pairs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Those of ``pairs`` whose lines have a Jaccard similarity of at least ``least`` over their shingles.
 
@@ -101,8 +134,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     """
     full = lines(docs, text, doc_id).where("line <> ''")
     narrow = materialise(full.select("doc_id", "line_no", line_key(F.col("line")).alias("key")), "places")
-    pairs = materialise(candidates(each_once(full, narrow), size, bands, rows), "pairs")
-    roots = components(similar_pairs(full, pairs, size, least))
+    roots = linked(full, materialise(dealt_bands(each_once(full, narrow), size, bands, rows), "bands"), size, least)
     firsts = narrow.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     named = materialise(firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "key").alias("root")), "keys")
     heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))

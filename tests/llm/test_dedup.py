@@ -194,6 +194,20 @@ def test_fuzzy_lines(spark):
     assert fuzzy_lines.classify(table.limit(0)).count() == 0
 
 
+def test_fuzzy_lines_in_a_crowd(spark, monkeypatch):
+    rng = random.Random(14)
+    base = prose(rng, 60).split()
+    varied = lambda: " ".join(f"{w}x{rng.choice('abcd') * 6}" if k % 6 == 2 else w for k, w in enumerate(base))
+    rows = [varied() for _ in range(300)]
+    rows += [" ".join(x.split()[:-7]) for x in rows[:60]]
+    docs = [(i, x) for i, x in enumerate(rows)]
+    monkeypatch.setattr(fuzzy_lines, "PAIR_BLOCK", 1_000_000)
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in fuzzy_lines.classify(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_lines(docs)
+    wrong = sum(got[k] != want[k] for k in want)
+    assert len(set(want.values())) > 100 and wrong <= 1
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, prose(rng, 40)) for i in range(20)] + [(30, "short one here"), (31, None), (32, "..."), (33, "one two three four five six")]
