@@ -1,6 +1,7 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line's signature hashes the character shingles that start a word (every shingle where words are long or script has no spaces).
+A line's signature hashes the character shingles that start a word, follow eight characters of a long word or a character of a
+script without spaces.
 Whether a shingle is taken depends on its own surroundings alone, so it is the same in both lines of a pair. The hashes fall into
 ``BANDS`` classes by remainder, and a band is the ``ROWS`` smallest of its class: two lines agree on a band with the probability
 that so many minima of their union are shared, about ``similarity ** ROWS``. Lines that agree on a band are compared with the
@@ -40,9 +41,8 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def _anchored(line: Column, size: int) -> Column:
-    words = rf"(?s)(?:^|(?<=[ \x{{3000}}-\x{{10FFFF}}]))(?=(.{{1,{size}}}))"
-    sparse = F.length(line) > 20 * (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
-    return F.when(sparse, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{size}}}))"), F.lit(1))).otherwise(F.regexp_extract_all(line, F.lit(words), F.lit(1)))
+    anchored = rf"(?s)(?:^|(?<=[ \x{{3000}}-\x{{10FFFF}}])|(?<=[^ ]{{8}}))(?=(.{{{size}}}))"
+    return F.when(F.length(line) <= size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(anchored), F.lit(1)))
 
 
 def band_keys(line: Column, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> Column:

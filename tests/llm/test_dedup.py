@@ -208,6 +208,16 @@ def test_fuzzy_lines_in_a_crowd(spark, monkeypatch):
     assert len(set(want.values())) > 100 and wrong <= 1
 
 
+def test_lines_of_long_words_share_bands(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh0123/") for _ in range(19)) for _ in range(8))) for i in range(100)]
+    rows = [(i, x[:159], x[:159] + "qq") for i, x in rows]
+    table = spark.createDataFrame(rows, "i long, x string, y string")
+    found = table.select(*(fuzzy_lines.F.size(fuzzy_lines.F.array_intersect(fuzzy_lines.band_keys(fuzzy_lines.F.col("x")), fuzzy_lines.band_keys(fuzzy_lines.F.col(c)))).alias(c) for c in "y"))
+    got = found.collect()
+    assert all(r.y for r in got)
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, prose(rng, 40)) for i in range(20)] + [(30, "short one here"), (31, None), (32, "..."), (33, "one two three four five six")]
