@@ -115,10 +115,10 @@ def similar_pairs(lines_: DataFrame, pairs: DataFrame, size: int = SHINGLE, leas
     """
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     wanted = may_be_in(lines_.select(line_key(F.col("line")).alias("key"), "line"), "key", keys, "key")
-    texts = materialise(wanted.groupBy("key").agg(F.first("line").alias("line")), "lines")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    near = F.least(F.length("x"), F.length("y")) >= F.lit(least) * F.greatest(F.length("x"), F.length("y")) - size
+    texts = materialise(wanted.groupBy("key").agg(F.first("line").alias("line")).withColumn("n", F.size(shingles(F.col("line"), size))), "lines")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_x")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_y")), "b")
+    near = F.least("n_x", "n_y") >= F.lit(least) * F.greatest("n_x", "n_y")
     # arrays of one element bind the sets and their sizes, so a filter doesn't compute them anew each time they are named
     sets = F.array(F.struct(shingles(F.col("x"), size).alias("p"), shingles(F.col("y"), size).alias("q")))
     sized = F.transform(sets, lambda s: F.struct((F.size(s.p) + F.size(s.q)).alias("n"), F.size(F.array_intersect(s.p, s.q)).alias("both")))

@@ -218,6 +218,14 @@ def test_lines_of_long_words_share_bands(spark):
     assert all(r.y for r in got)
 
 
+def test_repetitive_lines_of_any_length_link(spark):
+    rows = ["-" * 10, "-" * 40, "say it again " * 5, "say it again " * 20]
+    lines_ = spark.createDataFrame([(x.strip(),) for x in rows], "line string")
+    keys = [r[0] for r in lines_.select(fuzzy_lines.line_key(fuzzy_lines.F.col("line"))).collect()]
+    pairs = spark.createDataFrame([tuple(keys[:2]), tuple(keys[2:]), (keys[0], keys[3])], "a long, b long")
+    assert {tuple(r) for r in fuzzy_lines.similar_pairs(lines_, pairs).collect()} == {tuple(keys[:2]), tuple(keys[2:])}
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, prose(rng, 40)) for i in range(20)] + [(30, "short one here"), (31, None), (32, "..."), (33, "one two three four five six")]
