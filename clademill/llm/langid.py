@@ -167,7 +167,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ByteConvNet:
     """Learns from rows that are not held out and have a language and a letter: about ``ROWS_EACH`` of each language, those
-    with the lowest hashes, and ``WINDOWS_EACH`` windows spread evenly over each. No such row: every text is ``und``."""
+    with the lowest hashes, and ``WINDOWS_EACH`` windows spread evenly over each. No such row: every text is ``und``.
+    Only the ``MOST_LANGUAGES`` most frequent languages are classes; a rarer one is never predicted."""
     rows = docs.where(~held_out(F.col(doc_id))).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
