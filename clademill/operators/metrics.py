@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clademill.plans.storage import new_path
+
 
 def class_balance(labels: DataFrame, label: str = "label") -> DataFrame:
     """``n, positives, negatives, pos_weight, base_rate``; an empty table has weight 0 and no rate."""
@@ -25,6 +27,9 @@ def running_totals(table: DataFrame, key: str, *columns: str, descending: bool =
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(key).desc() if descending else F.col(key).asc()
     ranged = table.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    path = new_path(spark, "ranges")  # written, so that parts and totals come from the same dealing-out
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     total = ranged.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
     base = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select("__part", *(F.coalesce(F.sum(f"__{c}").over(base), F.lit(0.0)).alias(f"__{c}") for c in columns))
@@ -51,11 +56,10 @@ def average_precision(scored: DataFrame, score: str = "score", label: str = "lab
 
 def grouped_split(rows: DataFrame, group: str, share: float = 0.8, order: Column | None = None) -> DataFrame:
     """``rows`` with ``split`` train or validation, whole groups at a time: the first ``int(share * groups)`` by hash are train."""
-    groups = rows.select(group).distinct().withColumn("__order", F.md5(F.col(group).cast("string")) if order is None else order)
-    n = groups.count()
-    cut = int(share * n)
-    ranked = groups.withColumn("__rank", F.row_number().over(Window.orderBy("__order", group)))
-    split = ranked.select(group, F.when(F.col("__rank") <= cut, "train").otherwise("validation").alias("split"))
+    groups = rows.select(group).distinct().withColumn("__order", F.struct(F.md5(F.col(group).cast("string")) if order is None else order, F.col(group)))
+    ranked = running_totals(groups.withColumn("__one", F.lit(1.0)), "__order", "__one", descending=False)
+    cut = int(share * groups.count())
+    split = ranked.select(group, F.when(F.col("before___one") < cut, "train").otherwise("validation").alias("split"))
     return rows.join(split, group)
 
 
@@ -73,7 +77,7 @@ def batches(rows: DataFrame, key: str, size: int, epoch: int = 0) -> DataFrame:
     return out.where(F.col("batch") < n // size) if n >= size else out
 
 
-def best_epoch(epochs: DataFrame, metric: str = "pr_auc", epoch: str = "epoch") -> DataFrame:
-    """The epoch of the first maximum above 0; no row if there is none."""
-    top = epochs.where(F.col(metric) > 0).agg(F.max_by(epoch, F.struct(F.col(metric), -F.col(epoch))).alias("best_epoch"), F.max(metric).alias("best_metric"))
+def best_epoch(epochs: DataFrame, metric: str = "pr_auc", epoch: str = "epoch", by: tuple[str, ...] = ()) -> DataFrame:
+    """The epoch of the first maximum above 0, of each run (``by``); no row if there is none."""
+    top = epochs.where(F.col(metric) > 0).groupBy(*by).agg(F.max_by(epoch, F.struct(F.col(metric), -F.col(epoch))).alias("best_epoch"), F.max(metric).alias("best_metric"))
     return top.where(F.col("best_epoch").isNotNull())

@@ -177,6 +177,17 @@ def load_weights(path: str, spec: ModelSpec) -> Weights:
     return weights
 
 
+def row_attention(q: Value, k: Value, v: Value, far: np.ndarray, scale: Value, mask: np.ndarray | None = None, weighted: bool = True) -> Value:
+    """Attention among species, by batch and head, that distance holds back: ``scale`` times the distances ``far`` (batch x species x
+    species) is taken from the scores, padding (``mask``) gets no attention, and ``weighted`` attention counts near species more."""
+    s = q @ k.transpose(0, 1, 3, 2) * Value(np.array(1 / math.sqrt(q.data.shape[-1]))) + scale * Value(-far[:, None])
+    if mask is not None:
+        at = mask[None, None, None, :]
+        s = Value(np.where(at, -1e9, s.data), (s,), lambda g, s=s: s.take(np.where(at, 0.0, g)))
+    a = s.softmax()
+    return (a * Value(np.log1p(1 / (far[:, None] + 0.05))) if weighted else a) @ v
+
+
 def forward(w: dict[str, Value], spec: ModelSpec, codons: np.ndarray, aas: np.ndarray | None, dist: np.ndarray, coords: np.ndarray | None = None, mask: np.ndarray | None = None) -> Value:
     """One number per site. ``codons, aas``: sites x species x window; ``dist``: species x species (or one each site); ``coords``:
     species x 4; ``mask``: species, true for padding."""
@@ -211,30 +222,21 @@ def forward(w: dict[str, Value], spec: ModelSpec, codons: np.ndarray, aas: np.nd
         return linear(joined(scores(part(0, query), part(1, x), masked).softmax() @ part(2, x)), f"{name}.out")
 
     if spec.regressor:
-        tokens = np.concatenate([np.eye(66)[codons], np.eye(23)[aas]], axis=-1)
-        table = np.zeros((89, e))
-        table[:66, : e // 2], table[66:, e // 2 :] = w["codon"].data, w["aa"].data
-        codon, aa = w["codon"], w["aa"]
-        joint = Value(table, (codon, aa), lambda g: (codon.take(g[:66, : e // 2]), aa.take(g[66:, e // 2 :])))
-        x = const(tokens) @ joint + w["position"].reshape(1, 1, width, e)
+        codon, aa = w["codon"].at((codons,)), w["aa"].at((aas,))
+        joint = Value(np.concatenate([codon.data, aa.data], axis=-1), (codon, aa), lambda g: (codon.take(g[..., : e // 2]), aa.take(g[..., e // 2 :])))
+        x = joint + w["position"].reshape(1, 1, width, e)
         x = x + linear(const(coords[None]), "mds").reshape(1, species, 1, e)
     else:
         x = w["codon"].at((codons,)) + w["position"].reshape(1, 1, width, e)
     far = dist[None] if dist.ndim == 2 else np.repeat(dist, width, axis=0)
-    bias = const(-far[:, None])
-    near = const(np.log1p(1 / (far[:, None] + 0.05)))
     for i in range(spec.layers):
         c = x.reshape(sites * species, width, e)
         c = norm(c + self_attention(f"column{i}", c, c, False), f"column{i}.norm1")
         c = norm(c + linear(linear(c, f"column{i}.wide").relu(), f"column{i}.narrow"), f"column{i}.norm2")
         r = c.reshape(sites, species, width, e).transpose(0, 2, 1, 3).reshape(sites * width, species, e)
         q, k, v = (heads(linear(r, f"row{i}.{n}")) for n in "qkv")
-        s = q @ k.transpose(0, 1, 3, 2) * const(np.array(1 / math.sqrt(d))) + w[f"row{i}.scale"].exp().reshape(1, h, 1, 1) * bias
-        if spec.regressor and hidden is not None:
-            s = Value(np.where(mask[None, None, None, :], -1e9, s.data), (s,), lambda g, s=s: s.take(np.where(mask[None, None, None, :], 0.0, g)))
-        a = s.softmax()
-        a = a * near if spec.regressor else a
-        r = norm(r + linear(joined(a @ v), f"row{i}.out"), f"row{i}.norm")
+        a = row_attention(q, k, v, far, w[f"row{i}.scale"].exp().reshape(1, h, 1, 1), mask if spec.regressor else None, spec.regressor)
+        r = norm(r + linear(joined(a), f"row{i}.out"), f"row{i}.norm")
         x = r.reshape(sites, width, species, e).transpose(0, 2, 1, 3)
     centre = x.at((slice(None), slice(None), width // 2))
     query = w["pool"] * const(np.ones((sites, 1, 1)))

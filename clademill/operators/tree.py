@@ -17,9 +17,9 @@ MOST_LEVELS = 10_000
 
 def with_paths(nodes: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
     """Adds ``depth, root_dist, path, path_dist`` to an adjacency table ``tree_id, node_id, parent_id, branch_length, ...``
-    by a recursive query. The root's own length doesn't count and a null length counts as 0. (Parsed trees have these columns.)"""
+    by a recursive query. The root's own length doesn't count and a null length counts as 0. (Parsed trees have these columns.)
+    A query over more than ``spark.sql.cteRecursionRowLimit`` nodes fails, so raise that setting for larger tables."""
     spark: SparkSession = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     view = f"nodes_{id(nodes)}"
     nodes.createOrReplaceTempView(view)
     walked = spark.sql(f"""
@@ -96,7 +96,8 @@ def greedy_diversity(paths: dict[str, list[tuple[int, float]]], matched: list[st
 
     ``paths``: leaf name to ``(node, weight)`` from the leaf up to the root, in leaf order. Each step takes the candidate that adds most
     branch weight not yet covered, the first of equals. A candidate's gain shrinks only when a chosen path covers part of it, so
-    gains are kept and only those of candidates below a newly covered node are renewed.
+    gains are kept and only those of candidates below a newly covered node are summed up anew, always from the leaf upward: equal
+    paths then have equal sums, which differences would not.
     """
     clean = lambda x: x.replace("'", "").replace('"', "").strip()
     by_name: dict[str, list[tuple[int, float]]] = {}
@@ -108,26 +109,34 @@ def greedy_diversity(paths: dict[str, list[tuple[int, float]]], matched: list[st
     else:
         covered.update(path[-1][0] for path in by_name.values())
     candidates = [name for name in matched if clean(name) != clean(reference)]
+    own = [by_name.get(clean(name), []) for name in candidates]
     below: dict[int, list[int]] = {}
-    gain = np.zeros(len(candidates))
-    for i, name in enumerate(candidates):
-        for node, weight in by_name.get(clean(name), ()):
+
+    def open_weight(i: int) -> float:
+        total = 0.0
+        for node, weight in own[i]:
+            if node in covered:
+                break
+            total += weight
+        return total
+
+    for i, path in enumerate(own):
+        for node, _ in path:
             if node in covered:
                 break
-            gain[i] += weight
             below.setdefault(node, []).append(i)
+    gain = np.array([open_weight(i) for i in range(len(candidates))])
     chosen = [(reference, 0.0)]
     while len(chosen) < min(most, len(matched)) and len(candidates):
         best = int(gain.argmax())
         if gain[best] <= -1.0:
             break
         chosen.append((candidates[best], float(gain[best])))
-        for node, weight in by_name.get(clean(candidates[best]), ()):
-            if node in covered:
-                break
-            covered.add(node)
-            for i in below[node]:
-                gain[i] -= weight
+        fresh = [node for node, _ in own[best] if node not in covered]
+        covered.update(fresh)
+        for i in {i for node in fresh for i in below[node]}:
+            if gain[i] > -np.inf:
+                gain[i] = open_weight(i)
         gain[best] = -np.inf
     return chosen
 

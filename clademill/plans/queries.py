@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
-from clademill.functions.matrices import scoring_matrix
+from clademill.functions.matrices import GRANTHAM, parse_triangle, scoring_matrix
 from clademill.operators import calls, metrics, model, sites, tree
 from clademill.sources import nexus
 
@@ -340,21 +340,19 @@ def q26_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(_gram, "label int, n long, spread double")
 
 
-def attention_head(x: DataFrame, group: str, key: str, vector: str, dist: Column) -> DataFrame:
-    """One distance-guided attention head with the vector as query, key and value: ``group, key, weights`` sums and first output.
-
-    Rows attend to all of their own group. ``dist`` is an expression on ``a`` and ``b``, the two rows.
-    """
-    pairs = x.alias("a").join(x.alias("b"), group)
-    dot = F.aggregate(F.zip_with(F.col(f"a.{vector}"), F.col(f"b.{vector}"), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    rows = pairs.select(group, F.col(f"a.{key}").alias(key), (dot / F.sqrt(F.size(f"a.{vector}").cast("double")) - dist).alias("score"), dist.alias("dist"), F.element_at(F.col(f"b.{vector}"), 1).cast("double").alias("v"))
-    top = rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(Window.partitionBy(group, key))))
-    return top.groupBy(group, key).agg((F.sum(F.col("e") * C.distance_weight(F.col("dist"))) / F.sum("e")).alias("weight"), (F.sum(F.col("e") * C.distance_weight(F.col("dist")) * F.col("v")) / F.sum("e")).alias("out"))
+def _head(frame: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+    key = frame["vec_id"].to_numpy()
+    far = np.abs(key[:, None] - key[None]) / 1000.0
+    values = np.stack([np.ones(len(x)), x[:, 0]], axis=1)  # the weights' sum, and the first output
+    q, v = (model.Value(a[None, None]) for a in (x, values))
+    out = model.row_attention(q, q, v, far[None], model.Value(np.ones((1, 1, 1, 1))), weighted=True).data[0, 0]
+    return pd.DataFrame({"label": frame["label"], "vec_id": key, "weight": out[:, 0], "out": out[:, 1]})
 
 
 def q27_attention_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dist = F.abs(F.col("a.vec_id") - F.col("b.vec_id")) / 1000.0
-    out = attention_head(_table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", dist)
+    """The model's distance-guided attention with each label's embeddings as queries, keys and values of one head."""
+    out = _table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(_head, "label int, vec_id long, weight double, out double")
     return out.select("label", "vec_id", C.round_even(F.col("weight"), 5).alias("weight"), C.round_even(F.col("out"), 5).alias("out"))
 
 
@@ -424,8 +422,7 @@ def q31_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities as runs, years as epochs, the share of large orders as the metric."""
     orders = _table(spark, sf_dir, "orders")
     runs = orders.groupBy("o_orderpriority", F.year("o_orderdate").alias("epoch")).agg(C.round_even(F.avg((F.col("o_totalprice") > 200_000).cast("int")), 2).alias("pr_auc"))
-    top = runs.where("pr_auc > 0").groupBy("o_orderpriority").agg(F.max_by("epoch", F.struct("pr_auc", -F.col("epoch"))).alias("best_epoch"), F.max("pr_auc").alias("best_metric"))
-    return top
+    return metrics.best_epoch(runs, by=("o_orderpriority",))
 
 
 def q32_axial_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,6 +462,8 @@ def q34_scoring_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
+_VALUES = ", ".join(f"('{a}', '{b}', {x})" for (a, b), x in parse_triangle(GRANTHAM).items() if a < b)
+
 _Q09 = f"WITH {_EVENT_SITES}, {_sql_calls('sites', 'event_type', 'event_type, event_id')} SELECT * FROM called"
 
 ORACLE_SQL = {
@@ -515,4 +514,7 @@ ORACLE_SQL = {
     "q31_best_epoch": """WITH r AS (SELECT o_orderpriority, year(o_orderdate) AS epoch, round_even(avg(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) * 100, 0) / 100 AS pr_auc FROM orders GROUP BY ALL),
         k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY pr_auc DESC, epoch) AS k FROM r WHERE pr_auc > 0) SELECT o_orderpriority, CAST(epoch AS INTEGER) AS best_epoch, pr_auc AS best_metric FROM k WHERE k = 1""",
     "q33_csv_round_trip": _Q09,
+    "q34_scoring_matrix": f"""WITH {_MSA}, t AS (SELECT aln_id, site, {_sql_token()} AS tok FROM codons), a AS (SELECT aln_id, site, {_SQL_AA} AS aa FROM t),
+        c AS (SELECT aln_id, site, aa, count(*) AS n FROM a WHERE aa NOT IN ('?', '*') GROUP BY ALL), m(x, y, d) AS (VALUES {_VALUES})
+        SELECT p.aln_id, CAST(sum(p.n * q.n * d) AS DOUBLE) AS distance, CAST(sum(p.n * q.n) AS BIGINT) AS pairs FROM c p JOIN c q ON p.aln_id = q.aln_id AND p.site = q.site AND p.aa < q.aa JOIN m ON x = p.aa AND y = q.aa GROUP BY p.aln_id""",
 }

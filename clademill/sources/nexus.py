@@ -63,18 +63,20 @@ def parse_nexus(text: str, training: bool = False) -> Alignment:
             state = "" if line.endswith(";") else "labels"
         elif upper.startswith("MATRIX"):
             state = "matrix"
-        elif upper.startswith("BEGIN") and "TREES" in upper:
+        elif upper.startswith("BEGIN TREE"):
             in_trees = True
         elif in_trees and (upper == "END;" if training else upper.startswith("END;")):
             in_trees = False
         elif in_trees and upper.startswith("TREE ") and "=" in line:
             out.tree = _COMMENT.sub("", line.split("=", 1)[1]).strip()
     known = set(out.labels)
-    for i, row in enumerate(r for r in rows if r):
-        first, _, rest = row.partition(" ") if " " in row else row.partition("\t")
-        bare = first.strip("'\"")
+    for i, row in enumerate(rows):
+        if not row:
+            continue
+        first, *rest = row.split(None, 1)
+        bare = first.translate(str.maketrans("", "", "'\""))
         if not training and rest and (first in known or bare in known):
-            out.rows.append((first if first in known else bare, re.sub(r"[ \t]", "", rest)))
+            out.rows.append((bare, re.sub(r"[ \t]", "", rest[0])))
         elif i < len(out.labels):
             out.rows.append((out.labels[i], re.sub(r"[ \t]", "", row)))
     return out

@@ -39,8 +39,9 @@ def test_windows(spark):
 
 def test_percentiles_and_z(spark):
     rows = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 2.0, 3.0)] + [("b", 2.0)] * 3, "g string, x double")
-    got = sorted(tuple(r) for r in rows.select("g", "x", calls.tie_percentile("x", "g"), F.round(calls.z_score(F.col("x"), "g"), 4)).collect())
-    assert got == [("a", 1.0, 25.0, -1.4142), ("a", 2.0, 62.5, 0.0), ("a", 2.0, 62.5, 0.0), ("a", 3.0, 100.0, 1.4142)] + [("b", 2.0, 200 / 3, 0.0)] * 3
+    found = rows.select("g", "x", calls.tie_percentile("x", "g"), F.round(calls.z_score(F.col("x"), "g"), 4)).collect()
+    got = sorted((g, x, round(p, 9), z) for g, x, p, z in found)
+    assert got == [("a", 1.0, 25.0, -1.4142), ("a", 2.0, 62.5, 0.0), ("a", 2.0, 62.5, 0.0), ("a", 3.0, 100.0, 1.4142)] + [("b", 2.0, round(200 / 3, 9), 0.0)] * 3
 
 
 @pytest.mark.parametrize(

@@ -42,6 +42,10 @@ def test_nexus_variants():
     bare = nexus.parse_nexus("BEGIN TAXA;\nTAXLABELS a\nb;\nEND;\nMATRIX\nAC GT\nTTTT;\n", training=True)
     assert bare.rows == [("a", "ACGT"), ("b", "TTTT")]
     assert nexus.parse_nexus("no alignment").rows == []
+    tabs = nexus.parse_nexus("TAXLABELS A B;\nMATRIX\nB\tACG TAC\nA\t GGG CCC\n;\nBEGIN TREE;\nTREE x = (A,B);\nEND;")
+    assert tabs.rows == [("B", "ACGTAC"), ("A", "GGGCCC")] and tabs.tree == "(A,B);"
+    placed = nexus.parse_nexus("TAXLABELS a b;\nMATRIX\nACG\nTTT ;\n")
+    assert placed.rows == [("a", "ACG"), ("b", "TTT")]
 
 
 def test_other_formats():

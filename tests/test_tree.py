@@ -43,6 +43,39 @@ def test_greedy_diversity():
     assert tree.greedy_diversity(path_table(QUARTET), species, "A", 2) == [("A", 0.0), ("D", 5.5)]
 
 
+def fresh_greedy(paths, species, reference, most):
+    """Each step sums every candidate's open branches anew, from the leaf upward."""
+    covered = {n for n, _ in paths[reference]}
+    chosen, left = [(reference, 0.0)], [s for s in species if s != reference]
+    while left and len(chosen) < most:
+        best = None
+        for s in left:
+            total = 0.0
+            for node, weight in paths[s]:
+                if node in covered:
+                    break
+                total += weight
+            if best is None or total > best[1]:
+                best = (s, total)
+        chosen.append(best)
+        left.remove(best[0])
+        covered |= {n for n, _ in paths[best[0]]}
+    return chosen
+
+
+def test_greedy_diversity_breaks_ties_by_order():
+    rng = np.random.default_rng(8)
+    for lengths in ((0.1, 0.2, 0.3), (0.1,), (0.25, 0.5), (0.7, 1.1, 0.4, 0.0)):
+        for _ in range(60):
+            parts = [f"L{i}:{rng.choice(lengths)}" for i in range(14)]
+            while len(parts) > 1:
+                a, b = (parts.pop(int(rng.integers(len(parts)))) for _ in range(2))
+                parts.append(f"({a},{b}):{rng.choice(lengths)}")
+            paths = path_table(parts[0] + ";")
+            species = list(paths)
+            assert tree.greedy_diversity(paths, species, species[0], 7) == fresh_greedy(paths, species, species[0], 7)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 8), min_size=8, max_size=8))
 def test_gains_never_grow(lengths):
