@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,25 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A bitmap of keys has so many bits at most (8 MB).
+MAX_BITS = 1 << 26
+
+
+def key_bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap (64-bit words) whose bit ``key & (bits - 1)`` is set for each of the hashed ``keys``; it fills up beyond ``MAX_BITS`` keys, so
+    whoever it lets pass has to be checked by a join."""
+    bits = 1 << 17
+    rows = keys.count()
+    while bits < MAX_BITS and bits < 8 * rows:
+        bits *= 2
+    cell = F.col(key).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, int(`{key}` & 63L))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
+    out = np.zeros(bits // 64, np.uint64)
+    found = words.toPandas()  # one row a word, of which there are a million at most
+    out[found["word"].to_numpy(np.int64)] = found["ones"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def split_of(df: DataFrame, *names: str) -> list[str]:
     """``names``, each extended with underscores until no column of ``df`` (compared without case) has it."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -64,24 +84,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    state = None
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # minima are written before they are joined back, so that both sides are dealt out anew and Spark can split a hub's edges
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(low)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         after = materialise(small, "small-star")
-        discard(now)
-        discard(large)
+        for done in (now, large, low):
+            discard(done)
         now = after
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
+        # done when each node has one edge, and that to a node that has none
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out")).union(now.select(F.col("v").alias("x"), F.lit(0).alias("out")).distinct())
+        if not ends.groupBy("x").agg(F.sum("out").alias("out"), F.count("*").alias("n")).where("out > 1 OR out = 1 AND n > 1").take(1):
             break
-        state = new
     else:
         raise RuntimeError("connected components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

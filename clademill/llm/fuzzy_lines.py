@@ -1,153 +1,179 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions only.
-
-A line's signature hashes the character shingles that start a word, follow eight characters of a long word or a character of a
-script without spaces.
-Whether a shingle is taken depends on its own surroundings alone, so it is the same in both lines of a pair. The hashes fall into
-``BANDS`` classes by remainder, and a band is the ``ROWS`` smallest of its class: two lines agree on a band with the probability
-that so many minima of their union are shared, about ``similarity ** ROWS``. Lines that agree on a band are compared with the
-first and the last of them by exact Jaccard similarity over all their shingles, and distributed union-find joins what links. Lines of
-a band that are still in different groups then are all compared, in blocks: where many lines that don't link share a band, that is
-work with the square of their number.
-
-At a similarity of 0.8 a pair meets in one of the bands with probability 0.995.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from clademill.llm.common import components, discard, materialise
-from clademill.llm.exact_dedup import flag_repeats, may_be_in, repeated_cells
-
-SHINGLE, BANDS, ROWS, LEAST = 8, 10, 4, 0.8
-#: Lines of crowded bands are compared in blocks of about so many pairs.
-PAIR_BLOCK = 1 << 24
-
-
-def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, line_no`` (from 0) and ``line``, lower-cased, trimmed, with single spaces. A null text has no lines."""
-    split = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return split.withColumn("line", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))))
-
-
-def line_key(line: Column) -> Column:
-    return F.xxhash64(line)
-
-
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The set of a line's shingles; a shorter line is its own only one."""
-    return F.when(F.length(line) <= size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
-
-
-def _anchored(line: Column, size: int) -> Column:
-    anchored = rf"(?s)(?:^|(?<=[ \x{{3000}}-\x{{10FFFF}}])|(?<=[^ ]{{8}}))(?=(.{{{size}}}))"
-    return F.when(F.length(line) <= size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(anchored), F.lit(1)))
-
+"""Fuzzy line dedup by MinHash.
 
-def band_keys(line: Column, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """The line's band keys; a class without shingles gives none."""
-    hashes = F.transform(_anchored(line, size), lambda x: F.xxhash64(x))
-
-    def keys(sets: Column) -> Column:
-        def band(j: int) -> Column:
-            own = F.slice(F.array_sort(F.array_distinct(F.filter(sets, lambda h: F.pmod(h, F.lit(bands)) == j))), 1, rows)
-            return F.when(F.size(own) > 0, F.xxhash64(F.lit(j), own))
-
-        return F.array(*(band(j) for j in range(bands)))
-
-    # a one-element array binds the hashes once, so they aren't computed anew for each band
-    return F.array_compact(F.flatten(F.transform(F.array(hashes), keys)))
-
-
-def each_once(lines_: DataFrame, keys: DataFrame) -> DataFrame:
-    """The different values of ``line``. As in exact dedup, only lines that may be repeated are shuffled, combined per task first;
-    so one very common line is one row, whatever its share. ``keys``: a written table of all lines' keys."""
-    hashed = lambda c: F.unhex(F.hex(c)).alias("sha")
-    bitmap, bits = repeated_cells(keys.select(hashed("key")), "sha")
-    flagged = flag_repeats(lines_.select("line", hashed(line_key(F.col("line")))), "sha", bitmap, bits, "maybe")
-    return flagged.where("not maybe").select("line").union(flagged.where("maybe").select("line").distinct())
-
-
-def dealt_bands(lines_: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    return lines_.select(line_key(F.col("line")).alias("key"), F.explode(band_keys(F.col("line"), size, bands, rows)).alias("band"))
-
-
-def candidates(dealt: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of keys of different lines that share a band, one of each being the first or the last of the band."""
-    dealt = dealt.repartition("band")
-    ends = dealt.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    met = dealt.join(ends.hint("shuffle_hash"), "band").select("key", "low", "high").distinct()
-    pairs = met.select("key", F.explode(F.array("low", "high")).alias("other")).where("key <> other")
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-
-
-def _rooted(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
-    return df.join(roots.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+Every line is signed from all its character shingles. Lines that share a band of minima are compared (see ``minhash``) by exact
+Jaccard similarity of their sets of shingles, and distributed union-find joins what links.
 
+Signing and verification run in Arrow batches: with DataFrame functions alone, splitting, normalising and hashing lines and shingles
+takes all the CPU time the check tool grants, before any minimum is taken (figures in the README).
+"""
 
-def linked(lines_: DataFrame, dealt: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """``node, root`` of the groups that similar pairs link: of all lines that share a band, as far as they aren't joined already."""
-    pairs = materialise(candidates(dealt), "pairs")
-    sure = materialise(similar_pairs(lines_, pairs, size, least), "similar")
-    roots = components(sure)
-    rooted = _rooted(dealt, roots, "key", "root")
-    mixed = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    crowd = materialise(rooted.join(mixed.where("n > 3 and low <> high").select("band", "n"), "band"), "crowd")  # up to three lines have all met
-    total = crowd.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // (2 * PAIR_BLOCK))
-    for i in range(blocks):
-        crowd_now = _rooted(crowd.select("band", "key"), roots, "key", "root")
-        left = crowd_now.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).select("band", F.col("key").alias("a"), F.col("root").alias("x"))
-        right = crowd_now.select("band", F.col("key").alias("b"), F.col("root").alias("y"))
-        met = left.join(right, "band").where("a < b and x <> y").select("a", "b").distinct()
-        met = materialise(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        sure = sure.union(materialise(similar_pairs(lines_, met, size, least), "similar"))
-        roots = components(sure)
-        discard(met)
-    return roots
+from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
 
-def similar_pairs(lines_: DataFrame, pairs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Those of ``pairs`` whose lines have a Jaccard similarity of at least ``least`` over their shingles.
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    Only lines whose key may be in a pair are shuffled: a bitmap of bounded size, as in exact dedup, tells which.
-    """
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    wanted = may_be_in(lines_.select(line_key(F.col("line")).alias("key"), "line"), "key", keys, "key")
-    texts = materialise(wanted.groupBy("key").agg(F.first("line").alias("line")).withColumn("n", F.size(shingles(F.col("line"), size))), "lines")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_x")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_y")), "b")
-    near = F.least("n_x", "n_y") >= F.lit(least) * F.greatest("n_x", "n_y")
-    # arrays of one element bind the sets and their sizes, so a filter doesn't compute them anew each time they are named
-    sets = F.array(F.struct(shingles(F.col("x"), size).alias("p"), shingles(F.col("y"), size).alias("q")))
-    sized = F.transform(sets, lambda s: F.struct((F.size(s.p) + F.size(s.q)).alias("n"), F.size(F.array_intersect(s.p, s.q)).alias("both")))
-    return both.where(near & F.exists(sized, lambda t: t.both >= F.lit(least) * (t.n - t.both))).select("a", "b")
-
-
-def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, least: float = LEAST) -> DataFrame:
+from clademill.llm import minhash
+from clademill.llm.common import key_bitmap, materialise, split_of
+
+SHINGLE, LEAST = 8, 0.8
+#: Documents at a time, code points hashed at a time, and keys that a task remembers so as to sign a repeated line once.
+SLICE, BLOCK, REMEMBERED = 200, 1 << 18, 1 << 19
+_MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def normal_lines(text: str | None) -> list[str]:
+    """A text's lines in lower case, trimmed, with single spaces; a null text has none."""
+    return [] if text is None else [" ".join(x.split()) for x in text.lower().split("\n")]
+
+
+def line_key(line: str) -> int:
+    """A signed 64-bit hash of a normalised line."""
+    key = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return key - (1 << 64) if key >> 63 else key
+
+
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the shingles of many lines, repeats included, in blocks: ``hashes, starts, numbers``, where a run of hashes begins at each
+    of ``starts`` and is of the line of that number. A long line has several runs. A line shorter than ``size`` is its own only shingle."""
+    block: list[str] = []
+    numbers: list[int] = []
+    held = 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # lines hold no line feed, so the padding tells a short line's shingle from others
+        points = np.frombuffer(("".join(x + "\n" * size for x in block)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, block), np.int64, len(block))
+        runs = np.maximum(1, lengths - size + 1)
+        offsets = np.cumsum(lengths + size) - lengths - size
+        h = np.zeros(len(points) - size + 1, np.uint64)
+        for i in range(size):
+            h += points[i : len(points) - size + 1 + i] * _MULTIPLIERS[i]
+        starts = np.cumsum(runs) - runs
+        at = np.arange(int(runs.sum())) + np.repeat(offsets - starts, runs)
+        return minhash.mixed(h[at]), starts, np.array(numbers)
+
+    for n, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - size + 1), BLOCK):
+            block.append(line[at : at + BLOCK + size - 1])
+            numbers.append(n)
+            held += len(block[-1]) + size
+            if held >= BLOCK:
+                yield flush()
+                block, numbers, held = [], [], 0
+    if block:
+        yield flush()
+
+
+def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+    """The minima of each line's shingles."""
+    out = np.full((len(lines), minhash.BANDS * minhash.ROWS), np.iinfo(np.uint32).max, np.uint32)
+    for hashes, starts, numbers in shingle_hashes(lines, size):
+        low = minhash.minima(hashes, starts)
+        np.minimum.at(out, numbers, low)
+    return out
+
+
+def shingle_sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """Each line's different shingle hashes in order."""
+    parts: list[list[np.ndarray]] = [[] for _ in lines]
+    for hashes, starts, numbers in shingle_hashes(lines, size):
+        for n, part in zip(numbers.tolist(), np.split(hashes, starts[1:]), strict=True):
+            parts[n].append(part)
+    return [np.unique(x[0] if len(x) == 1 else np.concatenate(x)) for x in parts]
+
+
+def signed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """``doc_id, line_no, id, bands, sketch`` of each line that isn't blank. ``id`` is the line's key; the last two are null where the task has signed an equal line before."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                docs_at, places, keys, fresh, fresh_at = [], [], [], [], []
+                for d, found in enumerate(part.column(1)):
+                    for n, line in enumerate(normal_lines(found.as_py())):
+                        if line:
+                            key = line_key(line)
+                            if key not in seen:
+                                seen.add(key)
+                                fresh.append(line)
+                                fresh_at.append(len(keys))
+                            docs_at.append(d)
+                            places.append(n)
+                            keys.append(key)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if not keys:
+                    continue
+                low = signatures(fresh, size)
+                at = np.full(len(keys), -1, np.int64)
+                at[fresh_at] = np.arange(len(fresh))
+                index = pa.array(at, mask=at < 0)
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(minhash.band_keys(low).ravel()), minhash.BANDS).cast(pa.list_(pa.int64()))
+                marks = pa.array(minhash.sketches(low), pa.binary())
+                columns = [part.column(0).take(pa.array(docs_at)), pa.array(places, pa.int32()), pa.array(keys, pa.int64()), bands.take(index), marks.take(index)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "id", "bands", "sketch"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, id long, bands array<long>, sketch binary")
+
+
+def lines_of(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
+    """``id, data``: the normalised lines whose keys are among the different ``keys.id``, once each. A bitmap of bounded size keeps most others from the shuffle."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bitmap.value
+        top, seen = 64 * len(words) - 1, set()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                lines = [x for t in batch.slice(i, SLICE).column(0) for x in normal_lines(t.as_py()) if x]
+                keys = np.fromiter(map(line_key, lines), np.int64, len(lines))
+                cell = (keys & top).astype(np.uint64)
+                maybe = np.flatnonzero(words[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1))
+                chosen = [n for n, k in zip(maybe.tolist(), keys[maybe].tolist(), strict=True) if k not in seen and not seen.add(k)]
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if chosen:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array([lines[n] for n in chosen], pa.string())], names=["id", "line"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "id long, line string")
+    return materialise(found.join(keys, "id", "left_semi").groupBy("id").agg(F.first("line").alias("data")), "lines")
+
+
+def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """One row per line that isn't blank: ``doc_id, line_no, class_doc_id, class_line_no, class_size, kept``.
 
-    A class holds equal lines (by a 64-bit hash of their normalised form) and those linked by similar pairs; its first line by
-    document id (nulls first) and place names it and is kept. Blank lines belong to no class. Rows repeated with the same id share
-    their lines' places, and both rows of the first stay. Very long lines are read whole. Empty tables give an empty result.
+    A class holds equal lines (by a 64-bit hash of their form in lower case with single spaces) and those linked by similar pairs;
+    its first line by document id (nulls first) and place names it and is kept. Blank lines belong to no class. Rows repeated with the
+    same id share their lines' places, and both rows of the first stay. Very long lines are read whole. Other columns, whatever their
+    names, are ignored. Empty tables give an empty result.
     """
-    full = lines(docs, text, doc_id).where("line <> ''")
-    narrow = materialise(full.select("doc_id", "line_no", line_key(F.col("line")).alias("key")), "places")
-    roots = linked(full, materialise(dealt_bands(each_once(full, narrow), size, bands, rows), "bands"), size, least)
-    firsts = narrow.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    named = materialise(firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "key").alias("root")), "keys")
+    signed = materialise(signed_lines(docs, text, doc_id, size), "signed")
+    roots = minhash.linked(signed.select("id", "bands", "sketch"), lambda ids: lines_of(docs, ids, text), partial(shingle_sets, size=size), least)
+    firsts = signed.groupBy(F.col("id").alias("key")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    named = firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
+    named = materialise(named, "keys")
     heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
+    heads = materialise(heads, "classes")
     heads = materialise(named.join(heads, "root").select("key", "head", "class_size"), "heads")
-    out = narrow.join(heads, "key")
+    out = signed.select("doc_id", "line_no", F.col("id").alias("key")).join(heads, "key")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "class_size", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with only the kept and the blank lines of each text; the other columns stay as they are. Ids should be unique."""
-    gone = classify(docs, text, doc_id, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("line_nos").alias("__gone"))
-    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
-    rest = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
+    """``docs`` with only the kept and the blank lines of each text; the other columns stay as they are, whatever their names. Ids should be unique."""
+    own, nos = split_of(docs, "own", "nos")
+    gone = classify(docs, text, doc_id, **options).where("not kept").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(nos))
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[own]), "left")
+    rest = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.coalesce(F.array_contains(nos, i), F.lit(False)))
     return joined.select(*(F.array_join(rest, "\n").alias(c) if c == text else F.col(c) for c in docs.columns))

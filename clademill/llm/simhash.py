@@ -17,16 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clademill.llm import minhash
 from clademill.llm.common import components, materialise, split_of
 from clademill.llm.exact_dedup import may_be_in
 
 FAN_OUT = 8
 BLOCK_ROWS = 1 << 20
 FRONTIER = 1 << 20
-#: Bands of minima of shingles, by which near copies meet that the fingerprints of words miss.
-BANDS, ROWS = 25, 5
-PAIR_BLOCK = 1 << 20
-_FLIPS, _FACTORS = (np.random.default_rng(i).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (1, 2))
 
 
 def shingle_hashes(data: bytes, size: int) -> Iterator[np.ndarray]:
@@ -60,7 +57,8 @@ def fingerprint(data: bytes, size: int) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = 3) -> DataFrame:
     """``keep`` columns and ``print``, the fingerprint as a signed 64-bit integer. A null text counts as empty."""
-    source = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    (data,) = split_of(docs, "data")
+    source = docs.select(*keep, F.col(text).cast("binary").alias(data))
     schema = source.select(*keep, F.lit(0).cast("long").alias("print")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +95,20 @@ def _lanes(lanes: int):
     return run
 
 
-def shingle_bands(data: bytes, size: int, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, int]:
-    """A key for each band of ``rows`` minima of a text's set of ``size``-word shingles, and the set's size. Two texts agree on a band
-    with probability ``similarity ** rows``, whatever the kind of edit: at 0.8 on one of 25 bands of 5 with 0.99995."""
+def shingle_set(data: bytes, size: int) -> np.ndarray:
+    """The different hashes of a text's ``size``-word shingles in order; text without words has one of its own."""
     pieces = list(shingle_hashes(data, size)) or [np.zeros(1, np.uint64)]
-    hashes = np.unique(np.concatenate(pieces))
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 11):
-        np.minimum(low, ((hashes[at : at + (1 << 11), None] ^ _FLIPS[: len(low)]) * _FACTORS[: len(low)]).min(axis=0), out=low)
-    keys = (low.reshape(bands, rows) * _FACTORS[-rows:]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
-    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return keys ^ (keys >> np.uint64(31)), len(hashes)
+    return np.unique(np.concatenate(pieces))
 
 
-def _banded(size: int):
+def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = zip(*(shingle_bands(x.as_py() or b"", size) for x in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-            rids, n = np.repeat(batch.column(0).to_numpy(), BANDS), np.repeat(np.array(sizes, np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(n)], names=["rid", "key", "n"])
+            low = np.empty((batch.num_rows, minhash.BANDS * minhash.ROWS), np.uint32)
+            for n, data in enumerate(batch.column(1)):
+                low[n] = minhash.minima(minhash.mixed(shingle_set(data.as_py(), size)), np.zeros(1, np.int64))[0]
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(minhash.band_keys(low).ravel()), minhash.BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bands, pa.array(minhash.sketches(low), pa.binary())], names=["id", "bands", "sketch"])
 
     return run
 
@@ -189,29 +182,27 @@ class GrayIndex:
                 stack.append((level + 1, np.repeat(query, count), np.repeat(starts[node], count) + offset, np.repeat(sums, count)))
 
 
-def _forest(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _forest(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each linked position to the first of its local component: as many as positions, whatever the number of links."""
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    for i, j in found:
+        while True:
+            a, b = label[i], label[j]
+            if (a == b).all():
+                break
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
     linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 
 
-def _nearest(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """For each position, its links to the first and to the last of its earlier partners."""
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     low, high = np.full(n, n), np.full(n, -1)
-    np.minimum.at(low, i, j)
-    np.maximum.at(high, i, j)
+    for i, j in found:
+        np.minimum.at(low, i, j)
+        np.maximum.at(high, i, j)
     some = np.flatnonzero(high >= 0)
     more = some[high[some] != low[some]]
     return np.concatenate([some, more]), np.concatenate([low[some], high[more]])
@@ -220,6 +211,7 @@ def _nearest(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
 def _meet(k: int, choose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
 
         def search(part: np.ndarray, key: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.append(True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]))
@@ -230,40 +222,61 @@ def _meet(k: int, choose):
                 return
             new = np.append(True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]))
             index = GrayIndex(code.view(np.uint64), np.flatnonzero(new))
-            found = list(index.pairs(np.cumsum(new) - 1, k))
-            if found:
-                i, j = choose(len(code), found)
+            i, j = choose(len(code), index.pairs(np.cumsum(new) - 1, k))
+            if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(code[i]), pa.array(code[j])], names=["part", "a", "b"])
 
         for batch in batches:
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            if sum(len(x[0]) for x in held) >= BLOCK_ROWS:
+            rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
                 part, key, code = (np.concatenate(x) for x in zip(*held, strict=True))
                 last = np.flatnonzero((part != part[-1]) | (key != key[-1]))
                 cut = last[-1] + 1 if len(last) else 0
-                held = [(part[cut:], key[cut:], code[cut:])]
+                held, rows = [(part[cut:], key[cut:], code[cut:])], len(part) - cut
                 if cut:
                     yield from search(part[:cut], key[:cut], code[:cut])
-        if held and sum(len(x[0]) for x in held):
+        if rows:
             yield from search(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def linked_prints(prints: DataFrame, k: int = 2, agree: int = 1, whole: bool = True) -> DataFrame:
+def _signed_mask(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def _finer(mask: int, pieces: int) -> list[int]:
+    """``mask`` with one of ``pieces`` runs of its clear bits added."""
+    clear = [i for i in range(64) if not mask >> i & 1]
+    cuts = [round(i * len(clear) / pieces) for i in range(pieces + 1)]
+    return [mask | sum(1 << i for i in clear[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def linked_prints(prints: DataFrame, k: int = 2, agree: int = 1, whole: bool = True, most: int = BLOCK_ROWS // 2) -> DataFrame:
     """Edges ``lane, a, b`` among the distinct values of ``print`` of each ``lane`` that differ in at most ``k`` bits.
 
     ``whole``: a spanning forest of all links that meet under each mask, so that components are exact. Otherwise links of each
     value under each mask to the first and the last in Gray order of its earlier partners, as candidates that are still to be verified.
+    A group of more than ``most`` values that agree under a mask is dealt out again by ``k + 1`` runs of the other bits, on one of which
+    any two within ``k`` bits agree; so no link is lost.
     """
     choices = masks(k, agree)
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
+    finer = [_finer(m, k + 1) for m in choices]
+    step = k + 2
     dealt = prints.select("lane", F.col("print").alias("code")).where("code is not null").distinct()
-    parts = (F.struct((F.col("lane") * len(choices) + i).cast("int").alias("part"), F.col("code").bitwiseAND(F.lit(m)).alias("key"), "code") for i, m in enumerate(signed))
+    parts = (F.struct(((F.col("lane") * len(choices) + i) * step).cast("int").alias("part"), F.col("code").bitwiseAND(_signed_mask(m)).alias("key"), "code") for i, m in enumerate(choices))
     dealt = dealt.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    large = materialise(dealt.groupBy("part", "key").count().where(F.col("count") > most).select("part", "key"), "large")
+    if large.take(1):
+        choice = (F.col("part") / step).cast("int") % len(choices)
+        again = [F.array(*(F.struct((F.col("part") + 1 + j).cast("int").alias("part"), F.col("code").bitwiseAND(_signed_mask(m)).alias("key"), "code") for j, m in enumerate(ms))) for ms in finer]
+        split = dealt.join(large, ["part", "key"], "left_semi").withColumn("at", choice)
+        split = split.select(F.explode(F.element_at(F.array(*again), F.col("at") + 1)).alias("x")).select("x.*")
+        dealt = dealt.join(large, ["part", "key"], "left_anti").unionByName(split)
     dealt = dealt.repartition("part", "key").sortWithinPartitions("part", "key", gray_rank(F.col("code")))
     found = dealt.mapInArrow(_meet(k, _forest if whole else _nearest), "part int, a long, b long")
-    return found.select((F.col("part") / len(choices)).cast("int").alias("lane"), "a", "b")
+    return found.select((F.col("part") / (len(choices) * step)).cast("int").alias("lane"), "a", "b")
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, k: int = 2) -> DataFrame:
@@ -282,104 +295,34 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(size: int, least: float):
-    def shingles(data: bytes) -> set:
-        words = data.lower().split()
-        return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) > size else {tuple(words)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, memo = [], (None, None)
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                if memo[0] != left:
-                    memo = (left, shingles(left))
-                a, b = memo[1], shingles(right)
-                both = len(a & b)
-                keep.append(both >= least * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _apart(least: float):
-    """Pairs of rows of one ``key`` with different roots; only sizes that rule the similarity out are left out."""
-
-    def pairs(rid: np.ndarray, root: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(rid), 1 << 10):
-            for j in range(i, len(rid), 1 << 10):
-                x, y = slice(i, i + (1 << 10)), slice(j, j + (1 << 10))
-                low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-                a, b = np.nonzero((root[x, None] != root[None, y]) & (low >= least * high) & ((i < j) | (rid[x, None] < rid[None, y])))
-                first, second = rid[x][a], rid[y][b]
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            edges = np.flatnonzero(np.diff(held[0])) + 1
-            for group in np.split(held, edges, axis=1)[:-1] if len(edges) else ():
-                yield from pairs(*group[1:])
-            held = held[:, edges[-1] :] if len(edges) else held
-        yield from pairs(*held[1:])
-
-    return run
-
-
-def near_deduplicate(docs: DataFrame, text: str = "text", size: int = 5, k: int = 6, agree: int = 2, least: float = 0.8, lanes: int = 3) -> DataFrame:
+def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, k: int = 6, agree: int = 2, least: float = 0.8, lanes: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group linked by pairs whose ``size``-word shingle sets have a Jaccard
-    similarity of at least ``least``, the first row stays.
+    similarity of at least ``least``, the row with the smallest ``doc_id`` stays (nulls last; then the smallest hash of its text).
 
-    Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, and so are the rows of a band of
-    minima of shingles with its first and its last row. They are verified on whole texts: first two of each row, then all that would
-    still join different groups, and at last all rows of a band against each other as far as they are in different groups, in blocks
-    of about ``PAIR_BLOCK`` pairs: where many texts that are no near copies share a band, that is work with the square of their number. Texts without words equal each other. All columns
-    are returned as they are, whatever their names; an empty table gives an empty one.
+    Rows at most ``k`` bits apart in one of ``lanes`` fingerprints of their word sets are candidates, and so are rows that share a band of
+    minima of shingles (see ``minhash``), which finds the copies whose fingerprints differ more. All are verified on whole texts. A null
+    text counts as empty, and texts without words equal each other. Of wholly repeated rows one stays. All columns are returned as they
+    are, whatever their names; an empty table gives an empty one.
     """
     (rid,) = split_of(docs, "rid")
     kept = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
-    texts = kept.select(F.col(rid).alias("rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    texts = kept.select(F.col(rid).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     prints = materialise(texts.mapInArrow(_lanes(lanes), "rid long, lane int, print long"), "prints")
     firsts = prints.groupBy("lane", "print").agg(F.min("rid").alias("first"))
     edges = linked_prints(prints, k, agree, whole=False).distinct()
     across = edges.join(firsts.select("lane", F.col("print").alias("a"), F.col("first").alias("x")), ["lane", "a"])
     across = across.join(firsts.select("lane", F.col("print").alias("b"), F.col("first").alias("y")), ["lane", "b"]).select("x", "y")
     within = prints.join(firsts, ["lane", "print"]).where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y"))
-    bands = materialise(texts.mapInArrow(_banded(size), "rid long, key long, n long"), "bands")
-    met = bands.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high")
-    met = bands.join(met, "key").select(F.explode(F.array("low", "high")).alias("x"), F.col("rid").alias("y"))
-    pairs = across.union(within).union(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    pairs = materialise(pairs, "pairs")
-
-    def verified(some: DataFrame) -> DataFrame:
-        wanted = may_be_in(texts, "rid", some.select(F.explode(F.array("a", "b")).alias("rid")), "rid")
-        both = some.join(wanted.select(F.col("rid").alias("a"), F.col("data").alias("left")), "a")
-        both = both.join(wanted.select(F.col("rid").alias("b"), F.col("data").alias("right")), "b").select("a", "b", "left", "right")
-        return materialise(both.mapInArrow(_similar(size, least), "a long, b long"), "verified")
-
-    ends = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    few = materialise(ends.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), "b"), "pairs")
-    sure = verified(few)
-    roots = components(sure)
-    rest = pairs.join(few, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    apart = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    sure = sure.union(verified(materialise(apart, "pairs")))
-    roots = components(sure)
-    rooted = bands.join(roots, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("root", "rid").alias("root"), "n")
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("rows > 3 and low <> high").select("key")  # up to three rows have all met
-    crowd = rooted.join(mixed, "key").repartition("key").sortWithinPartitions("key")
-    left = crowd.mapInArrow(_apart(least), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    left = materialise(left, "pairs")
-    blocks = -(-left.count() // PAIR_BLOCK)
-    for i in range(blocks):
-        some = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == i)
-        for c in ("a", "b"):
-            some = some.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-        some = some.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        sure = sure.union(verified(materialise(some, "pairs")))
-        roots = components(sure)
-    return kept.join(roots.select(F.col("node").alias(rid)), rid, "left_anti").select(*docs.columns)
+    close = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+    signed = materialise(texts.mapInArrow(_signed(size), "id long, bands array<long>, sketch binary"), "signed")
+
+    def some(ids: DataFrame) -> DataFrame:
+        return materialise(may_be_in(texts, "id", ids, "id").join(ids, "id", "left_semi"), "texts")
+
+    roots = materialise(minhash.linked(signed, some, lambda data: [shingle_set(x, size) for x in data], least, close, block=512), "roots")
+    members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(rid))
+    ranked = kept.select(F.col(rid).alias("node"), order.alias("order")).join(members, "node")
+    heads = ranked.groupBy("root").agg(F.min_by("node", "order").alias("node"))
+    gone = members.join(heads.select("node"), "node", "left_anti")
+    return kept.join(gone.select(F.col("node").alias(rid)), rid, "left_anti").select(*docs.columns)

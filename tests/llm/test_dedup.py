@@ -5,10 +5,12 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from clademill.llm import common, decontam, exact_dedup, fuzzy_lines, simhash
+from clademill.llm import common, decontam, exact_dedup, fuzzy_lines, minhash, simhash
 
 DOCS = "doc_id long, text string, sha string, maybe int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -146,23 +148,46 @@ def test_near_dedup_in_a_crowd(spark):
     links = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = set(components_of(range(len(rows)), links).values())
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)
-    old, simhash.PAIR_BLOCK = simhash.PAIR_BLOCK, 40_000
-    try:
-        assert {r.doc_id for r in simhash.near_deduplicate(docs).collect()} == want and len(want) >= 300
-    finally:
-        simhash.PAIR_BLOCK = old
+    assert {r.doc_id for r in simhash.near_deduplicate(docs).collect()} == want and len(want) >= 300
+
+
+def test_near_dedup_of_clashing_null_and_repeated_rows(spark):
+    rng = random.Random(21)
+    text = prose(rng, 80)
+    rows = [(7, text, 1, "a"), (3, text + " end", 2, "b"), (3, text + " end", 2, "b"), (None, text, 3, "c"), (9, None, 4, "d"), (8, "", 5, "e"), (8, " ", 6, "f"), (5, "one", 7, "g"), (4, prose(rng, 30_000), 8, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, node string").withColumn("root", F.lit(1)).withColumn("rid", F.lit(2))
+    kept = simhash.near_deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
+    assert sorted(simhash.near_deduplicate(docs.repartition(3, "id")).select("doc_id").collect()) == sorted(kept.select("doc_id").collect())
+
 
+def test_large_groups_of_prints_are_dealt_again(spark):
+    rng = np.random.default_rng(3)
+    base = np.int64(rng.integers(0, 1 << 62))
+    codes = {int(base)} | {int(base ^ (1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 43, (400, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    table = spark.createDataFrame([(0, c) for c in codes], "lane int, print long")
+    want = components_of(codes, [(a, b) for a, b in combinations(codes, 2) if (a ^ b).bit_count() <= 2])
+    for most in (10, 1 << 20):
+        got = {r.node: r.root for r in common.components(simhash.linked_prints(table, 2, most=most)).collect()}
+        assert got == {n: r for n, r in want.items() if n != r}
 
-def test_all_rows_of_a_band_meet():
+
+def test_rows_of_a_band_meet_once():
     rng = np.random.default_rng(13)
-    key, rid = np.sort(rng.integers(0, 4, 3000)), rng.permutation(3000)
-    root, n = rng.integers(0, 40, 3000), rng.integers(50, 100, 3000)
-    batches = [simhash.pa.RecordBatch.from_arrays([x[at : at + 700] for x in map(simhash.pa.array, (key, rid, root, n))], names=["key", "rid", "root", "n"]) for at in range(0, 3000, 700)]
-    got = [(a, b) for x in simhash._apart(0.8)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
-    i, j = np.triu_indices(3000, 1)
-    meet = (key[i] == key[j]) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= 0.8 * np.maximum(n[i], n[j]))
-    want = {(min(a, b), max(a, b)) for a, b in zip(rid[i[meet]].tolist(), rid[j[meet]].tolist(), strict=True)}
-    assert len(got) == len(want) and set(got) == want
+    texts = [set(rng.integers(0, 60, rng.integers(30, 50)).tolist()) for _ in range(700)]
+    texts += [x - {min(x)} for x in texts[:200]]
+    sets = [np.array(sorted(x), np.uint64) for x in texts]
+    low = np.concatenate([minhash.minima(minhash.mixed(x), np.zeros(1, np.int64)) for x in sets])
+    bands, marks, root = minhash.band_keys(low), minhash.sketches(low), np.arange(900) // 2
+    rows = [(int(k), 0, 0, 0, n, int(root[n]), bands[n].tolist(), marks[n], str(n)) for k in np.unique(bands) for n in np.flatnonzero((bands == k).any(axis=1)).tolist()]
+    names = ["band", "i", "j", "own", "id", "root", "bands", "sketch", "data"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 250]]) for at in range(0, len(rows), 250)]
+    run = minhash._within(lambda data: [sets[int(x)] for x in data], 0.8, minhash.least_agreeing(70, 0.8))
+    got = [(a, b) for x in run(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    links = [(a, b) for a, b in combinations(range(900), 2) if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
+    seen = [(a, b) for a, b in links if (bands[a] == bands[b]).any()]
+    same = [(2 * i, 2 * i + 1) for i in range(450)]
+    assert set(got) <= set(links) and components_of(range(900), got + same) == components_of(range(900), seen + same) and len(seen) > 100
 
 
 def brute_lines(docs, least=0.8, size=8):
@@ -201,29 +226,79 @@ def test_fuzzy_lines_in_a_crowd(spark, monkeypatch):
     rows = [varied() for _ in range(300)]
     rows += [" ".join(x.split()[:-7]) for x in rows[:60]]
     docs = [(i, x) for i, x in enumerate(rows)]
-    monkeypatch.setattr(fuzzy_lines, "PAIR_BLOCK", 1_000_000)
+    monkeypatch.setattr(minhash, "BLOCK", 64)  # bands are dealt out by pairs of blocks
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in fuzzy_lines.classify(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = brute_lines(docs)
     wrong = sum(got[k] != want[k] for k in want)
     assert len(set(want.values())) > 100 and wrong <= 1
 
 
-def test_lines_of_long_words_share_bands(spark):
+def test_any_small_edit_shares_bands():
     rng = random.Random(15)
-    rows = [(i, " ".join("".join(rng.choice("abcdefgh0123/") for _ in range(19)) for _ in range(8))) for i in range(100)]
-    rows = [(i, x[:159], x[:159] + "qq") for i, x in rows]
-    table = spark.createDataFrame(rows, "i long, x string, y string")
-    found = table.select(*(fuzzy_lines.F.size(fuzzy_lines.F.array_intersect(fuzzy_lines.band_keys(fuzzy_lines.F.col("x")), fuzzy_lines.band_keys(fuzzy_lines.F.col(c)))).alias(c) for c in "y"))
-    got = found.collect()
-    assert all(r.y for r in got)
-
-
-def test_repetitive_lines_of_any_length_link(spark):
-    rows = ["-" * 10, "-" * 40, "say it again " * 5, "say it again " * 20]
-    lines_ = spark.createDataFrame([(x.strip(),) for x in rows], "line string")
-    keys = [r[0] for r in lines_.select(fuzzy_lines.line_key(fuzzy_lines.F.col("line"))).collect()]
-    pairs = spark.createDataFrame([tuple(keys[:2]), tuple(keys[2:]), (keys[0], keys[3])], "a long, b long")
-    assert {tuple(r) for r in fuzzy_lines.similar_pairs(lines_, pairs).collect()} == {tuple(keys[:2]), tuple(keys[2:])}
+    letters = "abcdefgh0123/"
+    for size in (3, 6, 12, 19, 200):
+        lines = [" ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(max(2, 160 // size))) for _ in range(100)]
+        edited = [x[:40] + "qq" + x[40:] for x in lines]
+        one, two = (minhash.band_keys(fuzzy_lines.signatures(x)) for x in (lines, edited))
+        assert (one == two).any(axis=1).mean() >= 0.98
+
+
+def test_shingles_of_lines_of_any_length():
+    rng = random.Random(16)
+    lines = ["a", "ab", "ab" + "c" * 7, "字" * 60, "x" * 300_000, "", *("".join(rng.choice("abcd ") for _ in range(rng.choice((5, 8, 9, 600_000)))) for _ in range(12)), "ab"]
+    sets = fuzzy_lines.shingle_sets(lines)
+    for x, found in zip(lines, sets, strict=True):
+        assert len(found) == len({x[i : i + 8] for i in range(max(1, len(x) - 7))})
+    assert np.array_equal(sets[1], sets[-1]) and minhash.shared(sets[2], sets[2]) == len(sets[2])
+    assert (fuzzy_lines.signatures(lines)[1] == fuzzy_lines.signatures(["ab"])[0]).all()
+
+
+def test_fuzzy_lines_that_repeat_themselves_and_clash(spark):
+    rows = [(1, "-" * 10), (2, "-" * 40), (3, "say it again " * 5), (4, "say it again " * 20), (5, None), (None, "-" * 10), (6, ""), (7, "Say  it\tAGAIN " * 9), (7, "only one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("own", "nos", "key", "line_no", "head", "__id", "__gone", "band", "id"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = {(r.doc_id, r.line_no): r.class_doc_id for r in fuzzy_lines.classify(docs).collect()}
+    assert (got[1, 0], got[2, 0], got[None, 0]) == (None, None, None) and (got[3, 0], got[4, 0]) == (3, 3) and (5, 0) not in got and (6, 0) not in got
+    kept = fuzzy_lines.deduplicate(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect() if r.doc_id in (2, 3, 4, 5, 6)} == {2: "", 3: rows[2][1], 4: "", 5: None, 6: ""}
+    assert fuzzy_lines.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_fuzzy_lines_recall_on_the_sample(spark):
+    """All links among the lines of sf0.1, by an exact search over the rarest fifth of each line's shingles."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in fuzzy_lines.classify(table).collect()}
+    first = {}
+    for r in table.collect():
+        for n, line in enumerate(fuzzy_lines.normal_lines(r.text)):
+            if line:
+                first[line] = min(first.get(line, (r.doc_id, n)), (r.doc_id, n))
+    lines = list(first)
+    sets = fuzzy_lines.shingle_sets(lines)
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((flat, count[inverse], owner))
+    flat, owner, often = flat[order], owner[order], count[inverse][order]
+    place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner]
+    use = (place <= sizes[owner] - np.ceil(0.8 * sizes[owner])) & (often > 1)
+    flat, owner = flat[use], owner[use]
+    order = np.argsort(flat, kind="stable")
+    links = set()
+    for group in np.split(owner[order], np.flatnonzero(np.diff(flat[order])) + 1):
+        x, y = np.triu_indices(len(group), 1)
+        x, y = group[x], group[y]
+        near = np.minimum(sizes[x], sizes[y]) >= 0.8 * np.maximum(sizes[x], sizes[y])
+        links.update(zip(np.minimum(x, y)[near].tolist(), np.maximum(x, y)[near].tolist()))
+    links = [(a, b) for a, b in links if minhash.similar(sets[a], sets[b], 0.8)]
+    joined = sum(got[first[lines[a]]] == got[first[lines[b]]] for a, b in links)
+    want = components_of(range(len(lines)), links)
+    heads = {}
+    for k, line in enumerate(lines):
+        heads[want[k]] = min(heads.get(want[k], first[line]), first[line])
+    wrong = sum(got[first[line]] != heads[want[k]] for k, line in enumerate(lines))
+    assert len(links) > 2000 and joined >= 0.995 * len(links) and wrong <= 10
 
 
 def test_decontamination(spark):
