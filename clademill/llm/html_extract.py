@@ -5,9 +5,9 @@ are aligned one after the other: what both have stays, a slot whose text differs
 optional, and a group that one has once and the other repeatedly becomes a repeat. The result is the host's wrapper. Wrappers are
 merged like pages, so every task first folds its own pages and only wrappers, a few kilobytes each, are gathered by host.
 
-A wrapper tells where the main text is (the article, or else the container whose variable slots hold most text) and, outside an
-article, which slots are the same on all pages and so belong to the template. Menus, forms, notices and the like are left out by
-their tags, roles and class names.
+A page is then aligned with its host's wrapper. The main text is what stands in the container whose variable slots hold most text
+over all pages; slots that say the same on all pages are template, at whatever place in the container. Elements whose tag, role or class
+name tells that they are menus, forms, notices, comments and the like are left out before.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_NUMBER = re.compile(r"\d+")
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -37,7 +38,7 @@ BLOCKS = frozenset(
 )
 #: What an opening tag closes, if it is open further in than the listed bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
-DROPPED = frozenset("head script style noscript template iframe noframes svg math object embed applet canvas audio video map nav footer aside form fieldset button select option datalist textarea input label menu dialog search title".split())
+DROPPED = frozenset("head script style noscript template iframe noframes svg math object embed applet canvas audio video map nav footer aside form fieldset button select option datalist textarea input menu dialog search title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|topnav|subnav|breadcrumbs?|foot|footer|site-header|page-header|masthead|topbar|"
@@ -45,10 +46,17 @@ _NAMES = re.compile(
     r"search|toolbar|pagination|pager|copyright|disclaimer|widget\w*|skip-link|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Inside an article these names leave out nothing, nor does any name an element of text: there the wrapper tells what is template.
+_WRAPPED = re.compile(r"(?:^|[\s_-])(?:related|recommended|notices?|alert|disclaimer|copyright|widget\w*|nav|banner|share|sharing|social)(?=$|[\s_-])", re.I)
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption label span b i em strong a code small q cite".split())
 #: Pages of different content that a wrapper needs before it may call a slot part of the template.
 LEAST_PAGES = 5
 LONGEST_GROUP = 12
 HOSTS_HELD = 2000
+#: A wrapper keeps so many nodes at most: beyond, those of the fewest pages are forgotten, and their slots count as content.
+MOST_NODES = 600
+#: Wrappers of so many bytes in all are broadcast to the pages; beyond, pages meet them in a join.
+BROADCAST_BYTES = 16 << 20
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -85,11 +93,11 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def label(name: str, rest: str) -> str:
-    """A tag as wrappers see it: with its class, id and role."""
+    """A tag as wrappers see it: with its class, id and role, numbers in them made alike."""
     if "=" not in rest:
         return name
     a = attributes(rest)
-    return name + "".join(f"{m}{a[k].strip().lower()}" for k, m in (("id", "#"), ("class", "."), ("role", "@")) if a.get(k))
+    return name + "".join(f"{m}{_NUMBER.sub('0', a[k].strip().lower())}" for k, m in (("id", "#"), ("class", "."), ("role", "@")) if a.get(k))
 
 
 def is_dropped(name: str, rest: str, inside: bool) -> bool:
@@ -101,7 +109,10 @@ def is_dropped(name: str, rest: str, inside: bool) -> bool:
     a = attributes(rest)
     if name in ("article", "main", "body", "html"):
         return False
-    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or any(_NAMES.search(a[k]) for k in ("class", "id") if a.get(k)) or "display:none" in a.get("style", "").replace(" ", "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return True
+    names = [a[k] for k in ("class", "id") if a.get(k) and _NAMES.search(a[k])]
+    return bool(names) and not (inside and (name in TEXTUAL or all(_WRAPPED.search(x) for x in names)))
 
 
 class Slot:
@@ -176,101 +187,166 @@ def parse(html: str) -> tuple[list[tuple[str, int]], list[Slot]]:
     return stream, slots
 
 
-def fold(stream: list[tuple[str, int]]) -> list[tuple[object, int]]:
-    """The stream with consecutive equal groups folded into repeats; a repeat's key is the tuple of the group's keys."""
-    out: list[tuple[object, int]] = []
+def fold(stream: list[tuple[str, int]]) -> list[tuple[object, tuple[int, ...]]]:
+    """``key, slot numbers``: the stream with consecutive equal groups folded into repeats; a repeat's key is the tuple of the group's keys."""
+    out: list[tuple[object, list[int]]] = []
     keys: list[object] = []
     for key, slot in stream:
-        out.append((key, slot))
+        out.append((key, [slot] if slot >= 0 else []))
         keys.append(key)
         size = 1
         while size <= LONGEST_GROUP and size < len(keys):
             before = keys[-size - 1]  # ends the group before, if there is one of this size
             if type(before) is tuple and len(before) == size and before == tuple(keys[-size:]) and before != ("#",):
+                out[-size - 1][1].extend(x for _, slots in out[-size:] for x in slots)
                 del keys[-size:], out[-size:]
                 size = 1
             elif before == keys[-1] and keys[-2 * size : -size] == keys[-size:] and 2 * size <= len(keys) and (size > 1 or type(before) is str and before != "#"):
-                group = tuple(keys[-size:])
+                group, own = tuple(keys[-size:]), [x for _, slots in out[-2 * size :] for x in slots]
                 del keys[-2 * size :], out[-2 * size :]
                 keys.append(group)
-                out.append((group, -1))
+                out.append((group, own))
                 size = 1
             else:
                 size += 1
     return out
 
 
+def _sum(text: str) -> int:
+    return zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
+
+
+def _steps(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    """How ``a`` becomes ``b``, as SequenceMatcher tells it."""
+    if a == b:
+        return [("equal", 0, len(a), 0, len(b))]
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    middle = SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False).get_opcodes() if head + tail < max(len(a), len(b)) else []
+    return [("equal", 0, head, 0, head), *((op, i + head, j + head, k + head, m + head) for op, i, j, k, m in middle), ("equal", len(a) - tail, len(a), len(b) - tail, len(b))]
+
+
+class Node:
+    """A tag, a slot or a repeat of a wrapper. ``constant``: the checksum of its texts if they have been the same on all pages so far.
+    ``chars``: how much text outside links its slots held, by the container they stood in."""
+
+    __slots__ = ("key", "constant", "optional", "count", "chars")
+
+    def __init__(self, key: object, constant: int | None, optional: bool, count: int, chars: dict[str, int]):
+        self.key, self.constant, self.optional, self.count, self.chars = key, constant, optional, count, chars
+
+    def add(self, other: Node) -> None:
+        self.constant = self.constant if self.constant == other.constant else None
+        self.optional |= other.optional
+        self.count += other.count
+        for k, n in other.chars.items():
+            self.chars[k] = self.chars.get(k, 0) + n
+
+
 class Wrapper:
-    """``nodes``: ``[key, constant, optional]``; ``constant`` is the checksum of a slot's only text so far, None if it varies (or for tags)."""
+    """The aligned ``nodes`` of a host's pages, and checksums of the texts of up to ``LEAST_PAGES`` different ones."""
 
-    def __init__(self, nodes: list[list], pages: list[int], weight: dict[str, int]):
-        self.nodes, self.pages, self.weight = nodes, pages, weight
+    def __init__(self, nodes: list[Node], pages: list[int]):
+        self.nodes, self.pages = nodes, pages
+        self.known: bool | None = None
 
     @staticmethod
-    def of(html: str, page: tuple | None = None) -> Wrapper:
-        stream, slots = page or parse(html)
-        nodes = [[key, zlib.crc32(slots[slot].text.strip().encode("utf-8", "replace")) if slot >= 0 else None, False] for key, slot in fold(stream)]
-        weight: dict[str, int] = {}
-        for s in slots:
-            if not s.dropped and not s.link and (n := len(s.text.strip())):
-                where = "article" if s.article else _container(s.path)
-                weight[where] = weight.get(where, 0) + n
-        return Wrapper(nodes, [zlib.crc32(html.encode("utf-8", "replace"))], weight)
+    def of(page: tuple[list[tuple[str, int]], list[Slot]]) -> Wrapper:
+        stream, slots = page
+        nodes = []
+        for key, own in fold(stream):
+            chars: dict[str, int] = {}
+            for s in (slots[i] for i in own):
+                if not s.dropped and not s.link:
+                    where = _container(s.path)
+                    chars[where] = chars.get(where, 0) + len(s.text.strip())
+            nodes.append(Node(key, _sum(" ".join(slots[i].text for i in own)) if own else None, False, 1, chars))
+        return Wrapper(nodes, [_sum(" ".join(s.text for s in slots))])
 
     def merge(self, other: Wrapper) -> Wrapper:
         """Aligns another wrapper (or page) with this one."""
-        self.pages = sorted({*self.pages, *other.pages})[:LEAST_PAGES]
-        for k, n in other.weight.items():
-            self.weight[k] = self.weight.get(k, 0) + n
-        a, b = [x[0] for x in self.nodes], [x[0] for x in other.nodes]
-        if a == b:
-            for x, y in zip(self.nodes, other.nodes, strict=True):
-                if x[1] != y[1]:
-                    x[1] = None
-                x[2] = x[2] or y[2]
-            return self
-        head = 0
-        while head < min(len(a), len(b)) and a[head] == b[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-            tail += 1
-        middle = SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False).get_opcodes() if head + tail < max(len(a), len(b)) else []
-        steps = [("equal", 0, head, 0, head), *((op, i + head, j + head, k + head, m + head) for op, i, j, k, m in middle), ("equal", len(a) - tail, len(a), len(b) - tail, len(b))]
-        nodes: list[list] = []
-        for op, i, j, k, m in steps:
+        self.pages, self.known = sorted({*self.pages, *other.pages})[:LEAST_PAGES], None
+        a, b = [x.key for x in self.nodes], [x.key for x in other.nodes]
+        nodes: list[Node] = []
+        for op, i, j, k, m in _steps(a, b):
             mine, theirs = self.nodes[i:j], other.nodes[k:m]
             if op == "equal":
-                nodes += [[x[0], x[1] if x[1] == y[1] else None, x[2] or y[2]] for x, y in zip(mine, theirs, strict=True)]
-            elif len(mine) == 1 and isinstance(mine[0][0], tuple) and mine[0][0] == tuple(b[k:m]):
-                nodes.append(mine[0])
-            elif len(theirs) == 1 and isinstance(theirs[0][0], tuple) and theirs[0][0] == tuple(a[i:j]):
-                nodes.append(theirs[0])
+                for x, y in zip(mine, theirs, strict=True):
+                    x.add(y)
+                nodes += mine
+            elif (one := _repeat(mine, theirs) or _repeat(theirs, mine)) is not None:
+                nodes.append(one)
             else:
-                nodes += [[x[0], x[1], True] for x in (*mine, *theirs)]
+                for x in (*mine, *theirs):
+                    x.optional = True
+                nodes += [*mine, *theirs]
+        if len(nodes) > MOST_NODES:
+            least = sorted((x.count for x in nodes), reverse=True)[MOST_NODES - 1]
+            room = MOST_NODES - sum(x.count > least for x in nodes)
+            kept = []
+            for x in nodes:
+                if x.count > least or (x.count == least and room > 0):
+                    room -= x.count == least
+                    kept.append(x)
+            nodes = kept
         self.nodes = nodes
         return self
 
     def container(self) -> str:
-        """Where the main text is: in an article if the host has any, else in the path of blocks with most text outside links."""
-        return "article" if "article" in self.weight else max(sorted(self.weight), key=self.weight.get, default="")
-
-    def template(self) -> frozenset[int]:
-        """Checksums of texts that stand in the same slot of all pages."""
-        if len(self.pages) < LEAST_PAGES:
-            return frozenset()
-        return frozenset(c for _, c, optional in self.nodes if c is not None and not optional)
+        """Where the main text is: the path of blocks whose variable slots hold most text outside links; empty if there is none."""
+        weight: dict[str, int] = {}
+        for x in self.nodes:
+            if x.constant is None or not self.knows_template():
+                for k, n in x.chars.items():
+                    weight[k] = weight.get(k, 0) + n
+        return max(sorted(weight), key=weight.get, default="")
+
+    def knows_template(self) -> bool:
+        """Whether what is the same on all pages is template: there are enough of them, and they aren't copies of one page, whose
+        variable slots hold less text than the others."""
+        if self.known is None:
+            size = [0, 0]
+            for x in self.nodes:
+                size[x.constant is None] += sum(x.chars.values())
+            self.known = len(self.pages) >= LEAST_PAGES and size[True] >= size[False]
+        return self.known
+
+    def template_slots(self, stream: list[tuple[object, tuple[int, ...]]], slots: list[Slot]) -> set[int]:
+        """The page's slots that align with a node that says the same on all pages, and do so themselves."""
+        if not self.knows_template():
+            return set()
+        out: set[int] = set()
+        for op, i, j, k, m in _steps([x.key for x in self.nodes], [key for key, _ in stream]):
+            if op == "equal":
+                for node, (_, own) in zip(self.nodes[i:j], stream[k:m], strict=True):
+                    if own and node.constant is not None and not node.optional and node.constant == _sum(" ".join(slots[s].text for s in own)):
+                        out.update(own)
+        return out
 
     def to_json(self) -> str:
-        return json.dumps([self.nodes, self.pages, self.weight])
+        return json.dumps([[[x.key, x.constant, x.optional, x.count, x.chars] for x in self.nodes], self.pages])
 
     @staticmethod
     def from_json(text: str) -> Wrapper:
         def key(x: object) -> object:
             return tuple(map(key, x)) if isinstance(x, list) else x
 
-        nodes, pages, weight = json.loads(text)
-        return Wrapper([[key(k), c, o] for k, c, o in nodes], pages, weight)
+        nodes, pages = json.loads(text)
+        return Wrapper([Node(key(k), c, o, n, w) for k, c, o, n, w in nodes], pages)
+
+
+def _repeat(one: list[Node], other: list[Node]) -> Node | None:
+    """The repeat in ``one`` that ``other`` has once, with the latter's text added."""
+    if len(one) == 1 and isinstance(one[0].key, tuple) and one[0].key == tuple(x.key for x in other):
+        for x in other:
+            one[0].add(Node(x.key, None, x.optional, 0, x.chars))
+        one[0].count += 1
+        return one[0]
+    return None
 
 
 def _container(path: tuple[str, ...]) -> str:
@@ -281,20 +357,21 @@ def _container(path: tuple[str, ...]) -> str:
     return "/".join(path[:at])
 
 
-def extract(html: str, wrapper: tuple[str, frozenset[int]] | None = None) -> str:
-    """The main text of one page, given its host's ``container`` and ``template``; without them the page's own are used."""
+def extract(html: str, wrapper: Wrapper | None = None) -> str:
+    """The main text of one page, given its host's wrapper; without one, or where nothing stands in the wrapper's container, the page's own is used."""
     page = parse(html)
     slots = page[1]
-    if wrapper is None:
-        own = Wrapper.of(html, page)
-        wrapper = own.container(), frozenset()
-    container, template = wrapper
-    live = [s for s in slots if not s.dropped]
-    if any(s.article and s.text.strip() for s in live):
-        chosen = [s for s in live if s.article]
-    else:
-        plain = [s for s in live if not template or zlib.crc32(s.text.strip().encode("utf-8", "replace")) not in template]
-        chosen = [s for s in plain if container not in ("", "article") and (_container(s.path) + "/").startswith(container + "/")] or plain
+    live = [n for n, s in enumerate(slots) if not s.dropped]
+    template = wrapper.template_slots(fold(page[0]), slots) if wrapper else set()
+    chosen: list[Slot] = []
+    for w in (wrapper, None):
+        container = (w or Wrapper.of(page)).container() if w or not chosen else ""
+        inside = [n for n in live if (_container(slots[n].path) + "/").startswith(container + "/")] if container else live
+        chosen = [slots[n] for n in inside if n not in template]
+        if any(s.text.strip() for s in chosen):
+            break
+    if not any(s.article for s in chosen):
+        # outside an article, blocks that are mostly links are menus
         linked: dict[int, list[int]] = {}
         for s in chosen:
             size = linked.setdefault(s.block, [0, 0])
@@ -326,7 +403,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            page = Wrapper.of(html.as_py())
+            page = Wrapper.of(parse(html.as_py()))
             held[host] = held[host].merge(page) if host in held else page
         if len(held) >= HOSTS_HELD:
             yield from flush()
@@ -341,9 +418,9 @@ def _join_wrappers(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [whole.to_json()]})
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 16) -> DataFrame:
-    """``host, wrapper``: one wrapper per host. Pages are folded per task, then by host and salt, then by host."""
-    source = pages.where(F.col(html).isNotNull()).select(host_of(url).alias("host"), F.col(html).alias("html"))
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 64) -> DataFrame:
+    """``host, wrapper``: one wrapper per host; pages without an address have none. Pages are folded per task, then by host and salt, then by host."""
+    source = pages.where(F.col(html).isNotNull()).select(host_of(url).alias("host"), F.col(html).alias("html")).where("host <> ''")
     partial = source.mapInArrow(_learn, "host string, wrapper string")
     partial = partial.withColumn("salt", F.pmod(F.crc32("wrapper"), F.lit(salts)))
     partial = partial.groupBy("host", "salt").applyInPandas(_join_wrappers, "host string, wrapper string")
@@ -353,27 +430,26 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    A null or empty page, and one without main text, has the empty text. Pages without an address share one wrapper. Very long pages
-    are read whole; repeated rows and null ids are kept; other columns are ignored; an empty table gives an empty one.
+    A null or empty page, and one without main text, has the empty text. Pages without an address are taken by themselves. Very long pages
+    are read whole; repeated rows and null ids are kept; other columns are ignored; an empty table gives an empty one. Html isn't
+    shuffled while all wrappers together have at most ``BROADCAST_BYTES``.
     """
     wrappers = materialise(infer_wrappers(pages, url, html), "wrappers")
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(url).alias("host"))
-    joined = source.join(wrappers.hint("shuffle_hash"), "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    small = (wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
+    joined = source.join(F.broadcast(wrappers) if small else wrappers.hint("shuffle_hash"), "host", "left").select("page_id", "url", "html", "host", "wrapper")
     schema = joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, frozenset[int]]] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
             for page, host, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 if host not in known:
                     if len(known) >= HOSTS_HELD:
                         known.clear()
-                    if (found := wrapper.as_py()) is None:
-                        texts.append("")
-                        continue
-                    w = Wrapper.from_json(found)
-                    known[host] = w.container(), w.template()
+                    found = wrapper.as_py()
+                    known[host] = Wrapper.from_json(found) if found else None
                 texts.append(extract(page.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -87,21 +87,54 @@ def test_extract():
     assert html_extract.extract("<article><!-- no --><style>p{}</style><p title='>'>yes</p></article>") == "yes"
 
 
+def wrapper_of(pages):
+    parts = [html_extract.Wrapper.of(html_extract.parse(x)) for x in pages]
+    whole = parts[0]
+    for one in parts[1:]:
+        whole = whole.merge(one)
+    return whole
+
+
 def test_wrapper_generalises():
-    page = lambda n, extra="": f"<body><ul>{'<li>m</li>' * 3}</ul><div id=c><p>same</p>{''.join(f'<p>text {n} {i}</p>' for i in range(n))}{extra}</div></body>"
-    whole = html_extract.Wrapper.of(page(1))
-    for n in range(2, 7):
-        whole = whole.merge(html_extract.Wrapper.of(page(n, "<table><tr><td>opt</td></tr></table>" if n == 3 else "")))
-    keys = [k for k, *_ in whole.nodes]
-    assert ("li", "#", "/li") in keys and ("p", "#", "/p") in keys
-    assert {k for k, _, optional in whole.nodes if optional} >= {"table", "/table"}
-    assert html_extract.Wrapper.from_json(whole.to_json()).nodes == whole.nodes and whole.container() == "body/div#c"
-    fixed = [html_extract.Wrapper.of(f"<div><span>template</span></div><div id=c><p>{i}</p></div>") for i in range(6)]
-    one = fixed[0]
-    for other in fixed[1:]:
-        one = one.merge(other)
-    assert len(one.template()) == 1
-    assert html_extract.extract("<div><span>template</span></div><div id=c><p>mine</p></div>", ("", one.template())) == "mine"
+    page = lambda n, extra="": f"<html><body><ul><li>Home</li></ul><div id=c>{extra}" + "".join(f"<p>text {n} {i} of some length</p>" for i in range(n)) + "</div></body></html>"
+    whole = wrapper_of([page(n, "<table><tr><td>opt</td></tr></table>" if n == 3 else "") for n in range(1, 8)])
+    assert any(isinstance(x.key, tuple) for x in whole.nodes) and any(x.optional for x in whole.nodes)
+    assert whole.container() == "html/body/div#c"
+    again = html_extract.Wrapper.from_json(whole.to_json())
+    assert again.to_json() == whole.to_json() and [x.key for x in again.nodes] == [x.key for x in whole.nodes]
+
+
+def test_wrapper_decides_inside_an_article():
+    """Text that the host repeats at one place is left out there and nowhere else, and names alone leave out no text of an article."""
+    def page(n):
+        story = "Read the imprint." if n == 3 else f"Story {n} goes on."
+        return f"<body><div class=x>Site</div><article id=post-{n}><h1>Title {n}</h1><div>Read the imprint.</div><p class=notice>Notice {n}</p><div class=related>See {n}</div><p><label>Label {n}</label></p><p>{story}</p></article></body>"
+
+    whole = wrapper_of(map(page, range(8)))
+    assert html_extract.extract(page(3), whole) == "Title 3\nNotice 3\nSee 3\nLabel 3\nRead the imprint."
+    assert html_extract.extract(page(3)) == "Title 3\nRead the imprint.\nNotice 3\nSee 3\nLabel 3\nRead the imprint."
+    few = wrapper_of(map(page, range(3)))
+    assert "Read the imprint." in html_extract.extract(page(1), few)  # too few pages to tell
+    same = wrapper_of([page(1).replace("<body>", f"<body><i>{n}</i>") for n in range(9)])
+    assert html_extract.extract(page(1), same) == html_extract.extract(page(1))  # copies of one page tell nothing about template
+
+
+def test_wrapper_decides_without_an_article():
+    def page(n):
+        body = "".join(f"<p>Paragraph {i} of page {n} with <a href=x>a link</a> in it.</p>" for i in range(n % 4 + 1))
+        return f"<body><div id=top><a href=/>Start</a> <span>Our motto stands here</span></div><div id=left><span>Number {n}</span></div><div id=story><h2>Head {n}</h2><span>All rights reserved</span>{body}</div><div id=end>Made by us, {2000 + n}</div></body>"
+
+    whole = wrapper_of(map(page, range(12)))
+    for n in (2, 5):
+        want = [f"Head {n}", *(f"Paragraph {i} of page {n} with a link in it." for i in range(n % 4 + 1))]
+        assert html_extract.extract(page(n), whole) == "\n".join(want) != html_extract.extract(page(n))
+    assert html_extract.extract("<body><section><p>Quite another page.</p></section></body>", whole) == "Quite another page."
+
+
+def test_wrappers_stay_bounded():
+    pages = ["<body>" + "".join(f"<div class=k{chr(97 + n)}{chr(97 + i % 26)}x{chr(97 + i // 26)}><p>{n} {i}</p></div>" for i in range(120)) + "<article><p>story</p></article></body>" for n in range(12)]
+    whole = wrapper_of(pages)
+    assert len(whole.nodes) <= html_extract.MOST_NODES and "article" in [x.key for x in whole.nodes]
 
 
 def test_main_text(spark):
