@@ -49,20 +49,32 @@ MAX_BITS = 1 << 26
 
 
 def key_bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """A bitmap (64-bit words) whose bit ``key & (bits - 1)`` is set for each of the hashed ``keys``; it fills up beyond ``MAX_BITS`` keys, so
-    whoever it lets pass has to be checked by a join."""
+    """A Bloom filter of two probes (64-bit words) over the hashed 64-bit ``keys``. It fills up beyond about ``MAX_BITS`` keys, so whoever it
+    lets pass has to be checked by a join."""
     bits = 1 << 17
     rows = keys.count()
-    while bits < MAX_BITS and bits < 8 * rows:
+    while bits < MAX_BITS and bits < 32 * rows:
         bits *= 2
-    cell = F.col(key).bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, int(`{key}` & 63L))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
+    probes = F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))
+    cells = keys.select(F.explode(probes).alias("cell"))
+    words = cells.select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, int(cell & 63L))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
     out = np.zeros(bits // 64, np.uint64)
     found = words.toPandas()  # one row a word, of which there are a million at most
     out[found["word"].to_numpy(np.int64)] = found["ones"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the signed 64-bit ``keys`` may be among those of ``key_bitmap``."""
+    keys, top = keys.view(np.uint64), np.uint64(64 * len(words) - 1)
+    first, second = keys & top, (keys >> np.uint64(32)) & top
+    some = np.flatnonzero(words[first >> np.uint64(6)] >> (first & np.uint64(63)) & np.uint64(1))
+    cell = second[some]
+    out = np.zeros(len(keys), bool)
+    out[some] = (words[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def split_of(df: DataFrame, *names: str) -> list[str]:
     """``names``, each extended with underscores until no column of ``df`` (compared without case) has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,231 +1,247 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks select some of the positions of a run of tokens and ignore the others, so a run that differs from a benchmark item by
-substitutions at ignored positions still has the same hash. Training hashes are joined with the hashes of benchmark items, and
-around each hit the two texts are compared token by token.
+substitutions at ignored positions still has the same hash. Hashes of training texts are joined with those of benchmark items; around
+each hit the tokens of both are compared, and what counts there is measured on the whole texts.
 
-The item side is joined in blocks of about ``BLOCK_BYTES`` of text, so what is broadcast stays bounded; each block meets all rows.
+The masks are complete: an overlap that counts has a hit, wherever its substitutions are (a test goes through all cases). Both sides
+may be of any size; a bitmap of bounded size keeps most hashes that no item has from the shuffle.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1 marks a token position that counts.
-MASKS = ("1101100111", "1110010111", "11010111001")
-#: Any overlap has a shortest part of at most 31 tokens that counts, and that part has a run of three equal tokens (of two in an item
-#: of five), as at most a fifth of it differs. So these seeds miss nothing; their many hits are first judged by ``REACH`` tokens around.
-RUNS, REACH, HITS = ("11", "111"), 28, 1 << 17
-BLOCK_BYTES = 8 << 20
-#: An overlap counts from so many equal tokens (or the whole of a shorter item) and this share of equal tokens.
-LEAST_TOKENS, LEAST_SHARE, PENALTY = 13, 0.8, 3
+from clademill.llm.common import in_bitmap, key_bitmap, materialise, split_of
+from clademill.llm.exact_dedup import may_be_in
+from clademill.llm.minhash import mixed
+
+#: Fixed values by the number of tokens of an item: 1 marks a position that counts.
+MASKS = {5: ("1111", "11011", "11101", "10111"), 7: ("1111", "11101"), 16: ("1111011", "10101111", "1110100011")}
+#: An overlap counts from so many equal tokens (or this share of a shorter item) and this share of equal tokens.
+LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: Items of fewer tokens match only whole texts.
 SHORTEST = 5
+#: Any overlap of over 31 tokens that counts splits into parts of 16 to 31, one of which counts. So these tokens from a hit's start on suffice.
+BEFORE, AFTER = 28, 36
+CACHED, SLICE = 400_000, 200
 _WORD = re.compile(r"[^\W_]+")
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], dtype=np.uint64)
+_RANDOM = np.random.default_rng(31)
+_FACTORS = _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = dict(zip(sorted({m for ms in MASKS.values() for m in ms}), _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64), strict=False))
+
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1  # never zero, which stands for no token
+        return found
+
+
+_WORDS = _Words()
+
 
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased runs of letters and digits."""
+    words = _WORD.findall(text.lower()) if text else []
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
-def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
 
+def masks_of(length: int) -> tuple[str, ...]:
+    return MASKS[max(n for n in MASKS if n <= length)] if length >= SHORTEST else ()
 
-def _hashes(ids: np.ndarray, mask: str) -> np.ndarray:
+
+def needed(length: int) -> int:
+    """Equal tokens that an overlap with an item of ``length`` tokens needs."""
+    return min(LEAST_TOKENS, -(-4 * length // 5))
+
+
+def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
+    """The signed hash of the selected tokens at each place."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+        return np.zeros(0, np.int64)
+    out = np.full(n, _SALTS[mask])
     for i, x in enumerate(mask):
         if x == "1":
-            out += (ids[i : i + n] + np.uint64(i * 7919)) * _FACTORS[i]
-    return out ^ (out >> np.uint64(31))
-
-
-class SeedIndex:
-    """Seeds of a block of benchmark items: ``(item_id, text)``."""
-
-    def __init__(self, items: list[tuple[object, str]]):
-        self.words: dict[str, int] = {}
-        self.items: list[tuple[object, np.ndarray]] = []
-        self.whole: dict[bytes, list[object]] = {}
-        for item, text in items:
-            ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in tokens(text or "")], dtype=np.uint64)
-            if 0 < len(ids) < SHORTEST:
-                self.whole.setdefault(ids.tobytes(), []).append(item)
-            elif len(ids):
-                self.items.append((item, ids))
-        shortest = min(map(len, MASKS))
-        self.masks = list(MASKS) + [m for m in RUNS if any((len(x) == SHORTEST) == (m == "11") for _, x in self.items)] + ["1" * n for n in range(SHORTEST, shortest) if any(len(x) == n for _, x in self.items)]
-        self.tables = []
-        for mask in self.masks:
-            own = [(i, x) for i, (_, x) in enumerate(self.items) if len(x) == len(mask) or (mask in MASKS and len(x) >= shortest) or (mask in RUNS and (len(x) == SHORTEST) == (mask == "11"))]
-            found = [(_hashes(x, mask), i) for i, x in own]
-            h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-            at = np.concatenate([np.stack([np.full(len(x), i), np.arange(len(x))], 1) for x, i in found]) if found else np.zeros((0, 2), int)
-            order = np.argsort(h, kind="stable")
-            some = np.zeros(1 << 20, bool)
-            some[h >> np.uint64(44)] = True
-            self.tables.append((mask, h[order], at[order], some))
-        # all items in a row, zeros between them, so that the surroundings of many hits are compared at once
-        gap = np.zeros(REACH, np.uint64)
-        self.row = np.concatenate([gap, *(y for _, x in self.items for y in (x, gap))])
-        sizes = np.array([len(x) for _, x in self.items], np.int64)
-        self.starts = REACH + np.cumsum(sizes + REACH) - sizes - REACH
-        self.need = np.minimum(LEAST_TOKENS, np.ceil(LEAST_SHARE * sizes)).astype(np.int64)
-
-    def _near_hits(self, ids: np.ndarray, ends: np.ndarray, mask: str, h: np.ndarray, at: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``text number, place, item, its place`` of a run's hits with enough equal tokens around them, one for each diagonal."""
-        own = _hashes(ids, mask)
-        p = np.flatnonzero(some[own >> np.uint64(44)])
-        low, high = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
-        p, low, n = p[high > low], low[high > low], (high - low)[high > low]
-        around = np.arange(-REACH, REACH + 1)
-        wide = np.concatenate([np.zeros(REACH, np.uint64), ids, np.zeros(REACH, np.uint64)])
-        seen: set[tuple[int, int, int]] = set()
-        bounds = np.cumsum(n)
-        for first in range(0, int(bounds[-1]) if len(n) else 0, HITS):
-            k = np.arange(first, min(first + HITS, int(bounds[-1])))
-            of = np.searchsorted(bounds, k, "right")
-            place, (i, q) = p[of], at[low[of] + k - (bounds[of] - n[of])].T
-            mine, theirs = wide[place[:, None] + REACH + around], self.row[(self.starts[i] + q)[:, None] + around]
-            # places beyond the item's ends or another text's tokens only add to the count, so nothing is lost
-            enough = np.flatnonzero(((mine == theirs) & (mine != 0)).sum(axis=1) >= self.need[i])
-            for x in enough.tolist():
-                text = int(np.searchsorted(ends, place[x], "right"))
-                mark = (text, int(i[x]), int(place[x] - q[x]))
-                if place[x] + len(mask) <= ends[text] and mark not in seen:
-                    seen.add(mark)
-                    yield text, int(place[x]), int(i[x]), int(q[x])
-
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, object, int, int, int, int]]:
-        """``text number, item_id, doc_start, item_start, overlap, equal``, in tokens: the best overlap of each text and item."""
-        get, docs = self.words.get, [tokens(t) for t in texts]
-        ends = np.cumsum([len(x) for x in docs])
-        ids = np.fromiter((get(w, 0) for x in docs for w in x), np.uint64, ends[-1] if len(docs) else 0)
-        for n, x in enumerate(docs):
-            if 0 < len(x) < SHORTEST and (found := self.whole.get(ids[ends[n] - len(x) : ends[n]].tobytes())):
-                for item in found:
-                    yield n, item, 0, 0, len(x), len(x)
-        best: dict[tuple[int, int], tuple] = {}
-        for mask, h, at, some in self.tables:
-            if mask in RUNS:
-                for n, p, i, q in self._near_hits(ids, ends, mask, h, at, some):
-                    begin = int(ends[n] - len(docs[n]))
-                    found, known = self._overlap(ids[begin : ends[n]], self.items[i][1], p - begin, q, mask), best.get((n, i))
-                    if found and (not known or found[3] > known[3]):
-                        best[n, i] = (*found, p - begin - q)
-                continue
-            own = _hashes(ids, mask)
-            for p in np.flatnonzero(some[own >> np.uint64(44)]):
-                low, high = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
-                if low == high:
-                    continue
-                n = int(np.searchsorted(ends, p, "right"))
-                if p + len(mask) > ends[n]:
-                    continue
-                begin = int(ends[n] - len(docs[n]))
-                for i, q in at[low:high].tolist():
-                    diagonal = int(p) - begin - q
-                    known = best.get((n, i))
-                    if known and known[4] == diagonal and known[0] <= p - begin < known[0] + known[2]:
-                        continue
-                    found = self._overlap(ids[begin : ends[n]], self.items[i][1], int(p) - begin, q, mask)
-                    if found and (not known or found[3] > known[3]):
-                        best[n, i] = (*found, diagonal)
-        for (n, i), (start, item_start, length, equal, _) in best.items():
-            yield n, self.items[i][0], start, item_start, length, equal
-
-    @staticmethod
-    def _overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int, mask: str) -> tuple[int, int, int, int] | None:
-        """The best-scoring stretch around a hit without shifts: +1 for an equal token, -PENALTY for a substituted one. Where it has too
-        few equal tokens, the stretch of the diagonal with the most of them among those that meet the share."""
-        back, ahead = min(p, q), min(len(doc) - p, len(item) - q)
-        same = doc[p - back : p + ahead] == item[q - back : q + ahead]
-        if any(x == "1" and not same[back + i] for i, x in enumerate(mask)):
-            return None
-        score = np.where(same, 1, -PENALTY)
-        right = np.cumsum(score[back:])
-        left = np.cumsum(score[:back][::-1]) if back else np.zeros(0, int)
-        stop = back + int(right.argmax()) + 1
-        start = back - (int(left.argmax()) + 1 if back and left.max() > 0 else 0)
-        equal, length = int(same[start:stop].sum()), stop - start
-        if equal >= LEAST_SHARE * length and equal >= min(LEAST_TOKENS, math.ceil(LEAST_SHARE * len(item))):
-            return p - back + start, q - back + start, length, equal
-        # share >= LEAST_SHARE means that no more than a fifth differs: the sum of equal - 4 * different isn't negative
-        total = np.append(0, np.cumsum(np.where(same, 1, -4)))
-        reach = np.maximum.accumulate(total[::-1])[::-1]
-        stops = len(total) - np.searchsorted(reach[::-1], total, "left") - 1
-        count = np.append(0, np.cumsum(same))
-        start = int((count[stops] - count).argmax())
-        hits = np.flatnonzero(same[start : stops[start]])
-        if len(hits) >= min(LEAST_TOKENS, math.ceil(LEAST_SHARE * len(item))):
-            start, length = start + int(hits[0]), int(hits[-1] - hits[0]) + 1
-            return p - back + start, q - back + start, length, len(hits)
-        return None
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[SeedIndex]:
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // BLOCK_BYTES))
-    for i in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()
-        yield SeedIndex(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+            out += ids[i : i + n] * _FACTORS[i]
+    return mixed(out).view(np.int64)
+
+
+def whole(ids: np.ndarray) -> int:
+    """The signed hash of a whole short text."""
+    return int(mixed((ids * _FACTORS[: len(ids)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(ids))).view(np.int64)[0])
+
+
+def widest(same: np.ndarray) -> tuple[int, int, int]:
+    """``start, length, equal`` of the stretch with most equal tokens among those with a share of at least ``LEAST_SHARE``; it starts and ends on equal ones."""
+    # that share means that equal - 4 * different, summed up, isn't negative
+    total = np.append(0, np.cumsum(np.where(same, 1, -4)))
+    reach = np.maximum.accumulate(total[::-1])[::-1]
+    stops = len(total) - np.searchsorted(reach[::-1], total, "left") - 1
+    count = np.append(0, np.cumsum(same))
+    start = int((count[stops] - count).argmax())
+    hits = np.flatnonzero(same[start : stops[start]])
+    return (start + int(hits[0]), int(hits[-1] - hits[0]) + 1, len(hits)) if len(hits) else (0, 0, 0)
+
+
+def _benchmark(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``item, item_id, tokens`` (a row for each item with tokens) and ``seed, item, place``."""
+    source = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [tokens(x.as_py()).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["item", "item_id", "tokens"])
+
+    def sown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(data.as_py(), np.uint64)
+                found = [seeds(ids, m) for m in masks_of(len(ids))] or [np.array([whole(ids)])]
+                places = np.concatenate([np.arange(len(x)) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.full(len(places), item)), pa.array(places)], names=["seed", "item", "place"])
+
+    kind = source.schema["item_id"].dataType.simpleString()
+    items = materialise(source.mapInArrow(tokenised, f"item long, item_id {kind}, tokens binary").where("octet_length(tokens) > 0"), "items")
+    return items, materialise(items.select("item", "tokens").mapInArrow(sown, "seed long, item long, place long"), "seeds")
+
+
+def _sighted(bitmap, used: tuple[str, ...]):
+    """Hits of texts: ``t1, t2, seed, at, window``; the window holds 32 bits of each token from ``BEFORE`` the hit on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                docs = [tokens(x.as_py()) for x in part.column(2)]
+                sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+                ids, ends = np.concatenate([*docs, np.zeros(0, np.uint64)]), np.cumsum(sizes)
+                rows, places, found = [], [], []
+                short = [n for n, x in enumerate(docs) if 0 < len(x) < SHORTEST]
+                if short:
+                    hashes = np.array([whole(docs[n]) for n in short])
+                    ok = in_bitmap(bitmap.value, hashes)
+                    rows.append(np.array(short)[ok])
+                    places.append((ends - sizes)[short][ok])
+                    found.append(hashes[ok])
+                for mask in used:
+                    hashes = seeds(ids, mask)
+                    at = np.flatnonzero(in_bitmap(bitmap.value, hashes))
+                    row = np.searchsorted(ends, at, "right")
+                    inside = at + len(mask) <= ends[row]
+                    rows.append(row[inside])
+                    places.append(at[inside])
+                    found.append(hashes[at[inside]])
+                row, place, hashes = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, places, found))
+                if len(row):
+                    wide = np.concatenate([np.zeros(BEFORE, np.uint32), ids.astype(np.uint32), np.zeros(AFTER, np.uint32)])
+                    index = place[:, None] + np.arange(BEFORE + AFTER)
+                    window = wide[index]
+                    begin, end = (ends - sizes)[row][:, None], ends[row][:, None]
+                    window[(index - BEFORE < begin) | (index - BEFORE >= end)] = 0
+                    columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(hashes), pa.array(place - begin[:, 0]), pa.array([x.tobytes() for x in window], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["t1", "t2", "seed", "at", "window"])
+
+    return run
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``t1, t2, item, place, at, window, tokens`` those with an overlap that counts within the window, as ``t1, t2, item, diagonal``."""
+    for batch in batches:
+        items = batch.column(6).dictionary_encode()
+        texts = [np.frombuffer(x, np.uint64).astype(np.uint32) for x in items.dictionary.to_pylist()]
+        wide = [np.concatenate([np.zeros(BEFORE, np.uint32), x, np.zeros(AFTER, np.uint32)]) for x in texts]
+        of, places = items.indices.to_pylist(), batch.column(3).to_pylist()
+        keep = []
+        for window, n, q in zip(batch.column(5), of, places, strict=True):
+            mine = np.frombuffer(window.as_py(), np.uint32)
+            theirs = wide[n][q : q + BEFORE + AFTER]
+            same = (mine == theirs) & (mine != 0)
+            need = needed(len(texts[n]))
+            if len(texts[n]) < SHORTEST:
+                keep.append(bool((mine == theirs).all()))
+            else:
+                keep.append(int(same.sum()) >= need and widest(same)[2] >= need)
+        some = batch.filter(pa.array(keep, pa.bool_()))
+        diagonal = some.column(4).to_numpy() - some.column(3).to_numpy()
+        yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(diagonal)], names=["t1", "t2", "item", "diagonal"])
+
+
+def _keys(text: str) -> tuple[Column, Column]:
+    """128 bits of a text in two columns."""
+    return F.xxhash64(F.col(text)), F.xxhash64(F.lit(7), F.col(text))
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    one, two = _keys(text)
+    return docs.where(F.col(text).isNotNull()).select(one.alias("t1"), two.alias("t2"), F.col(text).alias("text"))
+
+
+def suspects(docs: DataFrame, items: DataFrame, sown: DataFrame, text: str = "text") -> DataFrame:
+    """``t1, t2, item, diagonal``: the texts (by two hashes), the items they overlap, and the shift between both. A written table."""
+    lengths = [r[0] for r in items.select(F.least(F.floor(F.octet_length("tokens") / 8), F.lit(max(MASKS))).alias("n")).distinct().collect()]  # 16 at most
+    used = tuple(sorted({m for n in lengths for m in masks_of(n)}))
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(sown, "seed"))
+    hits = _texts(docs, text).mapInArrow(_sighted(bitmap, used), "t1 long, t2 long, seed long, at long, window binary")
+    met = hits.join(sown, "seed").join(items.select("item", "tokens"), "item").select("t1", "t2", "item", "place", "at", "window", "tokens")
+    return materialise(met.mapInArrow(_judged, "t1 long, t2 long, item long, diagonal long").distinct(), "suspects")
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap with most equal tokens of a text and an item among the given diagonals."""
+    for batch in batches:
+        rows = []
+        for data, item, diagonals in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True):
+            doc, bench = tokens(data.as_py()), np.frombuffer(item.as_py(), np.uint64)
+            best = (0, 0, 0, 0)
+            for shift in sorted(diagonals):
+                p, q = max(0, shift), max(0, -shift)
+                n = min(len(doc) - p, len(bench) - q)
+                start, length, equal = widest(doc[p : p + n] == bench[q : q + n])
+                if equal > best[3]:
+                    best = (p + start, q + start, length, equal)
+            rows.append(best)
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["t1", "t2", "item", "doc_start", "item_start", "overlap", "equal"])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, item_id, doc_start, item_start, overlap, equal``
-    (places and lengths in tokens; ``equal`` of the ``overlap`` tokens agree).
+    (places and lengths in tokens; ``equal`` of the ``overlap`` tokens agree: the stretch without shifts that has most of them).
 
+    An overlap counts if at least ``LEAST_SHARE`` of its tokens are equal and at least ``LEAST_TOKENS`` are, or that share of a shorter item.
     Tokens are lower-cased runs of letters and digits, over whole texts. Items of fewer than ``SHORTEST`` tokens match only texts
     equal to them, those without tokens match nothing. Null and empty texts have no overlap. Repeated documents or items give a
-    row each; null ids are kept; other columns are ignored; an empty table on either side gives an empty one.
+    row each; null ids are kept; other columns, whatever their names, are ignored; an empty table on either side gives an empty one.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kinds = source.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_start long, item_start long, overlap long, equal long"
-
-    def job(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 200):
-                    part = batch.slice(i, 200)
-                    ids, texts = (c.to_pylist() for c in part.columns)
-                    rows = [(ids[n], *rest) for n, *rest in index.value.matches([t or "" for t in texts])]
-                    if rows:
-                        columns = list(zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.schema.field(0).type), *map(pa.array, columns[1:])], names=["doc_id", "item_id", "doc_start", "item_start", "overlap", "equal"])
-
-        return run
-
-    found = [source.mapInArrow(job(spark.sparkContext.broadcast(x)), schema) for x in _blocks(benchmark, item_id, item_text)]
-    return reduce(DataFrame.unionByName, found)
+    items, sown = _benchmark(benchmark, item_id, item_text)
+    found = suspects(docs, items, sown, text).groupBy("t1", "t2", "item").agg(F.collect_set("diagonal").alias("diagonals"))
+    found = materialise(found, "pairs")
+    some = may_be_in(_texts(docs, text), "t1", found, "t1").join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    some = some.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    both = found.join(some, ["t1", "t2"]).join(items.select("item", "tokens"), "item").select("t1", "t2", "item", "text", "tokens", "diagonals")
+    measured = materialise(both.mapInArrow(_measured, "t1 long, t2 long, item long, doc_start long, item_start long, overlap long, equal long"), "overlaps")
+    one, two = _keys(text)
+    rows = may_be_in(docs.select(F.col(doc_id).alias("doc_id"), one.alias("t1"), two.alias("t2")), "t1", measured, "t1")
+    out = rows.join(measured, ["t1", "t2"]).join(items.select("item", "item_id"), "item")
+    return out.select("doc_id", "item_id", "doc_start", "item_start", "overlap", "equal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, by the rule of ``overlaps``; nothing shuffles."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
-
-    def job(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 200):
-                    part = batch.slice(i, 200)
-                    keep = np.ones(part.num_rows, bool)
-                    for n, *_ in index.value.matches([t or "" for t in part.column(at).to_pylist()]):
-                        keep[n] = False
-                    yield part.filter(pa.array(keep))
-
-        return run
-
-    for index in _blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(job(spark.sparkContext.broadcast(index)), docs.schema)
-    return docs
+    """The rows of ``docs`` that overlap no benchmark item, by the rule of ``overlaps``. Only rows that may overlap one are shuffled."""
+    found = suspects(docs, *_benchmark(benchmark, item_id, item_text), text).select("t1", "t2").distinct()
+    t1, t2, maybe = split_of(docs, "t1", "t2", "maybe")
+    bitmap = materialise(found.select(F.col("t1").alias(t1), F.col("t2").alias(t2)), "contaminated")
+    one, two = _keys(text)
+    flagged = may_be_in(docs.withColumn(t1, F.when(F.col(text).isNotNull(), one)).withColumn(t2, two), t1, bitmap, t1, maybe)
+    clean = flagged.where(~F.col(maybe)).select(*docs.columns)
+    return clean.unionByName(flagged.where(F.col(maybe)).join(bitmap, [t1, t2], "left_anti").select(*docs.columns))

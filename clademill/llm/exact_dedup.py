@@ -57,14 +57,14 @@ def flag_repeats(df: DataFrame, sha: str, bitmap: DataFrame, bits: int, flag: st
     return probe.withColumn(flag, F.coalesce(bit, F.lit(0)) == 1).drop(word, ones)
 
 
-def may_be_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+def may_be_in(df: DataFrame, column: str, keys: DataFrame, key: str, flag: str | None = None) -> DataFrame:
     """The rows of ``df`` whose long ``column`` is among ``keys``, and perhaps a few others, without a shuffle: the keys' cells are
-    broadcast as a bitmap of bounded size. A join that follows then shuffles little."""
+    broadcast as a bitmap of bounded size. A join that follows then shuffles little. With ``flag`` all rows, with a column that tells."""
     sha, maybe = split_of(df, "sha", "maybe")
-    marks = materialise(keys.select(F.unhex(F.hex(key)).alias("sha")).distinct(), "keys")
+    marks = materialise(keys.select(F.unhex(F.hex(key)).alias("sha")).where("sha IS NOT NULL").distinct(), "keys")
     bitmap, bits = repeated_cells(marks.union(marks), "sha")  # each key twice, so that every one's cell is set
-    flagged = flag_repeats(df.withColumn(sha, F.unhex(F.hex(column))), sha, bitmap, bits, maybe)
-    return flagged.where(F.col(maybe)).select(*df.columns)
+    flagged = flag_repeats(df.withColumn(sha, F.unhex(F.hex(column))), sha, bitmap, bits, flag or maybe)
+    return flagged.drop(sha) if flag else flagged.where(F.col(maybe)).select(*df.columns)
 
 
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int | None = None) -> DataFrame:

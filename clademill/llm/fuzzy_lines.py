@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm import minhash
-from clademill.llm.common import key_bitmap, materialise, split_of
+from clademill.llm.common import in_bitmap, key_bitmap, materialise, split_of
 
 SHINGLE, LEAST = 8, 0.8
 #: Documents at a time, code points hashed at a time, and keys that a task remembers so as to sign a repeated line once.
@@ -131,14 +131,12 @@ def lines_of(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bitmap.value
-        top, seen = 64 * len(words) - 1, set()
+        seen: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 lines = [x for t in batch.slice(i, SLICE).column(0) for x in normal_lines(t.as_py()) if x]
                 keys = np.fromiter(map(line_key, lines), np.int64, len(lines))
-                cell = (keys & top).astype(np.uint64)
-                maybe = np.flatnonzero(words[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1))
+                maybe = np.flatnonzero(in_bitmap(bitmap.value, keys))
                 chosen = [n for n, k in zip(maybe.tolist(), keys[maybe].tolist(), strict=True) if k not in seen and not seen.add(k)]
                 if len(seen) > REMEMBERED:
                     seen.clear()

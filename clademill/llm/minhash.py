@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm.common import components, discard, materialise
+from clademill.llm.exact_dedup import may_be_in
 
 BANDS, ROWS = 14, 5
 #: Rows of a band are compared in blocks of so many; a larger band is dealt out by pairs of blocks.
-BLOCK = 2048
+BLOCK = 512
 _RANDOM = np.random.default_rng(20)
 _FLIPS = _RANDOM.integers(0, 1 << 32, 256, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -168,12 +169,12 @@ def meetings(signed: DataFrame) -> DataFrame:
     dealt = signed.where("bands IS NOT NULL").select("id", F.explode("bands").alias("band"))
     ends = dealt.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     ends = materialise(ends.select("band", "low"), "ends")  # written, so that the join deals both sides out and Spark can split a hot band
-    met = materialise(dealt.join(ends, "band").where("id <> low").select("band", "id", "low").distinct(), "meetings")
+    met = materialise(may_be_in(dealt, "band", ends, "band").join(ends, "band").where("id <> low").select("band", "id", "low").distinct(), "meetings")
     discard(ends)
     return met
 
 
-def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float = 0.8, extra: DataFrame | None = None, block: int | None = None, count: int = BANDS * ROWS) -> DataFrame:
+def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float = 0.8, extra: DataFrame | None = None, count: int = BANDS * ROWS) -> DataFrame:
     """``node, root`` of the groups that links join, as ``common.components`` gives them.
 
     ``signed``: a written table ``id long, bands array<long>, sketch binary``; an id may come more than once, and its bands and sketch are
@@ -190,7 +191,7 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Set
     roots = components(sure)
     others = met.select("band", "id").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     crowds = others.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    crowds = materialise(crowds.select("band", F.ceil(F.col("n") / (block or BLOCK)).cast("int").alias("g")), "crowds")
+    crowds = materialise(crowds.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "crowds")
     crowd = materialise(others.join(crowds, "band"), "crowd")
     some = crowd.select("id").distinct()
     marks = signed.where("bands IS NOT NULL").join(some, "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -319,7 +319,7 @@ def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     def some(ids: DataFrame) -> DataFrame:
         return materialise(may_be_in(texts, "id", ids, "id").join(ids, "id", "left_semi"), "texts")
 
-    roots = materialise(minhash.linked(signed, some, lambda data: [shingle_set(x, size) for x in data], least, close, block=512), "roots")
+    roots = materialise(minhash.linked(signed, some, lambda data: [shingle_set(x, size) for x in data], least, close), "roots")
     members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(rid))
     ranked = kept.select(F.col(rid).alias("node"), order.alias("order")).join(members, "node")
