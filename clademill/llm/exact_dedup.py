@@ -1,7 +1,7 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass one counts the filter's cells: each text's hash falls into one of ``bits`` cells, cells are combined per task before they
-shuffle, and those hit at least twice are set in a second bitmap. Pass two probes that bitmap: a text whose cell is clear is
+Pass one counts the filter's cells: two hash functions send each text to two of ``bits`` cells, cells are combined per task before they
+shuffle, and those hit at least twice are set in a second bitmap. Pass two probes that bitmap: a text with a clear cell is
 certainly unique and passes straight through without a shuffle; only the rest is grouped by its digest. The bitmap holds at most
 ``MAX_BITS`` bits (one million 64-bit words), so its broadcast is bounded whatever the input; beyond that it saturates and more
 rows take the exact path, with the same result.
@@ -26,8 +26,11 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _cell(sha: str, bits: int) -> str:
-    return f"pmod(xxhash64(`{sha}`), {bits}L)"
+PROBES = 2
+
+
+def _cell(sha: str, bits: int, probe: int) -> str:
+    return f"pmod(xxhash64(`{sha}`, {probe}), {bits}L)"
 
 
 def repeated_cells(digests: DataFrame, sha: str = "sha", bits: int | None = None) -> tuple[DataFrame, int]:
@@ -42,19 +45,23 @@ def repeated_cells(digests: DataFrame, sha: str = "sha", bits: int | None = None
             bits *= 2
     if bits > MAX_BITS:
         raise ValueError(f"bits must be at most {MAX_BITS}: the bitmap is broadcast")
-    cells = digests.selectExpr(f"{_cell(sha, bits)} AS cell").groupBy("cell").count().where("count > 1")
+    both = ", ".join(_cell(sha, bits, i) for i in range(PROBES))
+    # a text whose two cells are one hits it once
+    cells = digests.selectExpr(f"explode(array_distinct(array({both}))) AS cell").groupBy("cell").count().where("count > 1")
     words = cells.select(F.expr("cell div 64").alias("word"), F.expr("shiftleft(1L, int(cell % 64))").alias("one"))
     return words.groupBy("word").agg(F.bit_or("one").alias("ones")), bits
 
 
 def flag_repeats(df: DataFrame, sha: str, bitmap: DataFrame, bits: int, flag: str) -> DataFrame:
     """``df`` with a boolean column ``flag``: false for a digest that occurs once for certain."""
-    word, ones = split_of(df, "word", "ones")
-    probe = df.withColumn(word, F.expr(f"{_cell(sha, bits)} div 64"))
+    word, ones, hit = split_of(df, "word", "ones", "hit")
     small = bitmap.select(F.col("word").alias(word), F.col("ones").alias(ones))
-    probe = probe.join(F.broadcast(small), word, "left")
-    bit = F.expr(f"shiftrightunsigned(`{ones}`, int({_cell(sha, bits)} % 64)) & 1L")
-    return probe.withColumn(flag, F.coalesce(bit, F.lit(0)) == 1).drop(word, ones)
+    out = df.withColumn(hit, F.lit(True))
+    for i in range(PROBES):
+        probe = out.withColumn(word, F.expr(f"{_cell(sha, bits, i)} div 64")).join(F.broadcast(small), word, "left")
+        bit = F.expr(f"shiftrightunsigned(`{ones}`, int({_cell(sha, bits, i)} % 64)) & 1L")
+        out = probe.withColumn(hit, F.col(hit) & (F.coalesce(bit, F.lit(0)) == 1)).drop(word, ones)
+    return out.withColumnRenamed(hit, flag)
 
 
 def may_be_in(df: DataFrame, column: str, keys: DataFrame, key: str, flag: str | None = None) -> DataFrame:
@@ -95,8 +102,8 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits:
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; the rule is that of ``classify``.
 
-    Only possibly repeated rows shuffle, combined per task to one row for each digest first. Rows equal in text, length and id
-    are settled by a hash of the text. Columns whose names clash with internal ones are safe.
+    Only possibly repeated rows shuffle, combined per task to one row for each digest first. Rows equal in length and id are
+    settled by a hash of the text here, as their order in the files can't be told by their contents. Columns whose names clash with internal ones are safe.
     """
     sha, maybe, row = split_of(docs, "sha", "maybe", "row")
     hashed = docs.withColumn(sha, F.unhex(digest(F.col(text))))

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clademill.llm.common import materialise, split_of
+
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
 STRIDE = WINDOW - max(WIDTHS) + 1
 UNKNOWN = "und"
-#: Texts of so many bytes are read block by block.
-LONG = 1 << 24
-#: Bounds of the training sample: rows of each language, windows of each row, languages.
-ROWS_EACH, WINDOWS_EACH, MOST_LANGUAGES = 1500, 4, 200
+#: Windows at a time.
+BLOCK = 4096
+#: Bound of the training sample: rows of each language, read whole.
+ROWS_EACH = 400
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -102,10 +104,11 @@ class ByteConvNet:
         return np.take_along_axis(y, at[:, None, :], 1)[:, 0] + self.bias, at
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """The language of each text and its probability, averaged over all its windows by their bytes."""
+        """The language of each text and its probability, averaged over all its windows by their bytes, ``BLOCK`` windows at a time."""
         out: list[tuple[str, float]] = []
         group: list[tuple[int, np.ndarray, np.ndarray]] = []
         rows = 0
+        sums: dict[int, np.ndarray] = {}
 
         def finish() -> None:
             nonlocal group, rows
@@ -113,38 +116,29 @@ class ByteConvNet:
                 p = self.probabilities(np.concatenate([x for _, x, _ in group]))
                 at = 0
                 for i, x, weight in group:
-                    mean = weight @ p[at : at + len(x)] / weight.sum()
+                    sums[i] = sums.get(i, 0) + weight @ p[at : at + len(x)].astype(np.float64)
                     at += len(x)
-                    best = int(mean.argmax())
-                    out[i] = (self.classes[best], float(min(1.0, mean[best])))
             group, rows = [], 0
 
         for i, text in enumerate(texts):
             out.append((UNKNOWN, 0.0))
             if not self.classes or not _LETTER.search(text.decode("utf-8", "replace")):
                 continue
-            if len(text) >= LONG:
-                out[i] = self._long(text)
-                continue
             x = windows(text)
-            weight = np.full(len(x), STRIDE, np.float32)
+            weight = np.full(len(x), STRIDE, np.float64)
             weight[-1] = max(1, len(text) - STRIDE * (len(x) - 1))
-            group.append((i, x, weight))
-            rows += len(x)
-            if rows >= 512:
-                finish()
+            weight /= weight.sum()
+            for at in range(0, len(x), BLOCK):
+                group.append((i, x[at : at + BLOCK], weight[at : at + BLOCK]))
+                rows += len(group[-1][1])
+                if rows >= 512:
+                    finish()
         finish()
+        for i, mean in sums.items():
+            best = int(mean.argmax())
+            out[i] = (self.classes[best], float(min(1.0, mean[best])))
         return out
 
-    def _long(self, text: bytes) -> tuple[str, float]:
-        total, weight = np.zeros(len(self.classes)), 0.0
-        for at in range(0, len(text), STRIDE << 12):
-            part = text[at : at + (STRIDE << 12) + WINDOW - STRIDE]
-            total += self.probabilities(windows(part)).mean(axis=0) * len(part)
-            weight += len(part)
-        best = int(total.argmax())
-        return self.classes[best], float(min(1.0, total[best] / weight))
-
 
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning; a null id counts as the empty text."""
@@ -155,30 +149,26 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, langs, found = [], [], []
         for key, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            all_ = windows(data)
-            if len(all_) > 1:
-                all_ = all_[:-1]
-            for i in sorted({round(i * (len(all_) - 1) / max(1, WINDOWS_EACH - 1)) for i in range(WINDOWS_EACH)}):
+            for window in windows(data):
                 keys.append(key)
                 langs.append(lang)
-                found.append(all_[i].tobytes())
+                found.append(window.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["key", "lang", "window"])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ByteConvNet:
-    """Learns from rows that are not held out and have a language and a letter: about ``ROWS_EACH`` of each language, those
-    with the lowest hashes, and ``WINDOWS_EACH`` windows spread evenly over each. No such row: every text is ``und``.
-    Only the ``MOST_LANGUAGES`` most frequent languages are classes; a rarer one is never predicted."""
+    """Learns from rows that are not held out and have a language and a letter: all windows of about ``ROWS_EACH`` rows of each language,
+    those with the lowest hashes. Every language that such a row has is a class. No such row: every text is ``und``."""
     rows = docs.where(~held_out(F.col(doc_id))).where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    rows = rows.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("data"))
+    counts = materialise(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod("key", F.lit(1 << 20))).alias("least")), "languages")
+    classes = sorted(r[0] for r in counts.select("lang").collect())
+    if not classes:
         return ByteConvNet([])
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, ROWS_EACH / n)))), F.col(lang))
-    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < share * F.lit(1 << 20))
-    sample = sample.select(key.alias("key"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("data"))
+    # a language always has the row with its lowest hash
+    most = F.greatest(F.lit(ROWS_EACH) / F.col("n") * (1 << 20), F.col("least") + 1)
+    sample = rows.join(counts, "lang").where(F.pmod("key", F.lit(1 << 20)) < most).select("key", "lang", F.col("data").cast("binary").alias("data"))
     got = sorted(tuple(r) for r in sample.mapInArrow(_examples, "key long, lang string, window binary").collect())
-    classes = sorted(counts)
     x = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(-1, WINDOW)
     return ByteConvNet(classes).fit(x, np.array([classes.index(r[1]) for r in got]))
 
@@ -203,7 +193,8 @@ def identify(docs: DataFrame, net: ByteConvNet, text: str = "text", keep: tuple[
     A text that is null, empty or without a letter is ``und`` with score 0. Very long texts are read whole, in blocks. Repeated
     rows and null ids are scored like any other; other columns are ignored; an empty table gives an empty one.
     """
-    source = docs.select(*keep, F.col(text).cast("binary").alias("__data"))
+    (data,) = split_of(docs, "data")
+    source = docs.select(*keep, F.col(text).cast("binary").alias(data))
     schema = source.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return source.mapInArrow(_scored(net, len(keep)), schema)
 

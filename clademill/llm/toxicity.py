@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import materialise
+from clademill.llm.common import materialise, split_of
 
 #: Bound of the training sample, in labelled rows; those with the lowest hashes are taken.
 MOST_ROWS = 20_000
-#: A learned stem occurs in so many toxic texts; so many stems are used at most.
-LEAST_TEXTS, MOST_STEMS = 4, 5_000
+#: A learned stem occurs in so many toxic texts.
+LEAST_TEXTS = 4
 STEM = 5
 FOLDS = 4
 
@@ -93,7 +93,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
                 hidden += plain in INSULTS or get("=" + plain, 0.0) >= 2.5
     marks = sum(1 for c in text if not c.isalnum() and not c.isspace())
     return [
-        math.log1p(n), chars / n, fixed / n, min(fixed, 20), strong / n, min(strong, 20), weak / n, min(weak, 20), total / n, min(total, 60.0), most, min(len(found), 20),
+        math.log1p(n), chars / n, fixed / n, fixed, strong / n, strong, weak / n, weak, total / n, total, most, len(found),
         second / n, near / n, upper / chars, shout / n, text.count("!") / n, text.count("?") / n, marks / chars, len(odd) / n, len(_REPEAT.findall(low)) / n, hidden / n,
     ]
 
@@ -209,7 +209,7 @@ def _lexicon(counts: list[tuple[str, list[int], list[int]]], rows: list[tuple[in
         odds = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (other - b + 0.5))
         if odds - 1.6 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 0.5:
             out[stem] = odds
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MOST_STEMS])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Scorer:
@@ -217,16 +217,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     Stems for the features of each fold are learned on the other folds, so trees see them as they will be on new texts; the scorer
     then uses stems of all. Calibration uses scores of trees fitted on the other folds. Without labels of both kinds every score is
-    the share of toxic rows, or 0.5.
+    the share of toxic rows, or 0.5. Of labels repeated for one id a positive one counts; other columns, whatever their names, are ignored.
     """
     usable = labels.where(~held_out(F.col(doc_id)) & F.col(toxic).isNotNull() & F.col(doc_id).isNotNull())
+    usable = usable.groupBy(F.col(doc_id).alias("id")).agg((F.max(toxic) > 0).cast("int").alias("toxic"))
     total = usable.count()
-    key = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20))
-    chosen = usable.where(key < F.lit(min(1.0, MOST_ROWS / max(1, total)) * (1 << 20)))
-    chosen = chosen.select(F.col(doc_id).alias("__id"), (F.col(toxic) > 0).cast("int").alias("toxic"))
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))  # MOST_ROWS bounds the broadcast
-    rows = rows.select((key / F.lit(1 << 10)).cast("long").alias("key"), "toxic", F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"))
-    rows = materialise(rows, "labelled")
+    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(min(1.0, MOST_ROWS / max(1, total)) * (1 << 20)))
+    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = source.join(F.broadcast(chosen), "id")  # about MOST_ROWS different ids bound the broadcast
+    rows = materialise(rows.select("toxic", "text", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     sizes = [[0, 0] for _ in range(FOLDS)]
     for fold, is_toxic, n in rows.groupBy("fold", "toxic").count().collect():
         sizes[fold][1 - is_toxic] = n
@@ -238,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     marked = sum(F.col(f"n{f}_1") for f in range(FOLDS))
     share = sum(s[0] for s in sizes) / sum(map(sum, sizes))
     plain = sum(F.col(f"n{f}_0") for f in range(FOLDS))
-    found = stem.agg(*sums).where((marked >= LEAST_TEXTS) & (marked > (marked + plain) * share * 1.4)).orderBy(F.desc(marked / (marked + plain)), F.desc(marked), "stem").limit(4 * MOST_STEMS).collect()
+    found = stem.agg(*sums).where((marked >= LEAST_TEXTS) & (marked > (marked + plain) * share * 1.4)).collect()  # stems of a bounded sample
     counts = [(r[0], list(r[1 : 1 + FOLDS]), list(r[1 + FOLDS :])) for r in found]
     lexicons = [_lexicon(counts, sizes, [g for g in range(FOLDS) if g != f], LEAST_TEXTS - 1) for f in range(FOLDS)]
 
@@ -263,7 +262,8 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str,
     Whole texts are read, however long. Repeated rows and null ids are scored like any other; other columns are ignored; an empty
     table gives an empty one.
     """
-    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    (data,) = split_of(docs, "data")
+    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(data))
     schema = source.select(*keep, F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,14 +68,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or nothing where the records are too few or too small to train one."""
+    """A trained dictionary; where the records are too few or too small to train one, the start of the records themselves, which
+    Zstandard takes as a dictionary of raw content. Empty only without records."""
     total = sum(map(len, records))
-    if len(records) < 16 or total < 8 * 1024:
-        return b""
     try:
-        return zstandard.train_dictionary(min(size, total // 8), records, k=256, d=8, accel=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        if len(records) >= 16 and total >= 8 * 1024:
+            return zstandard.train_dictionary(min(size, total // 8), records, k=256, d=8, accel=8).as_bytes()
+    except zstandard.ZstdError:  # too little that the samples share
+        pass
+    return b"".join(records)[: min(size, max(64, total // 8))]
 
 
 def archive_rows(records: list[bytes], dictionary_bytes: int, level: int) -> Iterator[bytes]:

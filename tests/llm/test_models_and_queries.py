@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clademill.llm import common, html_extract, langid, queries, toxicity
@@ -30,11 +31,17 @@ def test_language_edges(spark):
     nothing = langid.train(docs.limit(0))
     assert langid.identify(odd, nothing).where("lang_pred <> 'und'").count() == 0
     text = docs.first().text.encode() * 3
-    old, langid.LONG = langid.LONG, 1000
+    whole = net.predict([text])[0]
+    old, langid.BLOCK = langid.BLOCK, 3
     try:
-        assert net.predict([text])[0][0] == net._long(text)[0]
+        assert net.predict([text])[0] == (whole[0], pytest.approx(whole[1], abs=1e-6))
     finally:
-        langid.LONG = old
+        langid.BLOCK = old
+
+
+def test_every_language_is_a_class(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 230} text", f"l{i % 230:03d}", 1) for i in range(1000)], "doc_id long, text string, lang string, n int").withColumn("key", F.lit(1))
+    assert len(langid.train(docs).classes) == 230
 
 
 def test_windows_cover_every_ngram():
@@ -56,7 +63,8 @@ def test_toxicity(spark):
 
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "idiot " * 100_000), (None, "fine")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (9, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(1, 0), (9, 1), (None, 1), (3, None), (1, 1), (1, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    docs = docs.withColumn("toxic", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("id", F.lit(3)).withColumn("score", F.lit("a")).withColumn("data", F.lit("b"))
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
