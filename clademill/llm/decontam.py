@@ -31,7 +31,7 @@ LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 SHORTEST = 5
 #: Any overlap of over 31 tokens that counts splits into parts of 16 to 31, one of which counts. So these tokens from a hit's start on suffice.
 BEFORE, AFTER = 28, 36
-CACHED, SLICE = 400_000, 200
+CACHED, SLICE = 200_000, 200
 _WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(31)
 _FACTORS = _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,13 +46,10 @@ class _Words(dict):
         return found
 
 
-_WORDS = _Words()
-
-
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased runs of letters and digits."""
+def tokens(text: str | None, known: _Words) -> np.ndarray:
+    """Hashes of the lower-cased runs of letters and digits; ``known``: those that the task has met before."""
     words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def masks_of(length: int) -> tuple[str, ...]:
@@ -98,8 +95,9 @@ def _benchmark(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame
     source = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), F.col(text).alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
-            ids = [tokens(x.as_py()).tobytes() for x in batch.column(2)]
+            ids = [tokens(x.as_py(), known).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["item", "item_id", "tokens"])
 
     def sown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +117,11 @@ def _sighted(bitmap, used: tuple[str, ...]):
     """Hits of texts: ``t1, t2, seed, at, window``; the window holds 32 bits of each token from ``BEFORE`` the hit on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                docs = [tokens(x.as_py()) for x in part.column(2)]
+                docs = [tokens(x.as_py(), known) for x in part.column(2)]
                 sizes = np.fromiter(map(len, docs), np.int64, len(docs))
                 ids, ends = np.concatenate([*docs, np.zeros(0, np.uint64)]), np.cumsum(sizes)
                 rows, places, found = [], [], []
@@ -198,10 +197,11 @@ def suspects(docs: DataFrame, items: DataFrame, sown: DataFrame, text: str = "te
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The overlap with most equal tokens of a text and an item among the given diagonals."""
+    known = _Words()
     for batch in batches:
         rows = []
         for data, item, diagonals in zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True):
-            doc, bench = tokens(data.as_py()), np.frombuffer(item.as_py(), np.uint64)
+            doc, bench = tokens(data.as_py(), known), np.frombuffer(item.as_py(), np.uint64)
             best = (0, 0, 0, 0)
             for shift in sorted(diagonals):
                 p, q = max(0, shift), max(0, -shift)

@@ -205,7 +205,9 @@ def keep_identified(docs: DataFrame, net: ByteConvNet, text: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = net.predict([(x or "").encode() for x in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = net.predict([(x or "").encode("utf-8", "replace") for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS, CACHED_BYTES = 800_000, 64
+CACHED_WORDS, CACHED_BYTES = 500_000, 64
 #: ASCII punctuation but the apostrophe, which starts tokens such as "'s".
 PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Longest stretch of tokens of a window that is carried over, as a share of a block.

@@ -103,10 +103,10 @@ def shingle_set(data: bytes, size: int) -> np.ndarray:
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = np.empty((batch.num_rows, minhash.BANDS * minhash.ROWS), np.uint32)
-            for n, data in enumerate(batch.column(1)):
-                low[n] = minhash.minima(minhash.mixed(shingle_set(data.as_py(), size)), np.zeros(1, np.int64))[0]
+        for batch in (x.slice(i, 100) for x in batches for i in range(0, x.num_rows, 100)):
+            sets = [shingle_set(data.as_py(), size) for data in batch.column(1)]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            low = minhash.minima(minhash.mixed(np.concatenate(sets)), np.cumsum(sizes) - sizes)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(minhash.band_keys(low).ravel()), minhash.BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), bands, pa.array(minhash.sketches(low), pa.binary())], names=["id", "bands", "sketch"])
 
