@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from clademill.operators.calls import Tiers, called_sites, summarise
@@ -18,7 +21,8 @@ def options(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="clademill", description=__doc__)
     p.add_argument("alignments", help="a file, folder or glob of alignments; .gz files are decompressed")
     p.add_argument("--tree", help="tree files named like the alignments")
-    p.add_argument("--weights", help="an .npz file of model weights")
+    p.add_argument("--weights", required=True, help="an .npz file of model weights")
+    p.add_argument("--window-size", type=int, default=usual.model.window, help="codons around a site, as the weights were trained with")
     p.add_argument("--reference", help="label of the reference sequence")
     p.add_argument("--output", help="CSV folder for predictions")
     p.add_argument("--max-species", type=int, default=usual.most_species)
@@ -31,12 +35,20 @@ def options(argv: list[str]) -> argparse.Namespace:
 
 def main(argv: list[str]) -> int:
     a = options(argv)
+    if not os.path.exists(a.weights):
+        print(f"no weights at {a.weights}", file=sys.stderr)
+        return 1
+    model = replace(REGRESSOR, window=a.window_size)
+    weights = load_weights(a.weights, model)
     spark = SparkSession.builder.appName("clademill").getOrCreate()
     tiers = Tiers(a.percentile_1, a.percentile_2, a.z_1, a.z_2, a.use_zscore, a.gate_1, a.gate_2)
-    weights = load_weights(a.weights, REGRESSOR) if a.weights else None
-    found = scan(spark, a.alignments, weights, a.tree, ScanOptions(a.reference, a.max_species, a.estimate_lengths, True, tiers))
     out = a.output or default_output(a.alignments)
-    write_predictions(found, out)
+    try:
+        found = scan(spark, a.alignments, weights, a.tree, ScanOptions(a.reference, a.max_species, a.estimate_lengths, True, tiers, model))
+        write_predictions(found, out)
+    except (AnalysisException, ValueError) as why:  # a path that isn't there, a reference that isn't in an alignment
+        print(why, file=sys.stderr)
+        return 1
     written = spark.read.csv(out, header=True, schema=found.schema)
     summarise(written).show(truncate=False)
     called_sites(written).show(50, truncate=False)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions.codon import sigmoid
 from clademill.operators.metrics import average_precision, batches, best_epoch, class_balance, roc_auc
+from clademill.plans.storage import new_path
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,8 @@ class ModelSpec:
     regressor: bool
 
 
+#: Sites of an alignment that are scored together.
+SITES = 512
 REGRESSOR = ModelSpec(128, 8, 4, 1, 256, True)
 CLASSIFIER = ModelSpec(64, 4, 2, 5, 100, False)
 
@@ -255,27 +258,31 @@ def score_sites(sites: DataFrame, alignments: DataFrame, weights: Weights, spec:
     """``aln_id, site, score`` of the given sites. Filter variable sites first: the model is opaque to the optimiser and sites don't depend on each other.
 
     ``sites``: ``aln_id, site, codon_toks, aa_toks`` (arrays of species times window). ``alignments``: ``aln_id, n_species, dists``
-    (flat matrix) and ``coords`` (flat, 4 a species), which meet their sites by a join on ``aln_id`` and are unpacked once for
-    each run of an alignment's sites. ``pad`` fills up to the specification's number of species.
+    (flat matrix) and ``coords`` (flat, 4 a species). Sites are dealt out by blocks of ``SITES`` of an alignment, and a block meets one copy of the
+    matrix; no site's row carries it. ``pad`` fills up to the specification's number of species.
     """
     shared = sites.sparkSession.sparkContext.broadcast(weights)  # a few megabytes, fixed by the specification
-    rows = sites.join(alignments, "aln_id").sortWithinPartitions("aln_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for aln, part in frame.groupby("aln_id", sort=False):
-                n = int(part["n_species"].iloc[0])
-                size = max(n, spec.most_species) if pad else n
-                dist, coords = np.zeros((size, size)), np.zeros((size, 4))
-                dist[:n, :n] = np.asarray(part["dists"].iloc[0]).reshape(n, n)
-                coords[:n] = np.asarray(part["coords"].iloc[0]).reshape(n, 4)
-                codons, aas = np.full((len(part), size, spec.window), 65), np.full((len(part), size, spec.window), 22)
-                codons[:, :n] = np.stack(part["codon_toks"].to_numpy()).reshape(len(part), n, spec.window)
-                aas[:, :n] = np.stack(part["aa_toks"].to_numpy()).reshape(len(part), n, spec.window)
-                mask = np.arange(size) >= n
-                yield pd.DataFrame({"aln_id": aln, "site": part["site"].to_numpy(), "score": predict(shared.value, spec, codons, aas, dist, coords, mask if spec.regressor else None)})
-
-    return rows.mapInPandas(run, "aln_id string, site int, score double")
+    rows = sites.select("aln_id", "site", "codon_toks", "aa_toks", F.floor(F.col("site") / SITES).cast("int").alias("block"))
+    blocks = rows.select(F.col("aln_id").alias("aln"), F.col("block").alias("part")).distinct()
+    shapes_ = alignments.select(F.col("aln_id").alias("aln"), "n_species", "dists", "coords").join(blocks, "aln")
+
+    def run(part: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or shape.empty:
+            return pd.DataFrame({"aln_id": [], "site": [], "score": []})
+        n = int(shape["n_species"].iloc[0])
+        size = max(n, spec.most_species) if pad else n
+        dist, coords = np.zeros((size, size)), np.zeros((size, 4))
+        dist[:n, :n] = np.asarray(shape["dists"].iloc[0]).reshape(n, n)
+        coords[:n] = np.asarray(shape["coords"].iloc[0]).reshape(n, 4)
+        codons, aas = np.full((len(part), size, spec.window), 65), np.full((len(part), size, spec.window), 22)
+        codons[:, :n] = np.stack(part["codon_toks"].to_numpy()).reshape(len(part), n, spec.window)
+        aas[:, :n] = np.stack(part["aa_toks"].to_numpy()).reshape(len(part), n, spec.window)
+        mask = np.arange(size) >= n
+        scores = predict(shared.value, spec, codons, aas, dist, coords, mask if spec.regressor else None)
+        return pd.DataFrame({"aln_id": part["aln_id"], "site": part["site"], "score": scores})
+
+    dealt = rows.groupBy("aln_id", "block").cogroup(shapes_.groupBy("aln", "part"))
+    return dealt.applyInPandas(run, "aln_id string, site int, score double")
 
 
 class AdamW:
@@ -313,16 +320,19 @@ def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec =
     pr_auc``. Rows: a unique key, ``tokens`` and ``dists`` (flat), ``label``.
 
     Each batch is one job: tasks compute gradients of their rows, of which one set a task is gathered, and the driver takes the step.
-    The positive class is weighted by the training rows' balance.
+    Rows are written in the order of their batches once an epoch, so that a step reads the files of its own batch only. The positive class is weighted by the training rows' balance.
     """
     spark = train.sparkSession
     weights, found, best, top = seeded_weights(spec, seed), [], None, 0.0
     pos_weight = class_balance(train).first()["pos_weight"]
     optimizer = AdamW(weights, rate)
     for epoch in range(1, epochs + 1):
-        dealt = batches(train, key, batch_size, epoch).persist()
-        losses = []
-        for (number,) in sorted(tuple(r) for r in dealt.select("batch").distinct().collect()):
+        path = new_path(spark, "batches")
+        dealt = batches(train, key, batch_size, epoch).select("batch", "tokens", "dists", "label")
+        dealt.repartitionByRange("batch").sortWithinPartitions("batch").write.parquet(path)
+        dealt = spark.read.schema(dealt.schema).parquet(path)
+        last, losses = dealt.agg(F.max("batch")).first()[0], []
+        for number in range(0 if last is None else last + 1):
             shared = spark.sparkContext.broadcast(weights)
 
             def gradient(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -346,7 +356,6 @@ def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec =
             optimizer.update(weights, grads)
             losses.append(sum(r["loss"] for r in rows) / n)
             shared.destroy()
-        dealt.unpersist()
         scored = score_classifier(validation, weights, spec)
         roc, pr = roc_auc(scored).first()[0], average_precision(scored).first()[0]
         found.append((epoch, float(np.mean(losses)) if losses else 0.0, roc, pr))

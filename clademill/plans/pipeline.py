@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
 from clademill.operators import calls, sites, tree
-from clademill.operators.model import REGRESSOR, ModelSpec, Weights, score_sites, seeded_weights
+from clademill.operators.model import REGRESSOR, ModelSpec, Weights, score_sites
+from clademill.plans.storage import new_path
 from clademill.sources import nexus
 
 
@@ -23,11 +24,11 @@ class ScanOptions:
     model: ModelSpec = REGRESSOR
 
 
-def scan(spark: SparkSession, path: str, weights: Weights | None = None, tree_path: str | None = None, options: ScanOptions = ScanOptions()) -> DataFrame:
+def scan(spark: SparkSession, path: str, weights: Weights, tree_path: str | None = None, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``aln_id`` and the nine prediction columns for every codon site of every alignment under ``path``.
 
-    Trees come from ``tree_path`` (files named like the alignments) or from inside the alignments; without one all distances are 0. Without ``weights``
-    the model's seeded ones are used, whose scores mean nothing.
+    Trees come from ``tree_path`` (files named like the alignments) or from inside the alignments; without one all distances are 0. Scores mean nothing
+    without trained ``weights``; seeded ones have to be asked for (``model.seeded_weights``).
     """
     sequences = nexus.read_alignments(spark, path)
     if tree_path:
@@ -37,9 +38,8 @@ def scan(spark: SparkSession, path: str, weights: Weights | None = None, tree_pa
     return scan_frames(sequences.drop("tree"), nexus.parse_trees(trees), weights, options)
 
 
-def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights | None = None, options: ScanOptions = ScanOptions()) -> DataFrame:
+def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``scan`` on tables: ``aln_id, seq_idx, label, seq`` and node rows."""
-    weights = weights or seeded_weights(options.model)
     nodes = nodes.where(F.col("node_id").isNotNull()).drop("error")
     leaf_rows = tree.leaves(nodes)
     reference = tree.choose_reference(sequences, options.reference)
@@ -47,7 +47,10 @@ def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights | None
     chosen = tree.select_species(nodes, matched, reference, options.most_species).drop("gain")
     spaced = tree.evenly_spaced(tree.matched_or_all(sequences, matched).where(~F.col("has_tree")), reference, options.most_species)
     spaced = spaced.join(chosen.select("aln_id").distinct(), "aln_id", "left_anti")
-    selected = chosen.unionByName(spaced).persist()
+    selected = chosen.unionByName(spaced)
+    path = new_path(sequences.sparkSession, "species")  # written: an executor that is lost takes none of it along
+    selected.write.parquet(path)
+    selected = sequences.sparkSession.read.schema(selected.schema).parquet(path)
     if options.estimate_lengths:
         lengths = tree.estimate_lengths(nodes, sequences).withColumnRenamed("branch_length", "__length")
         nodes = nodes.join(lengths, ["tree_id", "node_id"], "left").withColumn("branch_length", F.coalesce("branch_length", F.nanvl("__length", F.lit(None)))).drop("__length", "depth", "root_dist", "path", "path_dist")

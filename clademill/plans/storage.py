@@ -11,7 +11,9 @@ _OWN: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset."""
+    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset on a local master (tests)."""
     app = spark.sparkContext.applicationId
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="clademill-"))
     return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"

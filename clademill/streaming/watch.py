@@ -11,7 +11,7 @@ from clademill.plans.pipeline import ScanOptions, scan_frames
 from clademill.sources import nexus
 
 
-def watch(spark: SparkSession, path: str, out: str, checkpoint: str, weights: Weights | None = None, options: ScanOptions = ScanOptions(), once: bool = True) -> StreamingQuery:
+def watch(spark: SparkSession, path: str, out: str, checkpoint: str, weights: Weights, options: ScanOptions = ScanOptions(), once: bool = True) -> StreamingQuery:
     """Appends the predictions of each new alignment file to Parquet at ``out``. A batch that is run again replaces its own folder."""
     files = spark.readStream.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 

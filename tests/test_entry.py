@@ -91,7 +91,10 @@ def test_axial_forward_against_loops(spark):
 
 
 def test_command_line():
-    from clademill.__main__ import options
+    from clademill.__main__ import main, options
 
-    a = options(["x.nex", "--reference", "hg38", "--use-zscore", "--z-1", "3"])
+    a = options(["x.nex", "--weights", "w.npz", "--reference", "hg38", "--use-zscore", "--z-1", "3"])
+    with pytest.raises(SystemExit):
+        options(["x.nex"])
+    assert main(["x.nex", "--weights", "/nowhere.npz"]) == 1
     assert (a.alignments, a.reference, a.use_zscore, a.z_1, a.percentile_2, a.max_species) == ("x.nex", "hg38", True, 3.0, 97.0, 256)

@@ -106,7 +106,18 @@ def test_training_learns(spark):
     assert best is not None and last.roc_auc > 0.9 and last.loss < 1
 
 
-def test_scan(spark, tmp_path):
+def test_no_site_carries_a_matrix(spark):
+    sites = spark.createDataFrame([("a", i, [1, 2], [1, 2]) for i in range(1, 5)], "aln_id string, site int, codon_toks array<int>, aa_toks array<int>")
+    shapes = spark.createDataFrame([("a", 2, [0.0, 1.0, 1.0, 0.0], [0.1] * 8)], "aln_id string, n_species int, dists array<double>, coords array<double>")
+    scored = model.score_sites(sites, shapes, model.seeded_weights(SMALL), SMALL)
+    plan = scored._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    sides = [{plan.children().apply(i).output().apply(k).name() for k in range(plan.children().apply(i).output().size())} for i in range(2)]
+    assert "codon_toks" in sides[0] and "dists" not in sides[0] and "dists" in sides[1] and scored.count() == 4
+
+
+def test_scan(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "g1.nex").write_text(NEXUS)
     (tmp_path / "in" / "g2.nex").write_text(NEXUS.replace("BEGIN TREES", "BEGIN NOTHING"))
@@ -117,6 +128,9 @@ def test_scan(spark, tmp_path):
     assert [(r[1], r[2], r[3]) for r in rows[:4]] == [(1, "ATG", "M"), (2, "TCA", "S"), (3, "TAA", "*"), (4, "AAA", "K")]
     assert all(r[5] == 0 and r[9] == "Neutral" for r in rows if not r[4])
     assert rows[1][5] != rows[5][5]  # the tree matters
+    monkeypatch.setattr(model, "SITES", 2)  # blocks of sites change nothing
+    blocks = scan(spark, str(tmp_path / "in"), w, options=options)
+    assert sorted(tuple(r) for r in blocks.collect()) == rows
     again = scan(spark, str(tmp_path / "in"), w, options=ScanOptions(most_species=8, model=SMALL, estimate_lengths=True))
     assert again.count() == 8
     query = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), w, options)
