@@ -6,6 +6,8 @@ import argparse
 import os
 import sys
 from dataclasses import replace
+from pickle import UnpicklingError
+from zipfile import BadZipFile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import SparkSession
 from clademill.operators.calls import Tiers, called_sites, summarise
 from clademill.operators.model import REGRESSOR, load_weights
 from clademill.plans.pipeline import ScanOptions, scan
+from clademill.sources.checkpoint import import_weights
 from clademill.sources.nexus import default_output, write_predictions
 
 
@@ -21,7 +24,7 @@ def options(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="clademill", description=__doc__)
     p.add_argument("alignments", help="a file, folder or glob of alignments; .gz files are decompressed")
     p.add_argument("--tree", help="tree files named like the alignments")
-    p.add_argument("--weights", required=True, help="an .npz file of model weights")
+    p.add_argument("--weights", required=True, help="model weights: an .npz file or a published .pt checkpoint")
     p.add_argument("--window-size", type=int, default=usual.model.window, help="codons around a site, as the weights were trained with")
     p.add_argument("--reference", help="label of the reference sequence")
     p.add_argument("--output", help="CSV folder for predictions")
@@ -39,7 +42,11 @@ def main(argv: list[str]) -> int:
         print(f"no weights at {a.weights}", file=sys.stderr)
         return 1
     model = replace(REGRESSOR, window=a.window_size)
-    weights = load_weights(a.weights, model)
+    try:
+        weights = (import_weights if a.weights.endswith((".pt", ".pth")) else load_weights)(a.weights, model)
+    except (ValueError, BadZipFile, UnpicklingError) as why:
+        print(why, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("clademill").getOrCreate()
     tiers = Tiers(a.percentile_1, a.percentile_2, a.z_1, a.z_2, a.use_zscore, a.gate_1, a.gate_2)
     out = a.output or default_output(a.alignments)

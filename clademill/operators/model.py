@@ -32,6 +32,8 @@ class ModelSpec:
 
 #: Sites of an alignment that are scored together.
 SITES = 512
+#: Batches between two rows of the progress table.
+LOG_EVERY = 50
 REGRESSOR = ModelSpec(128, 8, 4, 1, 256, True)
 CLASSIFIER = ModelSpec(64, 4, 2, 5, 100, False)
 
@@ -315,13 +317,17 @@ def _arrays(frame: pd.DataFrame, spec: ModelSpec) -> tuple[np.ndarray, np.ndarra
     return tokens, np.stack(frame["dists"].to_numpy()).reshape(len(frame), tokens.shape[1], tokens.shape[1])
 
 
-def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec = CLASSIFIER, epochs: int = 5, batch_size: int = 128, rate: float = 1e-3, seed: int = 42, key: str = "id") -> tuple[Weights | None, DataFrame]:
+def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec = CLASSIFIER, epochs: int = 5, batch_size: int = 128, rate: float = 1e-3, seed: int = 42, key: str = "id", checkpoint: str | None = None, progress: str | None = None) -> tuple[Weights | None, DataFrame]:
     """The weights of the best epoch by average precision (None if no epoch is above 0), and the metrics table ``epoch, loss, roc_auc,
     pr_auc``. Rows: a unique key, ``tokens`` and ``dists`` (flat), ``label``.
 
     Each batch is one job: tasks compute gradients of their rows, of which one set a task is gathered, and the driver takes the step.
     Rows are written in the order of their batches once an epoch, so that a step reads the files of its own batch only. The positive class is weighted by the training rows' balance.
+    ``checkpoint``: a path for the best epoch's arrays (``sources.checkpoint``). ``progress``: a path for a table ``epoch, batch, loss, scales``
+    (the first layer's distance scales by head), every ``LOG_EVERY`` batches.
     """
+    from clademill.sources.checkpoint import save_checkpoint
+
     spark = train.sparkSession
     weights, found, best, top = seeded_weights(spec, seed), [], None, 0.0
     pos_weight = class_balance(train).first()["pos_weight"]
@@ -331,7 +337,7 @@ def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec =
         dealt = batches(train, key, batch_size, epoch).select("batch", "tokens", "dists", "label")
         dealt.repartitionByRange("batch").sortWithinPartitions("batch").write.parquet(path)
         dealt = spark.read.schema(dealt.schema).parquet(path)
-        last, losses = dealt.agg(F.max("batch")).first()[0], []
+        last, losses, log = dealt.agg(F.max("batch")).first()[0], [], []
         for number in range(0 if last is None else last + 1):
             shared = spark.sparkContext.broadcast(weights)
 
@@ -356,11 +362,17 @@ def train_classifier(train: DataFrame, validation: DataFrame, spec: ModelSpec =
             optimizer.update(weights, grads)
             losses.append(sum(r["loss"] for r in rows) / n)
             shared.destroy()
+            if (number + 1) % LOG_EVERY == 0:
+                log.append((epoch, number + 1, losses[-1], np.exp(weights["row0.scale"]).ravel().tolist()))
+        if progress and log:
+            spark.createDataFrame(log, "epoch int, batch int, loss double, scales array<double>").coalesce(1).write.mode("overwrite" if epoch == 1 else "append").parquet(progress)
         scored = score_classifier(validation, weights, spec)
         roc, pr = roc_auc(scored).first()[0], average_precision(scored).first()[0]
         found.append((epoch, float(np.mean(losses)) if losses else 0.0, roc, pr))
         if pr > top:
             best, top = dict(weights), pr
+            if checkpoint:
+                save_checkpoint(spark, checkpoint, best, epoch, pr, optimizer.step, optimizer.m, optimizer.v)
     return best, spark.createDataFrame(found, "epoch int, loss double, roc_auc double, pr_auc double")
 
 

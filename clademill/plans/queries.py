@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
 from clademill.functions.matrices import GRANTHAM, parse_triangle, scoring_matrix
-from clademill.operators import calls, metrics, model, sites, tree
+from clademill.operators import calls, metrics, model, sites, training, tree
 from clademill.sources import nexus
 
 _LETTERS, _MAPPED = "abcdefghijklmnopqrstuvwxyz", "TCAGTCAGTCAGTCAGTCAGTCAGTC"
@@ -460,6 +460,97 @@ def q34_scoring_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("aln_id").agg(F.sum(F.col("n1") * F.col("n2") * F.col("grantham")).alias("distance"), F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
 
 
+def q35_training_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as labelled sites of their genes, each with tokens of 100 species and five codons; French genes have no alignment."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "lang", "source").alias("gene_name"))
+    labels = _table(spark, sf_dir, "labels").join(docs, "doc_id").select("gene_name", (F.col("doc_id") % 40 + 1).cast("int").alias("site_index"), "doc_id", "quality")
+    msa = alignment(spark, sf_dir).where(~F.col("aln_id").startswith("fr:"))
+    rows = training.training_tokens(labels, msa, training.training_species(msa))
+    total = F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "quality", F.size("tokens").alias("n"), total.alias("total"))
+
+
+_Q35 = f"""
+WITH {_MSA},
+sp AS (SELECT aln_id, seq, row_number() OVER (PARTITION BY aln_id ORDER BY seq_idx) - 1 AS k FROM msa WHERE NOT starts_with(aln_id, 'fr:') QUALIFY k < 100),
+l AS (SELECT doc_id, concat_ws(':', lang, source) AS aln_id, doc_id % 40 + 1 AS site, quality FROM labels JOIN documents USING (doc_id)),
+cells AS (SELECT l.doc_id, k, w, site - 2 + w AS pos, length(seq) // 3 AS total, CASE WHEN site - 2 + w >= 1 THEN substr(seq, (site - 3 + w) * 3 + 1, 3) ELSE '' END AS codon FROM l JOIN sp USING (aln_id), (SELECT unnest(range(5)) AS w)),
+toks AS (SELECT doc_id, (k * 5 + w + 1) * CASE WHEN pos BETWEEN 1 AND total THEN {_sql_token()} ELSE 65 END AS t FROM cells),
+sums AS (SELECT doc_id, sum(t) AS t, count(*) AS n FROM toks GROUP BY doc_id)
+SELECT l.doc_id, quality, 500 AS n, CAST(CASE WHEN sums.n IS NULL THEN 0 ELSE t + 65 * (125250 - sums.n * (sums.n + 1) // 2) END AS BIGINT) AS total FROM l LEFT JOIN sums USING (doc_id)"""
+
+
+def q36_training_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the first 100 suppliers of the tree, weighted sums by row."""
+    none = _table(spark, sf_dir, "region").select(F.lit("u").alias("aln_id"), F.col("r_regionkey").alias("seq_idx"), F.col("r_name").alias("label"))
+    species = training.training_species(none, tree.with_paths(supplier_tree(spark, sf_dir)))
+    rows = training.training_distances(species).select("gene_name", F.posexplode("dists").alias("at", "dist"))
+    return rows.groupBy("gene_name", F.floor(F.col("at") / 100).alias("i")).agg(F.sum(F.col("dist").cast("double") * (F.col("at") % 100 + 1)).alias("total"))
+
+
+_Q36 = """
+WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_nationkey AS n, n_regionkey AS r, (1 + s_suppkey % 5) / 16.0e0 AS ls, (1 + n_nationkey % 7) / 8.0e0 AS ln, (1 + n_regionkey) / 4.0e0 AS lr
+           FROM supplier JOIN nation ON n_nationkey = s_nationkey QUALIFY k < 100),
+d AS (SELECT x.k AS i, (y.k + 1) * CASE WHEN x.k = y.k THEN 0 ELSE x.ls + y.ls + CASE WHEN x.n = y.n THEN 0 ELSE x.ln + y.ln + CASE WHEN x.r = y.r THEN 0 ELSE x.lr + y.lr END END END AS t FROM s x, s y)
+SELECT gene_name, i, coalesce(sum(t), 0.0e0) AS total FROM (SELECT unnest(['t', 'u']) AS gene_name), (SELECT unnest(range(100)) AS i) LEFT JOIN d USING (i) WHERE gene_name = 't' GROUP BY ALL
+UNION ALL SELECT 'u', unnest(range(100)), 0.0e0"""
+
+
+def q37_branch_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as trees, of which some have no lengths and some only zeros."""
+    length = F.when(F.col("s_nationkey") % 3 == 1, 0.0).when(F.col("s_nationkey") % 3 == 2, (1 + F.col("s_suppkey") % 5) / 16)
+    nodes = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tree_id"), F.lit(0).alias("parent_id"), length.alias("branch_length"))
+    nodes = nodes.join(tree.has_lengths(nodes), "tree_id")
+    return nodes.groupBy("tree_id", "has_lengths").agg(F.sum(C.branch_weight(F.col("branch_length"), F.col("has_lengths"))).alias("weight"))
+
+
+def q38_broken_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' suppliers as Newick texts without their lengths; every third text lacks its end, which gives no tree."""
+    tip = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(":"), ((1 + F.col("s_suppkey") % 5) / 16).cast("string"))
+    texts = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(tip)), ",").alias("tips"))
+    end = F.when(F.col("s_nationkey") % 3 == 0, "").otherwise(")r;")
+    newick = C.strip_branch_lengths(F.concat(F.lit("("), "tips", end))
+    nodes = nexus.parse_trees(texts.select(F.col("s_nationkey").cast("string").alias("tree_id"), newick.alias("newick")))
+    return nodes.groupBy("tree_id").agg(F.count_if("is_leaf").alias("leaves"), F.count("branch_length").alias("lengths"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
+
+
+def q39_species_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes whose tree holds the even documents; German genes have no tree, so all their documents stay."""
+    msa = alignment(spark, sf_dir).drop("seq")
+    leaf = msa.where(~F.col("aln_id").startswith("de:") & (F.col("seq_idx") % 2 == 0)).select(F.col("aln_id").alias("tree_id"), F.concat(F.lit("'"), "label", F.lit("'")).alias("name"), F.col("seq_idx").alias("leaf_idx"))
+    return tree.matched_or_all(msa, tree.match_species(leaf, msa))
+
+
+def q40_parsimony_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top-down choice at inner nodes; see ``q30_parsimony``."""
+    nodes = supplier_tree(spark, sf_dir).withColumn("node_id", F.col("node_id").cast("int")).withColumn("parent_id", F.col("parent_id").cast("int"))
+    state = F.when(F.col("s_acctbal") < 2000, "A").when(F.col("s_acctbal") < 6000, "C").otherwise("G")
+    tips = _table(spark, sf_dir, "supplier").select(F.lit("t").alias("tree_id"), F.lit(1).alias("site"), F.concat(F.lit("s"), "s_suppkey").alias("name"), state.alias("state"))
+    return tree.parsimony_sets(nodes, tips).where("node_id < 1000").select("node_id", "state", "changed")
+
+
+def q41_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and different documents of each batch of labels."""
+    rows = metrics.batches(_table(spark, sf_dir, "labels"), "doc_id", 128, 3)
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def q42_site_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as labelled sites, written to the shared folder and read back; those without a label stay out."""
+    from clademill.plans.storage import new_path
+
+    path = new_path(spark, "labels")
+    made = F.when(F.col("doc_id") % 5 != 0, F.col("quality")).cast("int").alias("is_significant")
+    _table(spark, sf_dir, "labels").select(F.concat(F.lit("g"), F.col("doc_id") % 7).alias("gene_name"), F.col("doc_id").cast("int").alias("site_index"), made, "toxic").write.parquet(path)
+    return nexus.read_site_labels(spark, path)
+
+
+def q43_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token arrays of up to six entries filled up to eight."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.array_repeat(F.lit(1), (F.col("n_chars") % 7).cast("int")).alias("tokens"))
+    return sites.pad_tokens(docs, "tokens", 8, C.UNKNOWN_CODON).select("doc_id", F.array_join("tokens", ",").alias("tokens"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 _VALUES = ", ".join(f"('{a}', '{b}', {x})" for (a, b), x in parse_triangle(GRANTHAM).items() if a < b)
@@ -517,4 +608,18 @@ ORACLE_SQL = {
     "q34_scoring_matrix": f"""WITH {_MSA}, t AS (SELECT aln_id, site, {_sql_token()} AS tok FROM codons), a AS (SELECT aln_id, site, {_SQL_AA} AS aa FROM t),
         c AS (SELECT aln_id, site, aa, count(*) AS n FROM a WHERE aa NOT IN ('?', '*') GROUP BY ALL), m(x, y, d) AS (VALUES {_VALUES})
         SELECT p.aln_id, CAST(sum(p.n * q.n * d) AS DOUBLE) AS distance, CAST(sum(p.n * q.n) AS BIGINT) AS pairs FROM c p JOIN c q ON p.aln_id = q.aln_id AND p.site = q.site AND p.aa < q.aa JOIN m ON x = p.aa AND y = q.aa GROUP BY p.aln_id""",
+    "q35_training_tokens": _Q35,
+    "q36_training_distances": _Q36,
+    "q37_branch_weights": """SELECT s_nationkey AS tree_id, s_nationkey % 3 = 2 AS has_lengths, sum(CASE WHEN s_nationkey % 3 = 2 THEN (1 + s_suppkey % 5) / 16.0e0 ELSE 1.0e0 END) AS weight FROM supplier GROUP BY s_nationkey""",
+    "q38_broken_trees": """SELECT CAST(s_nationkey AS VARCHAR) AS tree_id, CASE WHEN s_nationkey % 3 = 0 THEN 0 ELSE count(*) END AS leaves, 0::BIGINT AS lengths, s_nationkey % 3 = 0 AS failed FROM supplier GROUP BY s_nationkey""",
+    "q39_species_or_all": f"""WITH {_MSA}, m AS (SELECT * FROM msa WHERE NOT starts_with(aln_id, 'de:') AND seq_idx % 2 = 0)
+        SELECT aln_id, label, seq_idx AS position, true AS has_tree FROM m UNION ALL SELECT aln_id, label, seq_idx, false FROM msa WHERE aln_id NOT IN (SELECT aln_id FROM m)""",
+    "q40_parsimony_states": f"""{_Q30[: _Q30.index("SELECT CAST(k.node_id")].rstrip()},
+        root AS (SELECT min(st) AS st FROM os),
+        reg AS (SELECT r_regionkey AS r, root.st AS up, CASE WHEN count(rs.st) = 0 OR bool_or(rs.st = root.st) THEN root.st ELSE min(rs.st) END AS st, count(rs.st) AS c FROM region CROSS JOIN root LEFT JOIN rs ON rs.r = r_regionkey GROUP BY r_regionkey, root.st),
+        nat AS (SELECT n_nationkey AS n, reg.st AS up, CASE WHEN count(ns.st) = 0 OR bool_or(ns.st = reg.st) THEN reg.st ELSE min(ns.st) END AS st, count(ns.st) AS c FROM nation JOIN reg ON reg.r = n_regionkey LEFT JOIN ns ON ns.n = n_nationkey GROUP BY n_nationkey, reg.st)
+        SELECT 0 AS node_id, st AS state, false AS changed FROM root UNION ALL SELECT CAST(r + 1 AS INTEGER), st, c > 0 AND st <> up FROM reg UNION ALL SELECT CAST(n + 100 AS INTEGER), st, c > 0 AND st <> up FROM nat""",
+    "q41_batches": """WITH c AS (SELECT count(*) AS n FROM labels) SELECT unnest(range(greatest(1, n // 128))) AS batch, CASE WHEN n >= 128 THEN 128 ELSE n END AS n, CASE WHEN n >= 128 THEN 128 ELSE n END AS docs FROM c""",
+    "q42_site_labels": "SELECT 'g' || (doc_id % 7) AS gene_name, CAST(doc_id AS INTEGER) AS site_index, CAST(quality AS INTEGER) AS is_significant FROM labels WHERE doc_id % 5 <> 0 AND quality IS NOT NULL",
+    "q43_padding": "SELECT doc_id, array_to_string(list_concat(list_transform(range(n_chars % 7), lambda x: 1), list_transform(range(8 - n_chars % 7), lambda x: 65)), ',') AS tokens FROM documents",
 }
