@@ -12,9 +12,6 @@ from clademill.functions import codon as C
 from clademill.operators import sites, tree
 from clademill.sources import nexus
 
-#: Labelled sites of a gene that meet one copy of its tokens.
-SITES = 512
-
 
 def read_training(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sequences and tree nodes of training alignments, whose names are the genes'. A tree that can't be parsed counts as none, and
@@ -41,15 +38,14 @@ def training_tokens(labels: DataFrame, sequences: DataFrame, species: DataFrame,
     """``labels`` (``gene_name, site_index`` and any others) with ``tokens``: flat, species times window, centred on the site.
 
     Positions outside a sequence, species without one and padding are unknown codons; a gene without an alignment has zeros (which
-    stand for TTT). A gene's tokens go once to each block of its sites, and shuffle once.
+    stand for TTT). A gene's tokens shuffle as one row, which meets the gene's sites in the join and goes no further; sites of a hot gene
+    aren't gathered, so that the join can split them.
     """
     count = C.codon_count(F.coalesce(F.col("seq"), F.lit("")))
     toks = F.transform(F.slice(sites.codon_array(F.col("seq")), F.lit(1), count), C.codon_token)
     known = sequences.select("aln_id", "label", toks.alias("toks"))
     rows = species.select("aln_id", "species_idx", "label").join(known, ["aln_id", "label"], "left")
     genes = rows.groupBy(F.col("aln_id").alias("gene_name")).agg(F.sort_array(F.collect_list(F.struct("species_idx", "toks"))).alias("species"))
-    block = F.floor(F.col("site_index") / SITES)
-    dealt = labels.groupBy("gene_name", block.alias("block")).agg(F.collect_list(F.struct(*(c for c in labels.columns if c != "gene_name"))).alias("rows"))
 
     def at(site: Column) -> Column:
         offsets = F.sequence(F.lit(-(window // 2)), F.lit(window - 1 - window // 2))
@@ -58,8 +54,7 @@ def training_tokens(labels: DataFrame, sequences: DataFrame, species: DataFrame,
         padded = F.concat(cells, F.array_repeat(F.lit(C.UNKNOWN_CODON), most * window - F.size(cells)))
         return F.when(F.col("species").isNull(), F.array_repeat(F.lit(0), most * window)).otherwise(padded)
 
-    made = dealt.join(genes, "gene_name", "left").select("gene_name", F.explode(F.transform("rows", lambda r: F.struct(r.alias("row"), at(r.site_index).alias("tokens")))).alias("one"))
-    return made.select("gene_name", "one.row.*", "one.tokens")
+    return labels.join(genes, "gene_name", "left").select(*labels.columns, at(F.col("site_index")).alias("tokens"))
 
 
 def training_distances(species: DataFrame, most: int = 100) -> DataFrame:
