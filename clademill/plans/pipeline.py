@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clademill.functions import codon as C
 from clademill.operators import calls, sites, tree
 from clademill.operators.model import REGRESSOR, ModelSpec, Weights, score_sites
-from clademill.plans.storage import new_path
+from clademill.plans.storage import written
 from clademill.sources import nexus
 
 
@@ -19,6 +19,8 @@ class ScanOptions:
     reference: str | None = None
     most_species: int = 256
     estimate_lengths: bool = False
+    #: Where trees with estimated lengths are written, one a line.
+    trees_out: str | None = None
     pad: bool = True
     tiers: calls.Tiers = field(default_factory=calls.Tiers)
     model: ModelSpec = REGRESSOR
@@ -48,12 +50,13 @@ def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, option
     spaced = tree.evenly_spaced(tree.matched_or_all(sequences, matched).where(~F.col("has_tree")), reference, options.most_species)
     spaced = spaced.join(chosen.select("aln_id").distinct(), "aln_id", "left_anti")
     selected = chosen.unionByName(spaced)
-    path = new_path(sequences.sparkSession, "species")  # written: an executor that is lost takes none of it along
-    selected.write.parquet(path)
-    selected = sequences.sparkSession.read.schema(selected.schema).parquet(path)
+    selected = written(selected, "species")  # an executor that is lost takes none of it along
     if options.estimate_lengths:
-        lengths = tree.estimate_lengths(nodes, sequences).withColumnRenamed("branch_length", "__length")
+        lengths = written(tree.estimate_lengths(nodes, sequences).withColumnRenamed("branch_length", "__length"), "lengths")
         nodes = nodes.join(lengths, ["tree_id", "node_id"], "left").withColumn("branch_length", F.coalesce("branch_length", F.nanvl("__length", F.lit(None)))).drop("__length", "depth", "root_dist", "path", "path_dist")
+        if options.trees_out:
+            estimated = nodes.join(lengths.select("tree_id").distinct(), "tree_id", "left_semi")
+            nexus.write_trees(nexus.tree_texts(estimated), options.trees_out)
         leaf_rows = tree.leaves(tree.with_paths(nodes))
     names = selected.select(F.col("aln_id").alias("tree_id"), C.normal_name(F.col("label")).alias("__key"))
     wanted = leaf_rows.withColumn("__key", C.normal_name(F.col("name"))).join(names, ["tree_id", "__key"], "left_semi").drop("__key")

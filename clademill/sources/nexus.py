@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademill.functions.codon import clean_newick
-from clademill.sources.newick import NODE_SCHEMA, parse_newick
+from clademill.sources.newick import NODE_SCHEMA, Node, parse_newick, to_newick
 
 _COMMENT = re.compile(r"\[[^\]]*\]")
 
@@ -206,6 +206,21 @@ def default_output(path: str) -> str:
     return f"{name}_regression_predictions.csv"
 
 
+def tree_texts(nodes: DataFrame) -> DataFrame:
+    """``tree_id, newick`` of node rows; a length that is null or not a number is left out."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes = [
+            Node(n, None if pd.isna(p) else p, 0, name, None if pd.isna(length) else length, False, None, 0, 0.0, [], [])
+            for n, p, name, length in frame.sort_values("node_id")[["node_id", "parent_id", "name", "branch_length"]].itertuples(index=False)
+        ]
+        return pd.DataFrame({"tree_id": [frame["tree_id"].iloc[0]], "newick": [to_newick(nodes)]})
+
+    columns = nodes.select("tree_id", "node_id", "parent_id", "name", "branch_length")
+    return columns.groupBy("tree_id").applyInPandas(run, "tree_id string, newick string")
+
+
 def write_trees(trees: DataFrame, path: str) -> None:
-    """One Newick text a line."""
-    trees.select(F.col("newick").alias("value")).write.mode("overwrite").text(path)
+    """One Newick text a line, after its ``tree_id`` and a tab where the table has that column."""
+    line = F.concat_ws("\t", "tree_id", "newick") if "tree_id" in trees.columns else F.col("newick")
+    trees.select(line.alias("value")).write.mode("overwrite").text(path)

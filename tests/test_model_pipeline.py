@@ -1,11 +1,14 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from test_sources import NEXUS
 
 from clademill.operators import model
+from clademill.operators.onnx import score_onnx
 from clademill.plans.pipeline import ScanOptions, scan
+from clademill.sources.newick import parse_newick
 from clademill.streaming.watch import watch
 
 SMALL = model.ModelSpec(16, 4, 2, 1, 8, True)
@@ -131,8 +134,47 @@ def test_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(model, "SITES", 2)  # blocks of sites change nothing
     blocks = scan(spark, str(tmp_path / "in"), w, options=options)
     assert sorted(tuple(r) for r in blocks.collect()) == rows
-    again = scan(spark, str(tmp_path / "in"), w, options=ScanOptions(most_species=8, model=SMALL, estimate_lengths=True))
-    assert again.count() == 8
+    again = scan(spark, str(tmp_path / "in"), w, options=ScanOptions(most_species=8, model=SMALL, estimate_lengths=True, trees_out=str(tmp_path / "trees")))
+    assert again.count() == 8 and not spark.read.text(str(tmp_path / "trees")).count()  # the tree has lengths
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "g3.nex").write_text(re.sub(r":[0-9.]+", "", NEXUS))
+    scan(spark, str(tmp_path / "bare"), w, options=ScanOptions(most_species=8, model=SMALL, estimate_lengths=True, trees_out=str(tmp_path / "trees")))
+    name, text = spark.read.text(str(tmp_path / "trees")).first()[0].split("\t")
+    plain = parse_newick(re.sub(r":[0-9.e-]+", "", text))
+    assert name == "g3" and [n.name for n in plain if n.is_leaf] == [n.name for n in parse_newick(text) if n.is_leaf]
+    assert all(n.branch_length > 0 for n in parse_newick(text)[1:])
     query = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), w, options)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def field(number, value):
+    """One field of a protocol buffer message; numbers below 128 and contents of up to 16,383 bytes."""
+    if isinstance(value, int):
+        return bytes([number << 3, value])
+    value = value.encode() if isinstance(value, str) else value
+    size = bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])
+    return bytes([number << 3 | 2]) + size + value
+
+
+def small_onnx(w):
+    """A model with one step: y = product of x (n, 3, 2) with ``w`` (2, 4)."""
+    dims = lambda *d: b"".join(field(1, field(2, x) if isinstance(x, str) else field(1, x)) for x in d)
+    info = lambda name, *d: field(1, name) + field(2, field(1, field(1, 1) + field(2, dims(*d))))
+    node = field(1, "x") + field(1, "w") + field(2, "y") + field(4, "MatMul")
+    tensor = field(1, w.shape[0]) + field(1, w.shape[1]) + field(2, 1) + field(8, "w") + field(9, w.astype("<f4").tobytes())
+    graph = field(1, node) + field(2, "g") + field(5, tensor) + field(11, info("x", "n", 3, 2)) + field(12, info("y", "n", 3, 4))
+    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
+
+
+def test_onnx(spark):
+    pytest.importorskip("onnxruntime")
+    w = np.arange(8).reshape(2, 4)
+    x = np.random.default_rng(3).random((20, 6))
+    rows = [(i, "k", r.tolist()) for i, r in enumerate(x)] + [(20, None, None), (21, "k", [1.0])]
+    table = spark.createDataFrame(rows, "id int, scores string, x array<double>")
+    found = {r[0]: r for r in score_onnx(table, small_onnx(w), {"x": ("x", (3, 2))}, "id", "x", chunk=7).collect()}
+    assert len(found) == 22 and found[20].scores is None and found[21].scores is None
+    for i in range(20):
+        assert np.allclose(found[i].scores, (x[i].astype(np.float32).reshape(3, 2) @ w).ravel(), rtol=1e-5)
+    assert score_onnx(table.limit(0), small_onnx(w), {"x": ("x", (3, 2))}, "id").count() == 0

@@ -92,3 +92,12 @@ def test_labels_and_sinks(spark, tmp_path):
     nexus.write_trees(spark.createDataFrame([("(a,b);",)], "newick string"), str(tmp_path / "trees"))
     assert spark.read.text(str(tmp_path / "trees")).first()[0] == "(a,b);"
     assert spark.read.text(str(tmp_path / "trees")).select(F.lit(1)).count() == 1
+
+
+def test_labels_by_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path / 'db'};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    labels = spark.createDataFrame([("g", 1, 1, "x"), ("g", 2, None, "y"), ("h", 3, 0, "z")], "gene_name string, site_index int, is_significant int, other string")
+    named = labels.toDF(*(c.upper() for c in labels.columns))
+    named.write.option("driver", driver).jdbc(url, "site_results")
+    found = nexus.read_site_labels(spark, url, "site_results", driver)
+    assert sorted(tuple(r) for r in found.collect()) == [("g", 1, 1), ("h", 3, 0)]
