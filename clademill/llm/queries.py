@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clademill.llm import chat, decontam, exact_dedup, fuzzy_lines, html_extract, langid, packing, simhash, toxicity, warc
+from clademill.llm import align, chat, decontam, exact_dedup, fuzzy_lines, html_extract, langid, packing, resample, simhash, toxicity, warc
 from clademill.llm.common import new_path
 
 
@@ -84,6 +84,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -95,6 +103,8 @@ QUERIES = {
     "op8_html_main_text": op8_html_main_text,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
