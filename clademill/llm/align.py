@@ -28,14 +28,14 @@ RUN, SWEEP = 1 << 14, 1 << 18
 #: Links that are laid out at a time.
 LINKS = 1 << 22
 SPACE = "▁"
-_SEGMENT = re.compile(r"[ \t\n\r\f\v]+[^ \t\n\r\f\v]*")
+_SEGMENT = re.compile(r"[ \t\n\f\v]+[^ \t\n\f\v]*")
 _LONG_WORD = re.compile(r"\S{1000}")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\r\f\v]|[\x1c-\x1f]")
+_OTHER_SPACE = re.compile(r"[^\S \t\n\f\v]|[\x1c-\x1f]")
 
 
 class Both:
     """Ids (little-endian unsigned 16-bit) of both tokenizers. Neither joins tokens over the start of white space, so texts are looked up
-    by segments: white space and what follows it. Where a text has other white space than ASCII's, it's encoded whole."""
+    by segments: white space and what follows it. A text with other white space than blanks, tabs and line feeds is encoded whole."""
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
@@ -56,7 +56,7 @@ class Both:
             piece = self.b.id_to_piece(i)
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i) and not self.b.is_control(i)]
-        self.by_segment = not any(SPACE in p.lstrip(SPACE) or re.search(r"\s", p) for p in pieces)
+        self.by_segment = not any(re.search(f"[^ \t\n\f\v{SPACE}][ \t\n\f\v{SPACE}]", p) for p in pieces)
         self.by_segment &= b"".join(self.b_bytes[i] for i in self.b.encode("a  b ")) == b" a  b "
         self.a_len, self.b_len = (_lengths(x) for x in (self.a_bytes, self.b_bytes))
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
@@ -65,7 +65,7 @@ class Both:
         """Ids of ``told`` (a space and text) under both, or None where their bytes aren't its bytes."""
         quick = self.quick and not _LONG_WORD.search(told)  # whose time grows with the square of a word's length
         a = self.quick.encode_ordinary(told) if quick else self.a.encode(told, add_special_tokens=False).ids
-        b = self.b.encode(told[1:] if told[0] == " " else told)
+        b = self.b.encode(told[1:] if told[0] == " " else told) if told != " " else [self.b.piece_to_id(SPACE)]  # no space goes before nothing
         if told[0] != " ":  # the space that was put before it is a token by itself
             if self.b.id_to_piece(b[0]) != SPACE:
                 return None
