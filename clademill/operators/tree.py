@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clademill.functions.codon import branch_weight, normal_name
+from clademill.operators.tour import gaps, looked_up
 
 MOST_LEVELS = 10_000
 
@@ -45,14 +46,13 @@ def has_lengths(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("tree_id").agg(F.coalesce(F.bool_or((F.col("branch_length") > 0) & F.col("parent_id").isNotNull()), F.lit(False)).alias("has_lengths"))
 
 
-def patristic_pairs(leaf_rows: DataFrame) -> DataFrame:
-    """``tree_id, a, b, lca_depth, dist`` for each pair of leaves of a tree, ``a`` before ``b``. The paths' common part ends in
-    the lowest common ancestor. Select the wanted leaves first: pairs grow with their square."""
-    side = lambda x: leaf_rows.select("tree_id", F.col("leaf_idx").alias(f"i{x}"), F.col("name").alias(x), F.col("path").alias(f"p{x}"), F.col("path_dist").alias(f"d{x}"))
-    pairs = side("a").join(side("b"), "tree_id").where("ia < ib")
-    shared = F.size(F.array_intersect("pa", "pb"))
-    dist = F.element_at("da", -1) + F.element_at("db", -1) - 2 * F.element_at("da", shared)
-    return pairs.select("tree_id", "a", "b", (shared - 1).alias("lca_depth"), dist.alias("dist"))
+def patristic_pairs(nodes: DataFrame, leaf_rows: DataFrame | None = None) -> DataFrame:
+    """``tree_id, a, b, lca_depth, dist`` for each pair of ``leaf_rows`` (all leaves by default) of a tree, ``a`` before ``b`` by ``leaf_idx``. ``nodes`` are
+    whole trees as ``tour.toured`` gives them. Select the wanted leaves first: pairs grow with their square."""
+    wanted = leaves(nodes) if leaf_rows is None else leaf_rows
+    side = lambda x: wanted.select("tree_id", F.col("leaf_idx").alias(f"i{x}"), F.col("name").alias(x), F.col("node_id").alias(f"node_{x}"))
+    pairs = side("a").join(side("b"), "tree_id").where("ia < ib").select("tree_id", "a", "b", "node_a", "node_b")
+    return looked_up(pairs, *gaps(nodes, wanted)).select("tree_id", "a", "b", "lca_depth", "dist")
 
 
 def patristic_matrix(pairs: DataFrame, leaf_rows: DataFrame) -> DataFrame:

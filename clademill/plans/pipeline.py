@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
-from clademill.operators import calls, sites, tree
+from clademill.operators import calls, sites, tour, tree
 from clademill.operators.model import REGRESSOR, ModelSpec, Weights, score_sites
 from clademill.plans.storage import written
 from clademill.sources import nexus
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, path: str, weights: Weights, tree_path: str | None
     Trees come from ``tree_path`` (files named like the alignments) or from inside the alignments; without one all distances are 0. Scores mean nothing
     without trained ``weights``; seeded ones have to be asked for (``model.seeded_weights``).
     """
-    sequences = nexus.read_alignments(spark, path)
+    sequences = written(nexus.read_alignments(spark, path), "alignments")
     if tree_path:
         trees = nexus.read_trees(spark, tree_path).select(F.regexp_replace("tree_id", r"\.[^.]*$", "").alias("tree_id"), "newick")
     else:
@@ -42,7 +42,9 @@ def scan(spark: SparkSession, path: str, weights: Weights, tree_path: str | None
 
 def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``scan`` on tables: ``aln_id, seq_idx, label, seq`` and node rows."""
-    nodes = nodes.where(F.col("node_id").isNotNull()).drop("error")
+    # both are read many times below; without this each reading would parse all files anew
+    sequences = written(sequences, "sequences")
+    nodes = written(tour.toured(nodes.where(F.col("node_id").isNotNull()).drop("error"), preorder=True), "nodes")
     leaf_rows = tree.leaves(nodes)
     reference = tree.choose_reference(sequences, options.reference)
     matched = tree.match_species(leaf_rows, sequences)
@@ -53,14 +55,15 @@ def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, option
     selected = written(selected, "species")  # an executor that is lost takes none of it along
     if options.estimate_lengths:
         lengths = written(tree.estimate_lengths(nodes, sequences).withColumnRenamed("branch_length", "__length"), "lengths")
-        nodes = nodes.join(lengths, ["tree_id", "node_id"], "left").withColumn("branch_length", F.coalesce("branch_length", F.nanvl("__length", F.lit(None)))).drop("__length", "depth", "root_dist", "path", "path_dist")
+        nodes = nodes.join(lengths, ["tree_id", "node_id"], "left").withColumn("branch_length", F.coalesce("branch_length", F.nanvl("__length", F.lit(None)))).drop("__length", "depth", "root_dist", "pos")
         if options.trees_out:
             estimated = nodes.join(lengths.select("tree_id").distinct(), "tree_id", "left_semi")
             nexus.write_trees(nexus.tree_texts(estimated), options.trees_out)
-        leaf_rows = tree.leaves(tree.with_paths(nodes))
+        nodes = written(tour.toured(nodes, preorder=True), "tour")
+        leaf_rows = tree.leaves(nodes)
     names = selected.select(F.col("aln_id").alias("tree_id"), C.normal_name(F.col("label")).alias("__key"))
     wanted = leaf_rows.withColumn("__key", C.normal_name(F.col("name"))).join(names, ["tree_id", "__key"], "left_semi").drop("__key")
-    distances = tree.selected_distances(selected, tree.patristic_matrix(tree.patristic_pairs(wanted), wanted))
+    distances = tree.selected_distances(selected, tree.patristic_matrix(tree.patristic_pairs(nodes, wanted), wanted))
     coords = tree.mds(distances, pad_to=options.most_species if options.pad else None)
     flat = distances.groupBy("aln_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "dist"))), lambda x: x.dist).alias("dists"))
     flat = flat.join(coords.groupBy("aln_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("species_idx", "coords"))), lambda x: x.coords)).alias("coords"), F.count("*").cast("int").alias("n_species")), "aln_id")

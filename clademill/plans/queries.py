@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
 from clademill.functions.matrices import GRANTHAM, parse_triangle, scoring_matrix
-from clademill.operators import calls, metrics, model, sites, training, tree
+from clademill.operators import calls, metrics, model, sites, tour, training, tree
+from clademill.plans.storage import written
 from clademill.sources import nexus
 
 _LETTERS, _MAPPED = "abcdefghijklmnopqrstuvwxyz", "TCAGTCAGTCAGTCAGTCAGTCAGTC"
@@ -261,12 +262,12 @@ nodes AS (SELECT 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 'root' AS name
           UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100, 's' || s_suppkey, (1 + s_suppkey % 5) / 16.0e0, true FROM supplier)"""
 
 
-def _supplier_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.leaves(tree.with_paths(supplier_tree(spark, sf_dir)))
+def _supplier_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(tour.toured(supplier_tree(spark, sf_dir)), "tour")
 
 
 def q20_patristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.patristic_pairs(_supplier_leaves(spark, sf_dir)).select("a", "b", "lca_depth", "dist")
+    return tree.patristic_pairs(_supplier_tour(spark, sf_dir)).select("a", "b", "lca_depth", "dist")
 
 
 _Q20 = """
@@ -483,8 +484,8 @@ SELECT l.doc_id, quality, 500 AS n, CAST(CASE WHEN sums.n IS NULL THEN 0 ELSE t
 def q36_training_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix of the first 100 suppliers of the tree, weighted sums by row."""
     none = _table(spark, sf_dir, "region").select(F.lit("u").alias("aln_id"), F.col("r_regionkey").alias("seq_idx"), F.col("r_name").alias("label"))
-    species = training.training_species(none, tree.with_paths(supplier_tree(spark, sf_dir)))
-    rows = training.training_distances(species).select("gene_name", F.posexplode("dists").alias("at", "dist"))
+    nodes = _supplier_tour(spark, sf_dir)
+    rows = training.training_distances(training.training_species(none, nodes), nodes).select("gene_name", F.posexplode("dists").alias("at", "dist"))
     return rows.groupBy("gene_name", F.floor(F.col("at") / 100).alias("i")).agg(F.sum(F.col("dist").cast("double") * (F.col("at") % 100 + 1)).alias("total"))
 
 

@@ -8,11 +8,11 @@ from typing import NamedTuple
 _COMMENT = re.compile(r"\{[^}]*\}|\[[^\]]*\]")
 _TOKEN = re.compile(r"\s*('(?:[^']|'')*'|[(),;]|:[^(),;]*|[^(),;:]+)")
 
-NODE_SCHEMA = "tree_id string, node_id int, parent_id int, child_idx int, name string, branch_length double, is_leaf boolean, leaf_idx int, depth int, root_dist double, path array<int>, path_dist array<double>"
+NODE_SCHEMA = "tree_id string, node_id int, parent_id int, child_idx int, name string, branch_length double, is_leaf boolean, leaf_idx int, depth int, root_dist double"
 
 
 class Node(NamedTuple):
-    """``path`` leads from the root to the node; ``path_dist`` has each of its nodes' distances from the root. The root's own length doesn't count."""
+    """Of constant size whatever the depth. ``root_dist`` leaves out the root's own length."""
 
     node_id: int
     parent_id: int | None
@@ -23,8 +23,6 @@ class Node(NamedTuple):
     leaf_idx: int | None
     depth: int
     root_dist: float
-    path: list[int]
-    path_dist: list[float]
 
 
 def parse_newick(text: str) -> list[Node]:
@@ -65,6 +63,7 @@ def parse_newick(text: str) -> list[Node]:
         raise ValueError("a closing bracket is missing")
     out: list[Node] = []
     place: dict[int, int] = {}
+    index = {child: i for kids in children for i, child in enumerate(kids)} | {0: 0}
     stack, leaves = [0], 0
     while stack:
         n = stack.pop()
@@ -74,7 +73,7 @@ def parse_newick(text: str) -> list[Node]:
         me = len(out)
         place[n] = me
         leaf = not children[n]
-        out.append(Node(me, above.node_id if above else None, children[up].index(n) if above else 0, names[n], lengths[n], leaf, leaves if leaf else None, above.depth + 1 if above else 0, dist, [*(above.path if above else []), me], [*(above.path_dist if above else []), dist]))
+        out.append(Node(me, above.node_id if above else None, index[n], names[n], lengths[n], leaf, leaves if leaf else None, above.depth + 1 if above else 0, dist))
         leaves += leaf
         stack.extend(reversed(children[n]))
     return out

@@ -211,7 +211,7 @@ def tree_texts(nodes: DataFrame) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nodes = [
-            Node(n, None if pd.isna(p) else p, 0, name, None if pd.isna(length) else length, False, None, 0, 0.0, [], [])
+            Node(n, None if pd.isna(p) else p, 0, name, None if pd.isna(length) else length, False, None, 0, 0.0)
             for n, p, name, length in frame.sort_values("node_id")[["node_id", "parent_id", "name", "branch_length"]].itertuples(index=False)
         ]
         return pd.DataFrame({"tree_id": [frame["tree_id"].iloc[0]], "newick": [to_newick(nodes)]})

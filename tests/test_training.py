@@ -19,7 +19,7 @@ def made(spark, path, labels, window=3, most=4):
     sequences, nodes = training.read_training(spark, path)
     species = training.training_species(sequences, nodes, most)
     rows = training.training_tokens(spark.createDataFrame(labels, LABELS), sequences, species, window, most)
-    return training.with_distances(rows, training.training_distances(species, most), most)
+    return training.with_distances(rows, training.training_distances(species, nodes, most), most)
 
 
 def test_training_rows(spark, tmp_path):

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clademill.operators import tree
+from clademill.operators import tour, tree
 from clademill.sources import nexus
 from clademill.sources.newick import parse_newick
 
@@ -20,18 +20,22 @@ def path_table(text):
     positive = any((n.branch_length or 0) > 0 for n in nodes[1:])
     out = {}
     for leaf in (n for n in nodes if n.is_leaf):
-        out[leaf.name] = [(i, (nodes[i].branch_length or 0.0) if positive else 1.0) for i in reversed(leaf.path)]
+        at, out[leaf.name] = leaf, []
+        while at is not None:
+            out[leaf.name].append((at.node_id, (at.branch_length or 0.0) if positive else 1.0))
+            at = None if at.parent_id is None else nodes[at.parent_id]
     return out
 
 
 def test_patristic(spark):
-    leaf = tree.leaves(nodes_of(spark, QUARTET))
-    pairs = tree.patristic_pairs(leaf)
+    nodes = tour.toured(nodes_of(spark, QUARTET), preorder=True)
+    leaf = tree.leaves(nodes)
+    pairs = tree.patristic_pairs(nodes)
     got = {r.a + r.b: r.dist for r in pairs.collect()}
     assert got == {"AB": 3, "AC": 6, "AD": 7, "BC": 7, "BD": 8, "CD": 7}
     whole = {(r.a, r.b): r.dist for r in tree.patristic_matrix(pairs, leaf).collect()}
     assert len(whole) == 16 and whole["C", "A"] == 6 and whole["B", "B"] == 0
-    walked = tree.with_paths(nodes_of(spark, QUARTET).drop("depth", "root_dist", "path", "path_dist"))
+    walked = tree.with_paths(nodes_of(spark, QUARTET).drop("depth", "root_dist"))
     assert {(r.name, r.root_dist, r.depth) for r in walked.where("is_leaf").collect()} == {("A", 1.5, 2), ("B", 2.5, 2), ("C", 4.5, 2), ("D", 5.5, 2)}
 
 
@@ -149,3 +153,66 @@ def test_parsimony(spark):
     got = {r.node_id: (r.states, r.state, r.changed) for r in tree.parsimony_sets(nodes, states).collect()}
     assert got[0] == (["S"], "S", False) and got[4] == (["S", "T"], "S", False) and got[6] == (["T"], "T", True)
     assert tree.has_lengths(nodes).first().has_lengths is False and tree.distance_column(F.lit(None)) is not None
+
+
+def random_parents(rng, n, deep):
+    """Parents by id in no particular order of ids, and a length for each node."""
+    ids = [int(x) for x in rng.permutation(3 * n)[:n]]
+    parents = [None] + [ids[i - 1 if deep and rng.random() < 0.9 else int(rng.integers(i))] for i in range(1, n)]
+    return [(i, p, float(rng.integers(0, 9)) / 8) for i, p in zip(ids, parents, strict=True)]
+
+
+def test_tour_of_random_trees(spark):
+    rng = np.random.default_rng(4)
+    rows, want, places = [], {}, {}
+    for t in range(12):
+        nodes = random_parents(rng, int(rng.integers(1, 60)), t % 2)
+        up, length = {i: p for i, p, _ in nodes}, {i: x for i, _, x in nodes}
+        kids = {}
+        for i, p, _ in nodes:
+            kids.setdefault(p, []).append(i)
+        stack, at = [kids[None][0]], 0
+        while stack:
+            i = stack.pop()
+            places[f"t{t}", i] = at
+            at += 1
+            stack.extend(sorted(kids.get(i, []), reverse=True))
+
+        def line(i, up=up):
+            out = [i]
+            while up[out[-1]] is not None:
+                out.append(up[out[-1]])
+            return out
+
+        tips = sorted(i for i in up if i not in kids)
+        for a in tips:
+            for b in tips:
+                if a < b:
+                    x, y = line(a), line(b)
+                    met = next(i for i in x if i in y)
+                    want[f"t{t}", str(a), str(b)] = (len(line(met)) - 1, sum(length[i] for i in x[: x.index(met)]) + sum(length[i] for i in y[: y.index(met)]))
+        rows += [(f"t{t}", i, p, x, i not in kids, str(i), i) for i, p, x in nodes]
+    table = spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, branch_length double, is_leaf boolean, name string, leaf_idx long")
+    nodes = tour.toured(table)
+    assert {(r.tree_id, r.node_id): r.pos for r in nodes.collect()} == places
+    assert {(r.tree_id, r.a, r.b): (r.lca_depth, r.dist) for r in tree.patristic_pairs(nodes).collect()} == want
+
+
+def test_tour_of_a_caterpillar(spark):
+    levels = 10_000
+    # inner nodes 0 to levels - 1, each with a tip of its own and the next one below it
+    table = spark.range(levels).selectExpr("id AS node_id", "IF(id = 0, NULL, id - 1) AS parent_id", "0.5D AS branch_length", "false AS is_leaf", "NULL AS name")
+    tips = spark.range(levels).selectExpr("id + 1000000 AS node_id", "id AS parent_id", "0.25D AS branch_length", "true AS is_leaf", "string(id) AS name")
+    nodes = table.unionByName(tips).withColumn("tree_id", F.lit("t")).withColumn("leaf_idx", F.col("node_id"))
+    found = tour.toured(nodes)
+    assert found.agg(F.max("depth"), F.max("pos")).first() == (levels, 2 * levels - 1)
+    some = tree.leaves(found).where("node_id % 997 = 3")
+    got = tree.patristic_pairs(found, some).collect()
+    assert len(got) == 45 and all(r.lca_depth == min(int(r.a), int(r.b)) and r.dist == 0.5 + 0.5 * abs(int(r.a) - int(r.b)) for r in got)
+
+
+def test_loops_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(tour, "MOST_DOUBLINGS", 6)
+    loop = spark.createDataFrame([("t", 1, 2, 1.0), ("t", 2, 1, 1.0)], "tree_id string, node_id long, parent_id long, branch_length double")
+    with pytest.raises(ValueError):
+        tour.rooted(loop)
