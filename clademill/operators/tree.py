@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clademill.functions.codon import branch_weight, normal_name
+from clademill.operators.levels import greedy_gains
 from clademill.operators.tour import gaps, looked_up
+from clademill.plans.storage import written
 
 MOST_LEVELS = 10_000
 
@@ -141,10 +143,8 @@ def greedy_diversity(paths: dict[str, list[tuple[int, float]]], matched: list[st
     return chosen
 
 
-def select_species(nodes: DataFrame, matched: DataFrame, reference: DataFrame, most: int = 256) -> DataFrame:
-    """``aln_id, species_idx, label, gain``: the species of greatest phylogenetic diversity of each alignment that has a tree."""
-    flags = has_lengths(nodes)
-    weights = nodes.join(flags, "tree_id").withColumn("weight", branch_weight(F.col("branch_length"), F.col("has_lengths")))
+def _select_in_loops(weights: DataFrame, matched: DataFrame, reference: DataFrame, most: int) -> DataFrame:
+    """``select_species`` by ``greedy_diversity``, a task a tree."""
     tree = weights.groupBy(F.col("tree_id").alias("aln_id")).agg(F.collect_list(F.struct("node_id", "parent_id", "name", "weight", "is_leaf", "leaf_idx")).alias("nodes"))
     wanted = matched.groupBy("aln_id").agg(F.sort_array(F.collect_list(F.struct("leaf_idx", "label"))).alias("labels"))
     rows = tree.join(wanted, "aln_id").join(reference, "aln_id")
@@ -168,6 +168,30 @@ def select_species(nodes: DataFrame, matched: DataFrame, reference: DataFrame, m
     return rows.mapInPandas(run, "aln_id string, species_idx int, label string, gain double")
 
 
+def select_species(nodes: DataFrame, matched: DataFrame, reference: DataFrame, most: int = 256) -> DataFrame:
+    """``aln_id, species_idx, label, gain``: the species of greatest phylogenetic diversity of each alignment that has a tree.
+
+    Longest paths, found level by level over all trees at once, are what the greedy choice takes in order of their weight (``levels.greedy_gains``).
+    Where a tree has a negative length that doesn't hold, so such trees are gone through step by step, a task each."""
+    weights = written(nodes.join(has_lengths(nodes), "tree_id").withColumn("weight", branch_weight(F.col("branch_length"), F.col("has_lengths"))), "weights")
+    every = Window.partitionBy("aln_id")
+    listed = matched.select("aln_id", "label", "leaf_idx").join(reference, "aln_id").withColumn("place", F.row_number().over(every.orderBy("leaf_idx", "label")))
+    listed = written(listed.withColumn("n", F.count("*").over(every)).withColumn("key", normal_name(F.col("label"))), "listed")
+    odd = weights.where("weight < 0").select("tree_id").distinct()
+    out = None
+    if odd.take(1):
+        names = odd.withColumnRenamed("tree_id", "aln_id")
+        out = _select_in_loops(weights.join(odd, "tree_id", "left_semi"), matched.join(names, "aln_id", "left_semi"), reference, most)
+        weights, listed = weights.join(odd, "tree_id", "left_anti"), listed.join(names, "aln_id", "left_anti")
+    known = listed.groupBy("aln_id", "reference").agg(F.max("n").alias("n"))
+    others = listed.where(F.col("key") != normal_name(F.col("reference"))).select("aln_id", "place", "label", "key")
+    gains = greedy_gains(weights, others, reference)
+    rank = F.row_number().over(every.orderBy(F.desc("gain"), "place")).alias("species_idx")
+    chosen = gains.select("aln_id", rank, "label", "gain").join(known.select("aln_id", "n"), "aln_id").where(F.col("species_idx") < F.least(F.lit(most), "n")).drop("n")
+    chosen = known.select("aln_id", F.lit(0).alias("species_idx"), F.col("reference").alias("label"), F.lit(0.0).alias("gain")).unionByName(chosen)
+    return chosen if out is None else chosen.unionByName(out)
+
+
 def evenly_spaced(candidates: DataFrame, reference: DataFrame, most: int = 256) -> DataFrame:
     """``aln_id, species_idx, label``: the reference, then ``most - 1`` of the others at even steps of their order, or all if they fit.
 
@@ -304,45 +328,6 @@ def estimate_lengths(nodes: DataFrame, sequences: DataFrame, estimator: Callable
     return rows.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, branch_length double")
 
 
-def parsimony_sets(nodes: DataFrame, states: DataFrame) -> DataFrame:
-    """``tree_id, site, node_id, states, state, changed``: bottom-up state sets by parsimony and a top-down choice, for highlighting branches.
-
-    ``states``: ``tree_id, site, name, state`` of leaves. A node keeps the states that most children have, which for two children is
-    the intersection or else the union; the choice keeps the parent's state where it can and else the first in order.
-    """
-    tree = nodes.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "parent_id", "name", "is_leaf"))).alias("nodes"))
-    tips = states.groupBy("tree_id", "site").agg(F.map_from_entries(F.collect_list(F.struct("name", "state"))).alias("tips"))
-    rows = tips.join(tree, "tree_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for tree_id, site, tip, all_nodes in zip(frame["tree_id"], frame["site"], frame["tips"], frame["nodes"], strict=True):
-                tip = dict(tip)
-                count: dict[int, dict[str, int]] = {}
-                sets: dict[int, list[str]] = {}
-                for n in reversed(all_nodes):
-                    if n["is_leaf"]:
-                        own = [tip[n["name"]]] if tip.get(n["name"]) is not None else []
-                    else:
-                        c = count.get(n["node_id"], {})
-                        own = sorted(s for s, k in c.items() if k == max(c.values()))
-                    sets[n["node_id"]] = own
-                    if n["parent_id"] is not None:
-                        for s in own:
-                            up = count.setdefault(n["parent_id"], {})
-                            up[s] = up.get(s, 0) + 1
-                state: dict[int, str | None] = {}
-                for n in all_nodes:
-                    above = state.get(n["parent_id"])
-                    own = sets[n["node_id"]]
-                    state[n["node_id"]] = above if above in own or not own else own[0]
-                    out.append((tree_id, site, n["node_id"], own, state[n["node_id"]], bool(own and above is not None and state[n["node_id"]] != above)))
-            yield pd.DataFrame(out, columns=["tree_id", "site", "node_id", "states", "state", "changed"])
-
-    return rows.mapInPandas(run, "tree_id string, site int, node_id int, states array<string>, state string, changed boolean")
-
-
 def distance_column(dist: Column) -> Column:
     """Flat distances: 0 where a tree gave none."""
     return F.coalesce(dist, F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
 from clademill.functions.matrices import GRANTHAM, parse_triangle, scoring_matrix
-from clademill.operators import calls, metrics, model, sites, tour, training, tree
+from clademill.operators import calls, levels, metrics, model, sites, tour, training, tree
 from clademill.plans.storage import written
 from clademill.sources import nexus
 
@@ -329,6 +329,18 @@ def q25_greedy_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select_species(nodes, matched, reference, 64).select("species_idx", "label", "gain")
 
 
+_Q25 = """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, n_regionkey AS r, (1 + s_suppkey % 5) / 16.0e0 AS ls, (1 + n_nationkey % 7) / 8.0e0 AS ln, (1 + n_regionkey) / 4.0e0 AS lr
+           FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+ref AS (SELECT k AS rk, n AS rn, r AS rr FROM s ORDER BY k LIMIT 1),
+a AS (SELECT s.*, n = rn AS cn, r = rr AS cr, row_number() OVER (PARTITION BY n ORDER BY ls DESC, k) AS i FROM s, ref WHERE k <> rk),
+b AS (SELECT *, row_number() OVER (PARTITION BY r, i = 1 AND NOT cn ORDER BY ls + ln DESC, k) AS j FROM a),
+g AS (SELECT k, CASE WHEN cn OR i > 1 THEN ls WHEN cr OR j > 1 THEN ls + ln ELSE ls + ln + lr END AS gain FROM b),
+o AS (SELECT *, row_number() OVER (ORDER BY gain DESC, k) AS species_idx FROM g)
+SELECT 0 AS species_idx, 's' || rk AS label, 0.0e0 AS gain FROM ref
+UNION ALL SELECT CAST(species_idx AS INTEGER), 's' || k, gain FROM o WHERE species_idx < least(64, (SELECT count(*) FROM supplier))"""
+
+
 def _gram(frame: pd.DataFrame) -> pd.DataFrame:
     x = np.stack(frame.sort_values("vec_id")["embedding"].to_numpy()).astype(np.float64)
     dist = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
@@ -402,7 +414,7 @@ def q30_parsimony(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = supplier_tree(spark, sf_dir).withColumn("node_id", F.col("node_id").cast("int")).withColumn("parent_id", F.col("parent_id").cast("int"))
     state = F.when(F.col("s_acctbal") < 2000, "A").when(F.col("s_acctbal") < 6000, "C").otherwise("G")
     tips = _table(spark, sf_dir, "supplier").select(F.lit("t").alias("tree_id"), F.lit(1).alias("site"), F.concat(F.lit("s"), "s_suppkey").alias("name"), state.alias("state"))
-    found = tree.parsimony_sets(nodes, tips).where("node_id < 1000")
+    found = levels.parsimony_sets(nodes, tips).where("node_id < 1000")
     return found.select("node_id", F.array_join("states", ",").alias("states"))
 
 
@@ -527,7 +539,7 @@ def q40_parsimony_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = supplier_tree(spark, sf_dir).withColumn("node_id", F.col("node_id").cast("int")).withColumn("parent_id", F.col("parent_id").cast("int"))
     state = F.when(F.col("s_acctbal") < 2000, "A").when(F.col("s_acctbal") < 6000, "C").otherwise("G")
     tips = _table(spark, sf_dir, "supplier").select(F.lit("t").alias("tree_id"), F.lit(1).alias("site"), F.concat(F.lit("s"), "s_suppkey").alias("name"), state.alias("state"))
-    return tree.parsimony_sets(nodes, tips).where("node_id < 1000").select("node_id", "state", "changed")
+    return levels.parsimony_sets(nodes, tips).where("node_id < 1000").select("node_id", "state", "changed")
 
 
 def q41_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,6 +564,37 @@ def q43_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.pad_tokens(docs, "tokens", 8, C.UNKNOWN_CODON).select("doc_id", F.array_join("tokens", ",").alias("tokens"))
 
 
+def part_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``aln_id, seq_idx, label, seq``: parts of a brand and size as the species of a gene, their names as sequences."""
+    parts = _table(spark, sf_dir, "part").where("p_name IS NOT NULL")
+    seq = F.translate(F.regexp_replace(F.lower("p_name"), "[^a-z]", "-"), _LETTERS, _MAPPED)
+    return parts.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("aln_id"), F.col("p_partkey").alias("seq_idx"), F.concat(F.lit("p"), F.col("p_partkey")).alias("label"), seq.alias("seq"))
+
+
+def q44_changed_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches on which the amino acid of a variable site changes, in a tree of each gene that parts its species in three."""
+    msa = written(part_alignment(spark, sf_dir), "parts")
+    group = F.col("seq_idx") % 3 + 1
+    rows = lambda node, parent, name, leaf: msa.select(F.col("aln_id").alias("tree_id"), node.cast("int").alias("node_id"), parent.cast("int").alias("parent_id"), name.cast("string").alias("name"), F.lit(leaf).alias("is_leaf"), F.lit(1.0).alias("branch_length")).distinct()
+    nodes = rows(F.lit(0), F.lit(None), F.lit(None), False).unionByName(rows(group, F.lit(0), F.lit(None), False)).unionByName(rows(F.col("seq_idx") + 10, group, F.col("label"), True))
+    variable = sites.site_profile(sites.explode_sites(msa), "aln_id", "site").where("is_variable = 1").select("aln_id", "site")
+    return levels.changed_branches(written(nodes, "nodes"), msa, written(variable, "variable"))
+
+
+_Q44 = f"""
+WITH msa AS (SELECT p_brand || '/' || p_size AS aln_id, p_partkey AS seq_idx, 'p' || p_partkey AS label, translate(regexp_replace(lower(p_name), '[^a-z]', '-', 'g'), '{_LETTERS}', '{_MAPPED}') AS seq
+             FROM part WHERE p_name IS NOT NULL),
+codons AS (SELECT aln_id, seq_idx, label, site, substr(seq, (site - 1) * 3 + 1, 3) AS codon FROM (SELECT *, unnest(generate_series(1, length(seq) // 3)) AS site FROM msa)),
+{_PROFILE},
+t AS (SELECT aln_id, site, seq_idx, label, codon, seq_idx % 3 + 1 AS g, {_SQL_AA} AS aa FROM tokens SEMI JOIN (SELECT * FROM profile WHERE is_variable = 1) USING (aln_id, site) WHERE tok < 64),
+gs AS (SELECT aln_id, site, g, aa FROM t GROUP BY aln_id, site, g, aa QUALIFY count(*) = max(count(*)) OVER (PARTITION BY aln_id, site, g)),
+rs AS (SELECT aln_id, site, aa FROM gs GROUP BY aln_id, site, aa QUALIFY count(*) = max(count(*)) OVER (PARTITION BY aln_id, site)),
+root AS (SELECT aln_id, site, min(aa) AS st FROM rs GROUP BY aln_id, site),
+grp AS (SELECT aln_id, site, g, st AS up, CASE WHEN bool_or(aa = st) THEN st ELSE min(aa) END AS st FROM gs JOIN root USING (aln_id, site) GROUP BY aln_id, site, g, root.st)
+SELECT aln_id AS tree_id, site, CAST(g AS INTEGER) AS node_id, 0 AS parent_id, up AS before, st AS after, NULL AS name, NULL AS codon, NULL AS aa FROM grp WHERE st <> up
+UNION ALL SELECT aln_id, site, CAST(seq_idx + 10 AS INTEGER), CAST(g AS INTEGER), st, aa, label, codon, aa FROM t JOIN grp USING (aln_id, site, g) WHERE aa <> st"""
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 _VALUES = ", ".join(f"('{a}', '{b}', {x})" for (a, b), x in parse_triangle(GRANTHAM).items() if a < b)
@@ -599,6 +642,7 @@ ORACLE_SQL = {
     "q22_missing_partners": """SELECT l.doc_id, quality AS label, 3 AS n, coalesce(length(text), 0) AS first FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang <> 'fr') d USING (doc_id)""",
     "q23_prune": "SELECT 's' || s_suppkey AS name FROM supplier WHERE NOT s_acctbal > 0",
     "q24_evenly_spaced": _Q24,
+    "q25_greedy_diversity": _Q25,
     "q27_attention_head": _Q27,
     "q28_newick": _Q28,
     "q29_nexus": _Q29,
@@ -620,6 +664,7 @@ ORACLE_SQL = {
         reg AS (SELECT r_regionkey AS r, root.st AS up, CASE WHEN count(rs.st) = 0 OR bool_or(rs.st = root.st) THEN root.st ELSE min(rs.st) END AS st, count(rs.st) AS c FROM region CROSS JOIN root LEFT JOIN rs ON rs.r = r_regionkey GROUP BY r_regionkey, root.st),
         nat AS (SELECT n_nationkey AS n, reg.st AS up, CASE WHEN count(ns.st) = 0 OR bool_or(ns.st = reg.st) THEN reg.st ELSE min(ns.st) END AS st, count(ns.st) AS c FROM nation JOIN reg ON reg.r = n_regionkey LEFT JOIN ns ON ns.n = n_nationkey GROUP BY n_nationkey, reg.st)
         SELECT 0 AS node_id, st AS state, false AS changed FROM root UNION ALL SELECT CAST(r + 1 AS INTEGER), st, c > 0 AND st <> up FROM reg UNION ALL SELECT CAST(n + 100 AS INTEGER), st, c > 0 AND st <> up FROM nat""",
+    "q44_changed_branches": _Q44,
     "q41_batches": """WITH c AS (SELECT count(*) AS n FROM labels) SELECT unnest(range(greatest(1, n // 128))) AS batch, CASE WHEN n >= 128 THEN 128 ELSE n END AS n, CASE WHEN n >= 128 THEN 128 ELSE n END AS docs FROM c""",
     "q42_site_labels": "SELECT 'g' || (doc_id % 7) AS gene_name, CAST(doc_id AS INTEGER) AS site_index, CAST(quality AS INTEGER) AS is_significant FROM labels WHERE doc_id % 5 <> 0 AND quality IS NOT NULL",
     "q43_padding": "SELECT doc_id, array_to_string(list_concat(list_transform(range(n_chars % 7), lambda x: 1), list_transform(range(8 - n_chars % 7), lambda x: 65)), ',') AS tokens FROM documents",

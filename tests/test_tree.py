@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clademill.operators import tour, tree
+from clademill.operators import levels, tour, tree
 from clademill.sources import nexus
 from clademill.sources.newick import parse_newick
 
@@ -150,7 +150,7 @@ def test_branch_lengths(spark):
 def test_parsimony(spark):
     nodes = nodes_of(spark, "((A,B),(C,D));")
     states = spark.createDataFrame([("t", 1, n, s) for n, s in zip("ABCD", "SSST", strict=True)], "tree_id string, site int, name string, state string")
-    got = {r.node_id: (r.states, r.state, r.changed) for r in tree.parsimony_sets(nodes, states).collect()}
+    got = {r.node_id: (r.states, r.state, r.changed) for r in levels.parsimony_sets(nodes, states).collect()}
     assert got[0] == (["S"], "S", False) and got[4] == (["S", "T"], "S", False) and got[6] == (["T"], "T", True)
     assert tree.has_lengths(nodes).first().has_lengths is False and tree.distance_column(F.lit(None)) is not None
 
@@ -216,3 +216,67 @@ def test_loops_are_refused(spark, monkeypatch):
     loop = spark.createDataFrame([("t", 1, 2, 1.0), ("t", 2, 1, 1.0)], "tree_id string, node_id long, parent_id long, branch_length double")
     with pytest.raises(ValueError):
         tour.rooted(loop)
+
+
+def test_longest_paths_are_the_greedy_choice(spark):
+    """500 random trees at once, with ties, zero lengths, unnamed and repeated leaves, and references in and outside the tree."""
+    rng = np.random.default_rng(12)
+    nodes, matched, reference, want = [], [], [], {}
+    for t in range(500):
+        unit = (1.0, 0.0, 1.0, 0.5, 2.0)[: 1 + t % 5]
+        made = [(i, p, float(rng.choice(unit)) if t % 7 else None) for i, p, _ in random_parents(rng, int(rng.integers(2, 24)), t % 3 == 0)]
+        if t % 50 == 49:
+            made[-1] = (*made[-1][:2], -0.5)
+        up, inner = {i: p for i, p, _ in made}, {p for _, p, _ in made}
+        positive = any((x or 0) > 0 for _, p, x in made if p is not None)
+        weight = {i: ((x or 0.0) if positive else 1.0) for i, _, x in made}
+        tips = sorted(i for i in up if i not in inner)
+        name = {i: f"s{i if t % 4 else i // 2}" for i in tips}
+        nodes += [(f"t{t}", i, p, x, i not in inner, name.get(i), i) for i, p, x in made]
+        labels = [(i, name[i]) for i in tips if rng.random() < 0.8] or [(tips[0], name[tips[0]])]
+        matched += [(f"t{t}", label, i, label) for i, label in labels]
+        ref = name[tips[int(rng.integers(len(tips)))]] if t % 6 else "'elsewhere'"
+        reference.append((f"t{t}", ref))
+        paths = {}
+        for i in tips:
+            at, path = i, []
+            while at is not None:
+                path.append((at, weight[at]))
+                at = up[at]
+            paths.setdefault(name[i], path)
+        for most in (5,):
+            want[f"t{t}"] = tree.greedy_diversity(paths, [label for _, label in sorted(labels)], ref, most)
+    nodes = spark.createDataFrame(nodes, "tree_id string, node_id int, parent_id int, branch_length double, is_leaf boolean, name string, leaf_idx int")
+    matched = spark.createDataFrame(matched, "aln_id string, label string, leaf_idx int, name string")
+    got = {}
+    for r in tree.select_species(nodes, matched, spark.createDataFrame(reference, "aln_id string, reference string"), 5).orderBy("aln_id", "species_idx").collect():
+        got.setdefault(r.aln_id, []).append((r.label, r.gain))
+    assert got == want
+
+
+def test_parsimony_on_random_trees(spark):
+    rng = np.random.default_rng(7)
+    nodes, states, want = [], [], {}
+    for t in range(25):
+        made = random_parents(rng, int(rng.integers(1, 30)), t % 2)
+        kids = {}
+        for i, p, _ in made:
+            kids.setdefault(p, []).append(i)
+        nodes += [(f"t{t}", i, p, 1.0, i not in kids, str(i)) for i, p, _ in made]
+        for site in (1, 2):
+            tip = {i: rng.choice([None, "A", "C", "G"]) for i, _, _ in made if i not in kids}
+            states += [(f"t{t}", site, str(i), s) for i, s in tip.items()]
+            sets = {}
+            for i, _, _ in reversed(made):
+                votes = [s for k in kids.get(i, []) for s in sets[k]]
+                sets[i] = [tip[i]] * (tip[i] is not None) if i in tip else sorted(s for s in set(votes) if votes.count(s) == max(map(votes.count, votes)))
+            chosen = {None: None}
+            for i, p, _ in made:
+                chosen[i] = chosen[p] if chosen[p] in sets[i] or not sets[i] else sets[i][0]
+                want[f"t{t}", site, i] = (sets[i], chosen[i], bool(sets[i]) and chosen[p] is not None and chosen[i] != chosen[p])
+    nodes = spark.createDataFrame(nodes, "tree_id string, node_id long, parent_id long, branch_length double, is_leaf boolean, name string")
+    states = spark.createDataFrame(states, "tree_id string, site int, name string, state string")
+    found = levels.parsimony_sets(nodes, states)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert {(r.tree_id, r.site, r.node_id): (r.states, r.state, r.changed) for r in found.collect()} == want
+    assert levels.parsimony_sets(nodes.limit(0), states).count() == 0
