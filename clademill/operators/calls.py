@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clademill.functions.codon import back_transform, round_even
+from clademill.operators.metrics import running_totals
 
 NEUTRAL, TIER_1, TIER_2 = "Neutral", "Tier 1 (High)", "Tier 2 (Medium)"
 
@@ -25,20 +27,32 @@ class Tiers:
     gate_2: float = 3.0
 
 
-def tie_percentile(value: Column | str, *partition: str) -> Column:
-    """Mean rank of ties over count, in percent."""
-    part = Window.partitionBy(*partition)
-    value_name = value if isinstance(value, str) else value
-    ranked = F.rank().over(part.orderBy(value_name))
-    ties = F.count("*").over(Window.partitionBy(*partition, value_name))
-    return (ranked + (ties - 1) / 2.0) / F.count("*").over(part) * 100.0
+def _joined(rows: DataFrame, known: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``rows`` with what is ``known`` for their ``names``, in which nulls are equal."""
+    other = known.withColumnsRenamed({n: f"__of_{n}" for n in names})
+    same = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"__of_{n}")) for n in names), F.lit(True))
+    return rows.join(other, same).drop(*(f"__of_{n}" for n in names))
 
 
-def z_score(value: Column, *partition: str) -> Column:
-    """By the population's deviation; 0 where that is 0."""
-    part = Window.partitionBy(*partition)
-    deviation = F.stddev_pop(value).over(part)
-    return F.coalesce((value - F.avg(value).over(part)) / F.nullif(deviation, F.lit(0.0)), F.lit(0.0))
+def with_percentile(rows: DataFrame, value: str, *by: str, out: str = "percentile") -> DataFrame:
+    """Adds the mean rank of ties over the count, in percent, among rows alike in ``by``.
+
+    Ties are counted before they shuffle, and ranks are running totals over ranges of (``by``, value) less the key's beginning, so a key that
+    holds all rows is spread over as many tasks as there are ranges. What is known of a tie meets its rows in a join that can be split."""
+    ties = rows.groupBy(*by, value).agg(F.count("*").cast("double").alias("__n"))
+    ranked = running_totals(ties.withColumn("__place", F.struct(*by, value)), "__place", "__n", descending=False).drop("__place")
+    keys = ranked.groupBy(*by).agg(F.min("before___n").alias("__start"), F.sum("__n").alias("__total"))
+    ranked = _joined(ranked, keys, by)
+    share = (F.col("before___n") - F.col("__start") + (F.col("__n") + 1) / 2.0) / F.col("__total") * 100.0
+    return _joined(rows, ranked.select(*by, value, share.alias(out)), (*by, value))
+
+
+def with_z_score(rows: DataFrame, value: str, *by: str, out: str = "z") -> DataFrame:
+    """Adds the z-score among rows alike in ``by``, by the population's deviation; 0 where that is 0. Means are combined before they shuffle, one
+    row a key comes back."""
+    keys = rows.groupBy(*by).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__deviation"))
+    score = F.coalesce((F.col(value) - F.col("__mean")) / F.nullif(F.col("__deviation"), F.lit(0.0)), F.lit(0.0))
+    return _joined(rows, keys, by).withColumn(out, score).drop("__mean", "__deviation")
 
 
 def tier_call(variable: Column, percentile: Column, z: Column, lrt: Column, tiers: Tiers = Tiers()) -> Column:
@@ -57,9 +71,12 @@ def call_sites(sites: DataFrame, aln_id: str = "aln_id", tiers: Tiers = Tiers())
     out = sites.withColumn("predicted_log_lrt", round_even(F.when(variable, F.col("score")).otherwise(F.lit(0.0)), 5))
     out = out.withColumn("predicted_lrt", round_even(back_transform(F.when(variable, F.col("score")), variable), 5)).drop("score")
     by = (aln_id, "is_variable")
-    out = out.withColumn("local_z_score", F.when(variable, round_even(z_score(F.col("predicted_lrt"), *by), 4)).otherwise(F.lit(0.0)))
-    out = out.withColumn("local_percentile", F.when(variable, round_even(tie_percentile("predicted_lrt", *by), 2)).otherwise(F.lit(0.0)))
-    return out.withColumn("selection_call", tier_call(variable, F.col("local_percentile"), F.col("local_z_score"), F.col("predicted_lrt"), tiers))
+    out = with_z_score(out, "predicted_lrt", *by, out="local_z_score")
+    out = out.withColumn("local_z_score", F.when(variable, round_even(F.col("local_z_score"), 4)).otherwise(F.lit(0.0)))
+    out = with_percentile(out, "predicted_lrt", *by, out="local_percentile")
+    out = out.withColumn("local_percentile", F.when(variable, round_even(F.col("local_percentile"), 2)).otherwise(F.lit(0.0)))
+    columns = [*(c for c in out.columns if c not in ("local_z_score", "local_percentile")), "local_z_score", "local_percentile"]
+    return out.select(*columns).withColumn("selection_call", tier_call(variable, F.col("local_percentile"), F.col("local_z_score"), F.col("predicted_lrt"), tiers))
 
 
 def summarise(predictions: DataFrame, aln_id: str = "aln_id") -> DataFrame:

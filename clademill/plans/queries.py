@@ -161,13 +161,20 @@ SELECT * FROM called"""
 
 
 def q07_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
-    return events.select("event_id", "event_type", C.round_even(calls.z_score(F.col("value"), "event_type"), 4).alias("z"))
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return calls.with_z_score(events, "value", "event_type").select("event_id", "event_type", C.round_even(F.col("z"), 4).alias("z"))
 
 
 def q08_tie_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").withColumn("price", F.floor(F.col("o_totalprice") / 1000))
-    return orders.select("o_orderkey", "o_orderpriority", C.round_even(calls.tie_percentile("price", "o_orderpriority"), 2).alias("pct"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.floor(F.col("o_totalprice") / 1000).alias("price"))
+    return calls.with_percentile(orders, "price", "o_orderpriority").select("o_orderkey", "o_orderpriority", C.round_even(F.col("percentile"), 2).alias("pct"))
+
+
+def q45_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-scores and percentiles of all order lines as one key, the case in which every row shares it."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit("all").alias("gene"), "l_orderkey", "l_linenumber", F.floor(F.col("l_extendedprice") / 10).alias("price"))
+    out = calls.with_percentile(calls.with_z_score(lines, "price", "gene"), "price", "gene")
+    return out.select("l_orderkey", "l_linenumber", C.round_even(F.col("z"), 4).alias("z"), C.round_even(F.col("percentile"), 2).alias("pct"))
 
 
 def _event_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -665,6 +672,9 @@ ORACLE_SQL = {
         nat AS (SELECT n_nationkey AS n, reg.st AS up, CASE WHEN count(ns.st) = 0 OR bool_or(ns.st = reg.st) THEN reg.st ELSE min(ns.st) END AS st, count(ns.st) AS c FROM nation JOIN reg ON reg.r = n_regionkey LEFT JOIN ns ON ns.n = n_nationkey GROUP BY n_nationkey, reg.st)
         SELECT 0 AS node_id, st AS state, false AS changed FROM root UNION ALL SELECT CAST(r + 1 AS INTEGER), st, c > 0 AND st <> up FROM reg UNION ALL SELECT CAST(n + 100 AS INTEGER), st, c > 0 AND st <> up FROM nat""",
     "q44_changed_branches": _Q44,
+    "q45_one_key": """WITH l AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) AS p FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round_even((p - avg(p) OVER ()) / stddev_pop(p) OVER () * 10000, 0) / 10000 AS z,
+               round_even((rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0e0) / count(*) OVER () * 100.0e0 * 100, 0) / 100 AS pct FROM l""",
     "q41_batches": """WITH c AS (SELECT count(*) AS n FROM labels) SELECT unnest(range(greatest(1, n // 128))) AS batch, CASE WHEN n >= 128 THEN 128 ELSE n END AS n, CASE WHEN n >= 128 THEN 128 ELSE n END AS docs FROM c""",
     "q42_site_labels": "SELECT 'g' || (doc_id % 7) AS gene_name, CAST(doc_id AS INTEGER) AS site_index, CAST(quality AS INTEGER) AS is_significant FROM labels WHERE doc_id % 5 <> 0 AND quality IS NOT NULL",
     "q43_padding": "SELECT doc_id, array_to_string(list_concat(list_transform(range(n_chars % 7), lambda x: 1), list_transform(range(8 - n_chars % 7), lambda x: 65)), ',') AS tokens FROM documents",

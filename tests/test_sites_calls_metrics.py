@@ -39,7 +39,8 @@ def test_windows(spark):
 
 def test_percentiles_and_z(spark):
     rows = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 2.0, 3.0)] + [("b", 2.0)] * 3, "g string, x double")
-    found = rows.select("g", "x", calls.tie_percentile("x", "g"), F.round(calls.z_score(F.col("x"), "g"), 4)).collect()
+    scaled = calls.with_z_score(calls.with_percentile(rows, "x", "g"), "x", "g")
+    found = scaled.select("g", "x", "percentile", F.round("z", 4)).collect()
     got = sorted((g, x, round(p, 9), z) for g, x, p, z in found)
     assert got == [("a", 1.0, 25.0, -1.4142), ("a", 2.0, 62.5, 0.0), ("a", 2.0, 62.5, 0.0), ("a", 3.0, 100.0, 1.4142)] + [("b", 2.0, round(200 / 3, 9), 0.0)] * 3
 
@@ -108,3 +109,27 @@ def test_padding_and_missing(spark):
     got = {r.gene_name: r.tokens for r in sites.label_sites(labels, features, 2).collect()}
     assert got == {"g": [5, 5], "x": [0, 0]}
     assert sites.first_species(alignment(spark), 2).count() == 2
+
+
+def test_percentiles_against_windows(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("g"), F.when(F.col("id") % 7 > 0, F.xxhash64("id") % 40).alias("x"))
+    by = Window.partitionBy("g")
+    rank = (F.rank().over(by.orderBy("x")) + (F.count("*").over(Window.partitionBy("g", "x")) - 1) / 2) / F.count("*").over(by) * 100
+    want = rows.withColumn("p", rank).withColumn("z", F.coalesce((F.col("x") - F.avg("x").over(by)) / F.stddev_pop("x").over(by), F.lit(0.0)))
+    clean = lambda table, p: sorted((r.id, round(r[p], 9), round(r.z, 9)) for r in table.collect())
+    assert clean(calls.with_z_score(calls.with_percentile(rows, "x", "g"), "x", "g"), "percentile") == clean(want, "p")
+    assert calls.with_percentile(rows.limit(0), "x", "g").count() == 0
+
+
+def test_subsample_by_selection(spark):
+    import hashlib
+
+    rows = spark.range(5000).withColumn("x", F.col("id") * 2)
+    order = sorted(range(5000), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    for limit in (0, 1, 700, 4999, 5000, 9000):
+        found = metrics.subsample(rows, "id", limit)
+        assert found.columns == ["id", "x"] and sorted(r.id for r in found.collect()) == sorted(order[:limit])
+    plan = metrics.subsample(rows, "id", 700)._jdf.queryExecution().toString()
+    assert "GlobalLimit" not in plan and "TakeOrdered" not in plan
