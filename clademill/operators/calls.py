@@ -94,3 +94,33 @@ def summarise(predictions: DataFrame, aln_id: str = "aln_id") -> DataFrame:
 def called_sites(predictions: DataFrame, aln_id: str = "aln_id", site: str = "codon_site") -> DataFrame:
     """Sites that aren't neutral, highest percentile first."""
     return predictions.where(F.col("selection_call") != NEUTRAL).orderBy(aln_id, F.desc("local_percentile"), site)
+
+
+def summarise_levels(predictions: DataFrame, aln_id: str = "aln_id") -> DataFrame:
+    """``level, <aln_id>, selection_call`` and ``n, n_variable, mean_lrt, max_lrt``: by alignment and call, by alignment, by call, and in total, in one pass.
+
+    ``level`` tells them apart (the grouping id: 0 both, 1 alignment, 2 call, 3 total), as a null may also be a value."""
+    sets = predictions.groupingSets([[aln_id, "selection_call"], [aln_id], ["selection_call"], []], aln_id, "selection_call")
+    found = sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if(F.col("is_variable") == 1).alias("n_variable"), F.avg("predicted_lrt").alias("mean_lrt"), F.max("predicted_lrt").alias("max_lrt"))
+    return found.select("level", aln_id, "selection_call", "n", "n_variable", "mean_lrt", "max_lrt")
+
+
+#: Size parameter of quantile sketches; ranks are off by less than 1 % in nearly all cases at this size, whatever the number of rows.
+SKETCH_K = 400
+
+
+def lrt_sketches(predictions: DataFrame, aln_id: str = "aln_id") -> DataFrame:
+    """``<aln_id>, n, quantiles``: a sketch of the variable sites' LRT of each alignment, to be stored and merged with those of other runs."""
+    lrt = F.when(F.col("is_variable") == 1, F.col("predicted_lrt"))
+    return predictions.groupBy(aln_id).agg(F.count(lrt).alias("n"), F.kll_sketch_agg_double(lrt, F.lit(SKETCH_K)).alias("quantiles"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of several runs or alignments as one for each ``by``; alike for any order of merging, within the error bound."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("quantiles", F.lit(SKETCH_K)).alias("quantiles"))
+
+
+def sketch_quantiles(sketches: DataFrame, *shares: float) -> DataFrame:
+    """``sketches`` with ``values``: the approximate LRT at each of ``shares``; null for a sketch without a row."""
+    found = F.kll_sketch_get_quantile_double("quantiles", F.array(*(F.lit(float(s)) for s in shares)))
+    return sketches.withColumn("values", F.when(F.col("n") > 0, found)).drop("quantiles")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
 from clademill.functions.matrices import GRANTHAM, parse_triangle, scoring_matrix
-from clademill.operators import calls, levels, metrics, model, sites, tour, training, tree
+from clademill.functions import sql
+from clademill.operators import calls, levels, metrics, model, regions, sites, tour, training, tree
 from clademill.plans.storage import written
 from clademill.sources import nexus
 
@@ -588,6 +589,56 @@ def q44_changed_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.changed_branches(written(nodes, "nodes"), msa, written(variable, "variable"))
 
 
+def q46_site_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as sites of three alignments, customers as regions of 1 to some 10,000 sites; how many sites lie in each region."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("aln_id"), F.col("l_orderkey").alias("codon_site"), "l_quantity")
+    wide = F.floor(F.pow(F.lit(10.0), F.col("c_custkey") % 5)).cast("long")
+    areas = _table(spark, sf_dir, "customer").select(F.element_at(F.array(*map(F.lit, "ANR")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("aln_id"), "c_custkey", (F.col("c_custkey") * 7).alias("start"), (F.col("c_custkey") * 7 + wide).alias("end"))
+    met = regions.in_regions(lines, areas)
+    return met.groupBy("aln_id", "c_custkey", "start", "end").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.min("codon_site").alias("first"))
+
+
+def q47_called_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of called sites (events) at most 40 apart, of each event type."""
+    return regions.runs(q12_called_sites(spark, sf_dir), 40, "event_type", "event_id")
+
+
+def q48_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, mean and greatest LRT by type and call, by type, by call, and in total."""
+    out = calls.summarise_levels(q09_tiers_percentile(spark, sf_dir), "event_type")
+    return out.withColumn("mean_lrt", C.round_even(F.col("mean_lrt"), 6))
+
+
+def q49_sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether quartiles from merged sketches of each type and day lie between the exact ones two percent of ranks below and above."""
+    events = q09_tiers_percentile(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day")), "event_id")
+    merged = calls.merged_sketches(written(calls.lrt_sketches(events.withColumn("run", F.struct("event_type", "day")), "run"), "sketches").select("run.event_type", "n", "quantiles"), "event_type")
+    told = calls.sketch_quantiles(merged, 0.25, 0.5, 0.75)
+    edges = events.where("is_variable = 1").groupBy("event_type").agg(F.percentile("predicted_lrt", [0.23, 0.48, 0.73]).alias("low"), F.percentile("predicted_lrt", [0.27, 0.52, 0.77]).alias("high"))
+    within = F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("values", i).between(F.get("low", i), F.get("high", i)))
+    return told.join(edges, "event_type").select("event_type", "n", within.alias("within"))
+
+
+def q50_sql_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q01_codon_tokens`` by ``spark.sql`` alone, with registered functions."""
+    sql.register(spark)
+    return spark.sql(f"""
+        WITH msa AS (SELECT concat('doc', doc_id) AS label, translate(regexp_replace(lower(text), '[^a-z]', '-'), '{_LETTERS}', '{_MAPPED}') AS seq FROM parquet.`{sf_dir}/documents.parquet` WHERE text IS NOT NULL),
+        cut AS (SELECT label, slice(regexp_extract_all(seq, '.{{3}}', 0), 1, codon_count(seq)) AS parts FROM msa),
+        codons AS (SELECT label, pos + 1 AS site, codon FROM cut LATERAL VIEW posexplode(parts) AS pos, codon)
+        SELECT label, codon_token(codon) AS tok, count(*) AS n, sum(site) AS sites FROM codons GROUP BY ALL""")
+
+
+def q51_sql_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q28_newick`` by ``spark.sql`` alone: texts made and read in one statement, with a table function."""
+    sql.register(spark)
+    return spark.sql(f"""
+        WITH tips AS (SELECT s_nationkey AS n, array_join(sort_array(collect_list(concat('s', lpad(s_suppkey, 9, '0'), ':', (1 + s_suppkey % 5) / 16))), ',') AS tips FROM parquet.`{sf_dir}/supplier.parquet` GROUP BY s_nationkey),
+        clades AS (SELECT n_regionkey AS r, concat('(', tips, ')n', n_nationkey, '[x]:', (1 + n_nationkey % 7) / 8) AS clade FROM tips JOIN parquet.`{sf_dir}/nation.parquet` ON n_nationkey = n),
+        trees AS (SELECT CAST(r AS STRING) AS tree_id, concat('(', array_join(sort_array(collect_list(clade)), ','), ')r;') AS newick FROM clades GROUP BY r)
+        SELECT tree_id, name, depth, branch_length, root_dist FROM trees, LATERAL newick_nodes(newick) WHERE is_leaf""")
+
+
 _Q44 = f"""
 WITH msa AS (SELECT p_brand || '/' || p_size AS aln_id, p_partkey AS seq_idx, 'p' || p_partkey AS label, translate(regexp_replace(lower(p_name), '[^a-z]', '-', 'g'), '{_LETTERS}', '{_MAPPED}') AS seq
              FROM part WHERE p_name IS NOT NULL),
@@ -610,6 +661,7 @@ _Q09 = f"WITH {_EVENT_SITES}, {_sql_calls('sites', 'event_type', 'event_type, ev
 
 ORACLE_SQL = {
     "q01_codon_tokens": f"WITH {_MSA}, t AS (SELECT label, site, {_sql_token()} AS tok FROM codons) SELECT label, tok, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM t GROUP BY label, tok",
+    "q50_sql_codons": f"WITH {_MSA}, t AS (SELECT label, site, {_sql_token()} AS tok FROM codons) SELECT label, tok, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM t GROUP BY label, tok",
     "q02_amino_acids": f"""WITH {_MSA}, t AS (SELECT label, site, {_sql_token()} AS tok FROM codons), a AS (SELECT *, {_SQL_AA} AS aa FROM t)
         SELECT label, aa, CASE tok WHEN 64 THEN 21 ELSE instr('{C.AMINO_ACIDS}', aa) - 1 END AS aa_tok, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM a GROUP BY ALL""",
     "q03_variable_sites": f"WITH {_MSA}, {_PROFILE} SELECT aln_id, site, n_codons, n_aas, is_variable FROM profile",
@@ -672,6 +724,17 @@ ORACLE_SQL = {
         nat AS (SELECT n_nationkey AS n, reg.st AS up, CASE WHEN count(ns.st) = 0 OR bool_or(ns.st = reg.st) THEN reg.st ELSE min(ns.st) END AS st, count(ns.st) AS c FROM nation JOIN reg ON reg.r = n_regionkey LEFT JOIN ns ON ns.n = n_nationkey GROUP BY n_nationkey, reg.st)
         SELECT 0 AS node_id, st AS state, false AS changed FROM root UNION ALL SELECT CAST(r + 1 AS INTEGER), st, c > 0 AND st <> up FROM reg UNION ALL SELECT CAST(n + 100 AS INTEGER), st, c > 0 AND st <> up FROM nat""",
     "q44_changed_branches": _Q44,
+    "q46_site_regions": """WITH r AS (SELECT substr('ANR', CAST(c_custkey % 3 + 1 AS INTEGER), 1) AS aln_id, c_custkey, c_custkey * 7 AS "start", c_custkey * 7 + CAST(floor(pow(10.0e0, c_custkey % 5)) AS BIGINT) AS "end" FROM customer)
+        SELECT aln_id, c_custkey, "start", "end", count(*) AS n, sum(l_quantity) AS quantity, min(l_orderkey) AS first FROM r JOIN lineitem ON l_returnflag = aln_id AND l_orderkey BETWEEN "start" AND "end" GROUP BY ALL""",
+    "q47_called_runs": f"""WITH {_EVENT_SITES}, {_sql_calls("sites", "event_type", "event_type, event_id")},
+        o AS (SELECT event_type, event_id, CASE WHEN event_id - lag(event_id) OVER w <= 40 THEN 0 ELSE 1 END AS opens FROM called WHERE selection_call <> '{calls.NEUTRAL}' WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+        n AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM o)
+        SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM n GROUP BY event_type, run""",
+    "q48_levels": f"""WITH {_EVENT_SITES}, {_sql_calls("sites", "event_type", "event_type, event_id")}
+        SELECT CAST(grouping(event_type, selection_call) AS BIGINT) AS level, event_type, selection_call, count(*) AS n, count(*) FILTER (is_variable = 1) AS n_variable,
+               round_even(avg(predicted_lrt) * 1000000, 0) / 1000000 AS mean_lrt, max(predicted_lrt) AS max_lrt FROM called GROUP BY GROUPING SETS ((event_type, selection_call), (event_type), (selection_call), ())""",
+    "q49_sketched_quantiles": "SELECT event_type, count(*) FILTER (event_id % 7 <> 0) AS n, true AS within FROM events GROUP BY event_type",
+    "q51_sql_trees": _Q28,
     "q45_one_key": """WITH l AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) AS p FROM lineitem)
         SELECT l_orderkey, l_linenumber, round_even((p - avg(p) OVER ()) / stddev_pop(p) OVER () * 10000, 0) / 10000 AS z,
                round_even((rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0e0) / count(*) OVER () * 100.0e0 * 100, 0) / 100 AS pct FROM l""",

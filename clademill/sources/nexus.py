@@ -179,11 +179,20 @@ def parse_trees(trees: DataFrame, tree_id: str = "tree_id", newick: str = "newic
     return source.mapInPandas(run, NODE_SCHEMA + ", error string")
 
 
-def read_site_labels(spark: SparkSession, url: str, table: str = "site_results", driver: str | None = None) -> DataFrame:
-    """Labelled sites from a database by JDBC, or from Parquet or CSV by suffix; rows without a label are filtered at the source."""
+def read_site_labels(spark: SparkSession, url: str, table: str = "site_results", driver: str | None = None, genes: list[str] | None = None) -> DataFrame:
+    """Labelled sites from a database by JDBC, or from Parquet or CSV by suffix; rows without a label are filtered at the source.
+
+    ``genes``: gene names in ascending order at which a database is read in parts, one query each: those before the first, those from each up to the next, and the
+    rest. Without them one task reads the whole table.
+    """
     if url.startswith("jdbc:"):
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-        rows = (reader.option("driver", driver) if driver else reader).load()
+        more = {"driver": driver} if driver else {}
+        if genes:
+            quoted = ["'" + g.replace("'", "''") + "'" for g in genes]
+            edges = [f"gene_name < {quoted[0]}", *(f"gene_name >= {a} AND gene_name < {b}" for a, b in zip(quoted, quoted[1:], strict=False)), f"gene_name >= {quoted[-1]}", "gene_name IS NULL"]
+            rows = spark.read.jdbc(url, table, predicates=edges, properties=more)
+        else:
+            rows = spark.read.format("jdbc").options(url=url, dbtable=table, **more).load()
     elif url.endswith(".csv"):
         rows = spark.read.csv(url, header=True, schema="gene_name string, site_index int, is_significant int")
     else:

@@ -98,6 +98,9 @@ def test_labels_by_jdbc(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path / 'db'};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     labels = spark.createDataFrame([("g", 1, 1, "x"), ("g", 2, None, "y"), ("h", 3, 0, "z")], "gene_name string, site_index int, is_significant int, other string")
     named = labels.toDF(*(c.upper() for c in labels.columns))
-    named.write.option("driver", driver).jdbc(url, "site_results")
+    named.write.option("driver", driver).option("createTableColumnTypes", "GENE_NAME VARCHAR(64), OTHER VARCHAR(64)").jdbc(url, "site_results")
     found = nexus.read_site_labels(spark, url, "site_results", driver)
     assert sorted(tuple(r) for r in found.collect()) == [("g", 1, 1), ("h", 3, 0)]
+    parted = nexus.read_site_labels(spark, url, "site_results", driver, ["g", "h"])
+    assert sorted(tuple(r) for r in parted.collect()) == [("g", 1, 1), ("h", 3, 0)] and parted.rdd.getNumPartitions() == 4
+    assert "PushedFilters: [*IsNotNull(IS_SIGNIFICANT)]" in parted._jdf.queryExecution().toString()
