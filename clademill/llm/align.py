@@ -22,20 +22,16 @@ from pyspark.sql import functions as F
 from clademill.llm import blocks
 from clademill.llm.common import materialise
 
-CACHED_SEGMENTS, CACHED_CHARS = 400_000, 48
 #: Events of a row, and of a sweep; they bound a task's state, besides its longest group.
 RUN, SWEEP = 1 << 14, 1 << 18
 #: Links that are laid out at a time.
 LINKS = 1 << 22
 SPACE = "▁"
-_SEGMENT = re.compile(r"[ \t\n\f\v]+[^ \t\n\f\v]*")
 _LONG_WORD = re.compile(r"\S{1000}")
-_OTHER_SPACE = re.compile(r"[^\S \t\n\f\v]|[\x1c-\x1f]")
 
 
 class Both:
-    """Ids (little-endian unsigned 16-bit) of both tokenizers. Neither joins tokens over the start of white space, so texts are looked up
-    by segments: white space and what follows it. A text with other white space than blanks, tabs and line feeds is encoded whole."""
+    """Ids (little-endian unsigned 16-bit) of both tokenizers, and the bytes of each."""
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
@@ -55,52 +51,20 @@ class Both:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i) and not self.b.is_control(i)]
-        self.by_segment = not any(re.search(f"[^ \t\n\f\v{SPACE}][ \t\n\f\v{SPACE}]", p) for p in pieces)
-        self.by_segment &= b"".join(self.b_bytes[i] for i in self.b.encode("a  b ")) == b" a  b "
         self.a_len, self.b_len = (_lengths(x) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _whole(self, told: str) -> tuple[bytes, bytes] | None:
-        """Ids of ``told`` (a space and text) under both, or None where their bytes aren't its bytes."""
-        quick = self.quick and not _LONG_WORD.search(told)  # whose time grows with the square of a word's length
-        a = self.quick.encode_ordinary(told) if quick else self.a.encode(told, add_special_tokens=False).ids
-        b = self.b.encode(told[1:] if told[0] == " " else told) if told != " " else [self.b.piece_to_id(SPACE)]  # no space goes before nothing
-        if told[0] != " ":  # the space that was put before it is a token by itself
-            if self.b.id_to_piece(b[0]) != SPACE:
-                return None
-            b = b[1:]
-        data = told.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-            return None
-        return np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
-
-    def _segment(self, segment: str) -> tuple[bytes, bytes] | None:
-        out = self._whole(segment)
-        if len(segment) <= CACHED_CHARS:
-            if len(self.known) >= CACHED_SEGMENTS:
-                self.known.clear()
-            self.known[segment] = out
-        return out
 
     def ids(self, text: bytes) -> tuple[bytes, bytes] | None:
-        """Ids of space and ``text``; None where they don't give its bytes back or it isn't UTF-8."""
+        """Ids of space and ``text`` under both; None where they don't give its bytes back or it isn't UTF-8."""
         try:
             told = " " + text.decode()
         except UnicodeDecodeError:
             return None
-        if not self.by_segment or _OTHER_SPACE.search(told):
-            return self._whole(told)
-        known, out = self.known, []
-        for segment in _SEGMENT.findall(told):
-            pair = known.get(segment, False)
-            if pair is False:
-                pair = self._segment(segment)
-            if pair is None:
-                return None
-            out.append(pair)
-        a, b = zip(*out, strict=True)
-        return b"".join(a), b"".join(b)
+        quick = self.quick and not _LONG_WORD.search(told)  # whose time grows with the square of a word's length
+        a = self.quick.encode_ordinary(told) if quick else self.a.encode(told, add_special_tokens=False).ids
+        b, data = self.b.encode(told[1:]), b" " + text
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        return np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
 
 
 def _byte_level(tokenizer) -> dict[int, bytes]:

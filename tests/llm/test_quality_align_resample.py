@@ -143,17 +143,17 @@ def test_machine_in_small_sweeps(monkeypatch):
     assert run(3, 7) == run(1 << 14, 1 << 18) and len(run(3, 7)) == len(texts)
 
 
-def test_segments_encode_like_whole_texts():
+def test_quick_ids_are_the_tokenizers_own():
     rng = random.Random(3)
     both = align.both_of(None, None)
-    assert both.by_segment
-    signs = ["a", "b ", " ", "\n", "\t", "é", "ing", "The", " the", "'s", "12", "日", "🙂", "\r\n", "<s>", " ", "\x1c", "--", "\x0b"]
-    for _ in range(3000):
-        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 30)))
-        whole = both._whole(" " + t)
-        assert both.ids(t.encode()) == whole, repr(t)
-        assert whole is None or list(align.np.frombuffer(whole[0], "<u2")) == both.a.encode(" " + t, add_special_tokens=False).ids
-    assert both.ids(b"\xff\xfe") is None
+    signs = ["a", "b ", " ", "\n", "\t", "é", "ing", "The", " the", "'s", "12", "日", "🙂", "\r\n", "<s>", "<|endoftext|>", "\x1c", "--", "\x0b"]
+    found = 0
+    for n in range(2000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) + "x" * (1200 * (n % 500 == 0))
+        ids = both.ids(t.encode())
+        found += ids is not None
+        assert ids is None or list(align.np.frombuffer(ids[0], "<u2")) == both.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
+    assert found > 1000 and both.ids(b"\xff\xfe") is None
 
 
 def test_alignment_of_empty_table(spark):
