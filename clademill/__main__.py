@@ -30,6 +30,7 @@ def options(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--output", help="CSV folder for predictions")
     p.add_argument("--max-species", type=int, default=usual.most_species)
     p.add_argument("--estimate-lengths", action="store_true", help="estimate branch lengths of trees that have none, and write these trees beside the predictions")
+    p.add_argument("--branches", help="Parquet folder for the branches on which a variable site's amino acid changes")
     p.add_argument("--use-zscore", action="store_true", help="call by z-score in place of percentile")
     for name in ("percentile_1", "percentile_2", "z_1", "z_2", "gate_1", "gate_2"):
         p.add_argument(f"--{name.replace('_', '-')}", type=float, default=getattr(tiers, name))
@@ -52,7 +53,7 @@ def main(argv: list[str]) -> int:
     out = a.output or default_output(a.alignments)
     trees_out = f"{out.removesuffix('.csv')}_estimated_trees" if a.estimate_lengths else None
     try:
-        found = scan(spark, a.alignments, weights, a.tree, ScanOptions(a.reference, a.max_species, a.estimate_lengths, trees_out, True, tiers, model))
+        found = scan(spark, a.alignments, weights, a.tree, ScanOptions(a.reference, a.max_species, a.estimate_lengths, trees_out, a.branches, True, tiers, model))
         write_predictions(found, out)
     except (AnalysisException, ValueError) as why:  # a path that isn't there, a reference that isn't in an alignment
         print(why, file=sys.stderr)

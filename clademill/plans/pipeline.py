@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clademill.functions import codon as C
-from clademill.operators import calls, sites, tour, tree
+from clademill.operators import calls, levels, sites, tour, tree
 from clademill.operators.model import REGRESSOR, ModelSpec, Weights, score_sites
 from clademill.plans.storage import written
 from clademill.sources import nexus
@@ -21,6 +21,8 @@ class ScanOptions:
     estimate_lengths: bool = False
     #: Where trees with estimated lengths are written, one a line.
     trees_out: str | None = None
+    #: Where the branches on which a variable site's amino acid changes are written, as Parquet.
+    branches_out: str | None = None
     pad: bool = True
     tiers: calls.Tiers = field(default_factory=calls.Tiers)
     model: ModelSpec = REGRESSOR
@@ -37,14 +39,20 @@ def scan(spark: SparkSession, path: str, weights: Weights, tree_path: str | None
         trees = nexus.read_trees(spark, tree_path).select(F.regexp_replace("tree_id", r"\.[^.]*$", "").alias("tree_id"), "newick")
     else:
         trees = sequences.groupBy(F.col("aln_id").alias("tree_id")).agg(F.first("tree").alias("newick"))
-    return scan_frames(sequences.drop("tree"), nexus.parse_trees(trees), weights, options)
+    return _scan(sequences.drop("tree"), _node_table(nexus.parse_trees(trees)), weights, options)
+
+
+def _node_table(nodes: DataFrame) -> DataFrame:
+    """Parsed nodes, written, as all that follows reads them many times and would parse every text anew each time."""
+    return written(tour.toured(nodes.where(F.col("node_id").isNotNull()).drop("error"), preorder=True), "nodes")
 
 
 def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``scan`` on tables: ``aln_id, seq_idx, label, seq`` and node rows."""
-    # both are read many times below; without this each reading would parse all files anew
-    sequences = written(sequences, "sequences")
-    nodes = written(tour.toured(nodes.where(F.col("node_id").isNotNull()).drop("error"), preorder=True), "nodes")
+    return _scan(written(sequences, "sequences"), _node_table(nodes), weights, options)
+
+
+def _scan(sequences: DataFrame, nodes: DataFrame, weights: Weights, options: ScanOptions) -> DataFrame:
     leaf_rows = tree.leaves(nodes)
     reference = tree.choose_reference(sequences, options.reference)
     matched = tree.match_species(leaf_rows, sequences)
@@ -74,6 +82,9 @@ def scan_frames(sequences: DataFrame, nodes: DataFrame, weights: Weights, option
     profile = sites.site_profile(codons, "aln_id", "site").select("aln_id", "site", "is_variable")
     tokens = sites.windows(rows, options.model.window, "total")
     variable = profile.where("is_variable = 1").select("aln_id", "site")
+    if options.branches_out:
+        variable = written(variable, "variable")
+        levels.changed_branches(nodes, sequences, variable).write.mode("overwrite").parquet(options.branches_out)
     ordered = F.sort_array(F.collect_list(F.struct("species_idx", "w_idx", "codon_tok", "aa_tok")))
     arrays = tokens.join(variable, ["aln_id", "site"], "left_semi").groupBy("aln_id", "site").agg(ordered.alias("x"))
     arrays = arrays.select("aln_id", "site", F.transform("x", lambda x: x.codon_tok).alias("codon_toks"), F.transform("x", lambda x: x.aa_tok).alias("aa_toks"))

@@ -126,7 +126,12 @@ def test_scan(spark, tmp_path, monkeypatch):
     (tmp_path / "in" / "g2.nex").write_text(NEXUS.replace("BEGIN TREES", "BEGIN NOTHING"))
     options = ScanOptions(most_species=8, model=SMALL)
     w = model.seeded_weights(SMALL)
-    rows = sorted(tuple(r) for r in scan(spark, str(tmp_path / "in"), w, options=options).collect())
+    options = ScanOptions(most_species=8, model=SMALL, branches_out=str(tmp_path / "branches"))
+    found = scan(spark, str(tmp_path / "in"), w, options=options)
+    assert "Format: Text" not in found._jdf.queryExecution().toString()  # alignments and trees are parsed once, before
+    rows = sorted(tuple(r) for r in found.collect())
+    branches = {(r.site, r.before, r.after, r.name, r.codon, r.aa) for r in spark.read.parquet(str(tmp_path / "branches")).where("tree_id = 'g1'").collect()}
+    assert branches == {(3, "*", "W", "B", "TGG", "W")}
     assert len(rows) == 8 and [r[4] for r in rows] == [0, 1, 1, 0] * 2
     assert [(r[1], r[2], r[3]) for r in rows[:4]] == [(1, "ATG", "M"), (2, "TCA", "S"), (3, "TAA", "*"), (4, "AAA", "K")]
     assert all(r[5] == 0 and r[9] == "Neutral" for r in rows if not r[4])
