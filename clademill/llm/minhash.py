@@ -2,15 +2,18 @@
 
 A signature holds the minima of a set's shingle hashes under ``BANDS * ROWS`` permutations. Two sets agree on a minimum with a
 probability that is their Jaccard similarity, so they share one of the bands of ``ROWS`` minima with probability
-``1 - (1 - s ** ROWS) ** BANDS``: 0.996 at a similarity of 0.8. The rows of a band meet its first row; those that are in different groups
-afterwards are compared by the low bytes of all their minima, in blocks of bounded size, and pairs that agree on about as many as the
-wanted similarity lets expect are verified exactly there. Where many rows that don't link share a band, that is work with the square
-of their number, though not output.
+``1 - (1 - s ** ROWS) ** BANDS``: 0.996 at a similarity of 0.8. The rows of a band meet its first row. Those that are in different groups
+afterwards (a crowd) are joined by prefix filtering: members of sets are ordered by how many sets of the crowd have them, the rarest first, and two
+sets of the wanted similarity share one of their first few. Members of one set alone are not even shuffled, so lines that differ in their numbers
+meet hardly any other, though they share bands with all. Pairs are held against sizes, places and the low bytes of all minima,
+and verified exactly. What many sets share although it is among the rarest of each is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from clademill.llm.common import components, discard, materialise
 from clademill.llm.exact_dedup import may_be_in
 
 BANDS, ROWS = 14, 5
-#: Rows of a band are compared in blocks of so many; a larger band is dealt out by pairs of blocks.
+#: Rows of a token are compared in blocks of so many; more are dealt out by pairs of blocks.
 BLOCK = 512
+#: Hashes are counted in so many cells (bits), whose counts order them; and so many sets are made at a time.
+CELL_BITS, SLICE = 20, 200
 _RANDOM = np.random.default_rng(20)
 _FLIPS = _RANDOM.integers(0, 1 << 32, 256, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -77,71 +82,119 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 Sets = Callable[[list], list[np.ndarray]]
 
 
-def _within(sets: Sets, least: float, agreeing: int):
-    """Links ``a < b`` of different roots, within a block or between two blocks of a band. A pair that shares several bands is looked at
-    in the first of them only, and one that links found before join is left out."""
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    def links(band: int, table: pa.Table, crossed: bool) -> Iterator[tuple[int, int]]:
-        own, ids, roots = (table.column(c).to_numpy() for c in ("own", "id", "root"))
-        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = np.concatenate([x.flatten().to_numpy() for x in table.column("bands").chunks]).reshape(len(ids), -1)
-        at_band = (bands == band).argmax(axis=1)
-        parent = {r: r for r in roots.tolist()}
-
-        def find(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = r = parent[parent[r]]
-            return r
-
-        known: dict[int, np.ndarray] = {}
-        step = max(1, (1 << 20) // len(ids))
-        for at in range(0, len(ids), step):
-            rows = slice(at, at + step)
-            apart = roots[rows, None] != roots[None]
-            apart &= (own[rows, None] < own[None]) if crossed else (ids[rows, None] < ids[None])
-            x, y = np.nonzero(apart)
-            x += at
-            first = np.ones(len(x), bool)
-            for k in range(bands.shape[1]):
-                first &= (k >= at_band[x]) | (bands[x, k] != bands[y, k])
-            x, y = x[first], y[first]
-            hit = np.concatenate([np.zeros(0, bool), *((marks[x[k : k + (1 << 18)]] == marks[y[k : k + (1 << 18)]]).sum(axis=1) >= agreeing for k in range(0, len(x), 1 << 18))])
-            x, y = x[hit].tolist(), y[hit].tolist()
-            need = sorted({*x, *y} - known.keys())
-            if need:
-                known |= zip(need, sets(table.column("data").take(pa.array(need)).to_pylist()), strict=True)
-            for i, j in zip(x, y, strict=True):
-                p, q = find(int(roots[i])), find(int(roots[j]))
-                if p != q and similar(known[i], known[j], least):
-                    parent[p] = q
-                    yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
+
+def _counted(sets: Sets):
+    """``cell, n``: how many of the sets of ``data`` have a hash in each cell, added up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for found in sets(batch.column(0).slice(at, SLICE).to_pylist()):
+                    np.add.at(total, _cells(found), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    return run
+
+
+def cell_counts(data: DataFrame, sets: Sets) -> np.ndarray:
+    """How often hashes fall in each of a fixed number of cells (four megabytes)."""
+    found = data.select("data").mapInArrow(_counted(sets), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << CELL_BITS, np.uint32)
+    out[found["cell"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), np.iinfo(np.uint32).max)
+    return out
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a set's prefix and their places in it: its rarest members, as many as two sets of that similarity can't all differ in.
+    Members that only this set has, as their cell tells, take a place but are left out."""
+    rare = counts[_cells(hashes)]
+    order = np.lexsort((hashes, rare))[: len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1]
+    places = np.flatnonzero(rare[order] > 1)
+    return hashes[order[places]], places
 
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            table = pa.Table.from_batches(held)
-            keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
-            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
-            stop = len(edges) - (1 if last else 2)
-            for p, q in zip(edges[:stop], edges[1 : stop + 1], strict=True):
-                found = list(links(int(keys[0][p]), table.slice(p, q - p), bool(keys[1][p] != keys[2][p]))) if q - p > 1 else []
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            held = [] if last else table.slice(edges[stop]).to_batches()
 
+def _prefixes(sets: Sets, least: float, counts):
+    """``token, id, root, size, place, sketch``: a row for each member of the prefixes of the sets of ``id, root, sketch, data``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            yield from ready(False)
-        if sum(x.num_rows for x in held):
-            yield from ready(True)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = sets(part.column(3).to_pylist())
+                heads = [prefix(x, counts.value, least) for x in found]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _ in heads]))
+                size = pa.array([len(x) for x in found], pa.int32()).take(row)
+                columns = [pa.array(np.concatenate([x for x, _ in heads]).view(np.int64)), *(part.column(k).take(row) for k in (0, 1)), size, pa.array(np.concatenate([x for _, x in heads]), pa.int32()), part.column(2).take(row)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "root", "size", "place", "sketch"])
+
+    return run
+
+
+def _met(least: float, agreeing: int):
+    """Pairs ``a < b`` of different roots, within a block or between two blocks of a token's rows, whose sizes, places and sketches allow the similarity.
+    Rows come sorted by ``token, i, j``."""
+
+    def pairs(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, ids, roots, size, place, i, j = (table.column(c).to_numpy() for c in ("own", "id", "root", "size", "place", "i", "j"))
+        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        partners = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1  # the rows behind each in its group
+        ends = np.cumsum(partners)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+            n = partners[at:to]
+            x = np.repeat(np.arange(at, to), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            at = to
+            apart = (roots[x] != roots[y]) & (ids[x] != ids[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[apart], y[apart]
+            need = least / (1 + least) * (size[x] + size[y]) - 1e-6
+            apart = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
+            x, y = x[apart], y[apart]
+            apart = (marks[x] == marks[y]).sum(axis=1) >= agreeing
+            x, y = ids[x[apart]], ids[y[apart]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [batch] if batch is not None else []
+            table = pa.Table.from_batches(held) if held else None
+            if table is None or not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+            group = np.concatenate([[0], np.cumsum(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))])
+            stop = table.num_rows if batch is None else int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if stop:
+                yield from pairs(table.slice(0, stop), group[:stop])
+            held = table.slice(stop).to_batches()
 
     return run
 
 
+def crowd_pairs(crowd: DataFrame, sets: Sets, least: float, count: int = BANDS * ROWS) -> DataFrame:
+    """Candidate pairs ``a, b`` among the written ``id, root, sketch, data``: those of different roots that share a member of both prefixes. No pair
+    of that similarity is missed but by the sketches' chance (``least_agreeing``)."""
+    counts = crowd.sparkSession.sparkContext.broadcast(cell_counts(crowd, sets))
+    rows = crowd.select("id", "root", "sketch", "data").mapInArrow(_prefixes(sets, least, counts), "token long, id long, root long, size int, place int, sketch binary")
+    rows = materialise(rows, "prefixes")
+    tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    tokens = materialise(tokens.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "tokens")
+    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    dealt = rows.join(tokens, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("cell", F.explode(cells))
+    dealt = dealt.select("token", "cell.i", "cell.j", "own", "id", "root", "size", "place", "sketch").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    out = materialise(dealt.mapInArrow(_met(least, least_agreeing(count, least)), "a long, b long").distinct(), "candidates")
+    for done in (rows, tokens):
+        discard(done)
+    return out
+
+
 def _verified(sets: Sets, least: float):
     """The pairs ``a, b`` of batches ``a, b, left, right`` whose sets are similar enough."""
 
@@ -190,17 +243,12 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Set
     sure = verified(pairs, data, sets, least)
     roots = components(sure)
     others = met.select("band", "id").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    crowds = others.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    crowds = materialise(crowds.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "crowds")
-    crowd = materialise(others.join(crowds, "band"), "crowd")
-    some = crowd.select("id").distinct()
-    marks = signed.where("bands IS NOT NULL").join(some, "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    dealt = crowd.withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("cell", F.explode(cells))
-    dealt = dealt.join(materialise(marks.join(data, "id"), "marks"), "id").select("band", "cell.i", "cell.j", "own", "id", "root", "bands", "sketch", "data")
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = materialise(dealt.mapInArrow(_within(sets, least, least_agreeing(count, least)), "a long, b long"), "links")
-    out = components(sure.union(more))
-    for done in (pairs, crowds, crowd, met):
+    crowds = materialise(others.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "crowds")
+    some = materialise(others.join(crowds, "band", "left_semi").select("id", "root").distinct(), "some")
+    marks = signed.where("bands IS NOT NULL").join(some.select("id"), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"))
+    crowd = materialise(some.join(marks, "id").join(data, "id").select("id", "root", "sketch", "data"), "crowd")
+    more = crowd_pairs(crowd, sets, least, count)
+    out = components(sure.union(verified(more, data, sets, least)))
+    for done in (pairs, crowds, some, crowd, more, met):
         discard(done)
     return out

@@ -5,7 +5,6 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -172,22 +171,44 @@ def test_large_groups_of_prints_are_dealt_again(spark):
         assert got == {n: r for n, r in want.items() if n != r}
 
 
-def test_rows_of_a_band_meet_once():
+def test_a_crowd_meets_by_prefixes(spark, monkeypatch):
+    """All links within a crowd are found, and no pair twice, also where tokens are shared by more rows than a block has, and where cells hold many hashes."""
     rng = np.random.default_rng(13)
     texts = [set(rng.integers(0, 60, rng.integers(30, 50)).tolist()) for _ in range(700)]
-    texts += [x - {min(x)} for x in texts[:200]]
-    sets = [np.array(sorted(x), np.uint64) for x in texts]
-    low = np.concatenate([minhash.minima(minhash.mixed(x), np.zeros(1, np.int64)) for x in sets])
-    bands, marks, root = minhash.band_keys(low), minhash.sketches(low), np.arange(900) // 2
-    rows = [(int(k), 0, 0, 0, n, int(root[n]), bands[n].tolist(), marks[n], str(n)) for k in np.unique(bands) for n in np.flatnonzero((bands == k).any(axis=1)).tolist()]
-    names = ["band", "i", "j", "own", "id", "root", "bands", "sketch", "data"]
-    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[at : at + 250]]) for at in range(0, len(rows), 250)]
-    run = minhash._within(lambda data: [sets[int(x)] for x in data], 0.8, minhash.least_agreeing(70, 0.8))
-    got = [(a, b) for x in run(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
-    links = [(a, b) for a, b in combinations(range(900), 2) if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
-    seen = [(a, b) for a, b in links if (bands[a] == bands[b]).any()]
-    same = [(2 * i, 2 * i + 1) for i in range(450)]
-    assert set(got) <= set(links) and components_of(range(900), got + same) == components_of(range(900), seen + same) and len(seen) > 100
+    texts += [x - {min(x)} for x in texts[:200]] + [{1000 + k} for k in range(9)] + [set(range(5)), set(range(4)), set(range(6))]
+    links = {(a, b) for a, b in combinations(range(len(texts)), 2) if a // 2 != b // 2 and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])}
+    assert len(links) > 100
+    for spread in (1, 0x9E3779B97F4A7C15):
+        sets = [np.sort(np.array(sorted(x), np.uint64) * np.uint64(spread)) for x in texts]
+        marks = [minhash.sketches(minhash.minima(minhash.mixed(x), np.zeros(1, np.int64)))[0] for x in sets]
+        rows = [(n, n // 2, marks[n], str(n)) for n in range(len(texts))]
+        crowd = spark.createDataFrame(rows, "id long, root long, sketch binary, data string").repartition(3)
+        pairs = [(r.a, r.b) for r in minhash.crowd_pairs(crowd, lambda data: [sets[int(x)] for x in data], 0.8).collect()]
+        assert len(pairs) == len(set(pairs)) and links <= set(pairs) and all(a // 2 != b // 2 for a, b in pairs)
+
+
+def test_prefixes_are_short_where_members_are_rare():
+    counts = np.zeros(1 << minhash.CELL_BITS, np.uint32)
+    hashes = np.arange(1, 101, dtype=np.uint64) << np.uint64(44)
+    counts[1:101] = np.where(np.arange(100) < 25, 1, 9)
+    assert len(minhash.prefix(hashes, counts, 0.8)[0]) == 0  # 21 of them decide, all of which only this set has
+    counts[1:101] = np.arange(100, 0, -1) + 1
+    found, places = minhash.prefix(hashes, counts, 0.8)
+    assert (found >> np.uint64(44)).tolist() == list(range(100, 79, -1)) and places.tolist() == list(range(21))
+
+
+def test_numbered_lines(spark):
+    """Lines that share bands with all others but link to few: 6,000 of a text that differ in their numbers."""
+    rng = random.Random(21)
+    lines = [f"line {n} with some words number {n % 7}" for n in range(6000)]
+    lines += [f"measured at station {rng.randrange(10**6)} on the day a value of {rng.randrange(10**4)} and no more" for _ in range(600)]
+    lines += [x.replace("no more", "no mores") for x in lines[-100:]]
+    got = {r.line_no: r.class_line_no for r in fuzzy_lines.classify(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert len(got) == len(lines) and all(got[6600 + k] == got[6500 + k] for k in range(100))
+    tail = [(n, x) for n, x in enumerate(lines)][5400:]
+    want = brute_lines([(0, "\n".join(x for _, x in tail))])
+    apart = {k[1] + 5400: v[1] + 5400 for k, v in want.items() if k[1] >= 600}
+    assert sum(got[k] != v for k, v in apart.items()) <= 2
 
 
 def brute_lines(docs, least=0.8, size=8):
