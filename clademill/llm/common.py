@@ -62,8 +62,8 @@ def key_bitmap(keys: DataFrame, key: str) -> np.ndarray:
     cells = keys.select(F.explode(probes).alias("cell"))
     words = cells.select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, int(cell & 63L))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
     out = np.zeros(bits // 64, np.uint64)
-    found = words.toPandas()  # one row a word, of which there are a million at most
-    out[found["word"].to_numpy(np.int64)] = found["ones"].to_numpy(np.int64).view(np.uint64)
+    found = words.toArrow()  # one row a word, of which there are a million at most
+    out[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
     return out
 
 

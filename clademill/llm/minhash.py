@@ -96,16 +96,16 @@ def _counted(sets: Sets):
                 for found in sets(batch.column(0).slice(at, SLICE).to_pylist()):
                     np.add.at(total, _cells(found), 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["cell", "n"])
 
     return run
 
 
 def cell_counts(data: DataFrame, sets: Sets) -> np.ndarray:
     """How often hashes fall in each of a fixed number of cells (four megabytes)."""
-    found = data.select("data").mapInArrow(_counted(sets), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = data.select("data").mapInArrow(_counted(sets), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # Arrow batches; rows would cost the driver's Python a few hundred megabytes
     out = np.zeros(1 << CELL_BITS, np.uint32)
-    out[found["cell"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), np.iinfo(np.uint32).max)
+    out[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return out
 
 
