@@ -230,16 +230,30 @@ def _steps(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
     return [("equal", 0, head, 0, head), *((op, i + head, j + head, k + head, m + head) for op, i, j, k, m in middle), ("equal", len(a) - tail, len(a), len(b) - tail, len(b))]
 
 
+def _places(own: tuple[int, ...], slots: list[Slot]) -> list[tuple[list[int], set[tuple[int, int]]]]:
+    """The blocks of text that a repeat's slots make up, each with its checksum at its place from the start and from the end."""
+    blocks: dict[int, list[int]] = {}
+    for s in own:
+        blocks.setdefault(slots[s].block, []).append(s)
+    out = []
+    for k, held in enumerate(blocks.values()):
+        text = _sum(" ".join(slots[s].text for s in held))
+        out.append((held, {(k, text), (k - len(blocks), text)}))
+    return out
+
+
 class Node:
     """A tag, a slot or a repeat of a wrapper. ``constant``: the checksum of its texts if they have been the same on all pages so far.
-    ``chars``: how much text outside links its slots held, by the container they stood in."""
+    ``chars``: how much text outside links its slots held, by the container they stood in. ``steady``: the places of a repeat's blocks,
+    counted from its start and from its end, with the checksums that all pages so far have there."""
 
-    __slots__ = ("key", "constant", "optional", "count", "chars")
+    __slots__ = ("key", "constant", "optional", "count", "chars", "steady")
 
-    def __init__(self, key: object, constant: int | None, optional: bool, count: int, chars: dict[str, int]):
-        self.key, self.constant, self.optional, self.count, self.chars = key, constant, optional, count, chars
+    def __init__(self, key: object, constant: int | None, optional: bool, count: int, chars: dict[str, int], steady: set[tuple[int, int]] = frozenset()):
+        self.key, self.constant, self.optional, self.count, self.chars, self.steady = key, constant, optional, count, chars, steady
 
     def add(self, other: Node) -> None:
+        self.steady &= other.steady
         self.constant = self.constant if self.constant == other.constant else None
         self.optional |= other.optional
         self.count += other.count
@@ -264,7 +278,7 @@ class Wrapper:
                 if not s.dropped and not s.link:
                     where = _container(s.path)
                     chars[where] = chars.get(where, 0) + len(s.text.strip())
-            nodes.append(Node(key, _sum(" ".join(slots[i].text for i in own)) if own else None, False, 1, chars))
+            nodes.append(Node(key, _sum(" ".join(slots[i].text for i in own)) if own else None, False, 1, chars, set().union(*(x for _, x in _places(own, slots))) if isinstance(key, tuple) else set()))
         return Wrapper(nodes, [_sum(" ".join(s.text for s in slots))])
 
     def merge(self, other: Wrapper) -> Wrapper:
@@ -323,12 +337,14 @@ class Wrapper:
         for op, i, j, k, m in _steps([x.key for x in self.nodes], [key for key, _ in stream]):
             if op == "equal":
                 for node, (_, own) in zip(self.nodes[i:j], stream[k:m], strict=True):
+                    if node.steady and not node.optional:
+                        out.update(x for held, place in _places(own, slots) if place & node.steady for x in held)
                     if own and node.constant is not None and not node.optional and node.constant == _sum(" ".join(slots[s].text for s in own)):
                         out.update(own)
         return out
 
     def to_json(self) -> str:
-        return json.dumps([[[x.key, x.constant, x.optional, x.count, x.chars] for x in self.nodes], self.pages])
+        return json.dumps([[[x.key, x.constant, x.optional, x.count, x.chars, sorted(x.steady)] for x in self.nodes], self.pages])
 
     @staticmethod
     def from_json(text: str) -> Wrapper:
@@ -336,14 +352,19 @@ class Wrapper:
             return tuple(map(key, x)) if isinstance(x, list) else x
 
         nodes, pages = json.loads(text)
-        return Wrapper([Node(key(k), c, o, n, w) for k, c, o, n, w in nodes], pages)
+        return Wrapper([Node(key(k), c, o, n, w, set(map(tuple, t))) for k, c, o, n, w, t in nodes], pages)
 
 
 def _repeat(one: list[Node], other: list[Node]) -> Node | None:
     """The repeat in ``one`` that ``other`` has once, with the latter's text added."""
     if len(one) == 1 and isinstance(one[0].key, tuple) and one[0].key == tuple(x.key for x in other):
+        texts = [x.constant for x in other if x.chars or x.constant is not None]
+        both = {(0, texts[0]), (-1, texts[0])} if len(texts) == 1 else set()
+        one[0].steady &= both
+        both = one[0].steady
         for x in other:
             one[0].add(Node(x.key, None, x.optional, 0, x.chars))
+        one[0].steady = both
         one[0].count += 1
         return one[0]
     return None

@@ -127,6 +127,28 @@ def test_wrapper_decides_inside_an_article():
     assert html_extract.extract(page(1), same) == html_extract.extract(page(1))  # copies of one page tell nothing about template
 
 
+def test_wrapper_tells_constants_inside_a_repeat():
+    """A paragraph that all pages have at one place among differing ones is left out there, counted from the repeat's start or its end, and nowhere else."""
+    def page(n, more=0):
+        extra = "".join(f"<p>Further words {n} {k}.</p>" for k in range(more))
+        return f"<body><article><h1>Title {n}</h1><p>Story {n} begins.</p><p>Share this story.</p>{extra}<p>Story {n} ends.</p></article></body>"
+
+    def late(n):
+        return page(n).replace("<p>Share", "".join(f"<p>More {n} {k}.</p>" for k in range(n)) + "<p>Share")
+
+    for make in (page, lambda n: page(n, n % 3), late):
+        whole = wrapper_of(map(make, range(8)))
+        again = html_extract.Wrapper.from_json(whole.to_json())
+        for n in (0, 3, 7):
+            want = html_extract.extract(make(n)).replace("Share this story.\n", "")
+            assert html_extract.extract(make(n), whole) == html_extract.extract(make(n), again) == want
+    whole = wrapper_of(map(page, range(8)))
+    moved = page(3).replace("<p>Story 3 begins.</p>", "").replace("<p>Story 3 ends.</p>", "<p>Story 3 ends.</p><p>a</p><p>b</p>")
+    assert "Share this story." in html_extract.extract(moved, whole)
+    few = wrapper_of(map(page, range(3)))
+    assert "Share this story." in html_extract.extract(page(1), few)
+
+
 def test_wrapper_decides_without_an_article():
     def page(n):
         body = "".join(f"<p>Paragraph {i} of page {n} with <a href=x>a link</a> in it.</p>" for i in range(n % 4 + 1))
