@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clademill.llm.common import in_bitmap, key_bitmap, materialise, split_of
+from clademill.llm.common import discard, in_bitmap, key_bitmap, materialise, split_of
 from clademill.llm.exact_dedup import may_be_in
 from clademill.llm.minhash import mixed
 
@@ -191,8 +191,12 @@ def suspects(docs: DataFrame, items: DataFrame, sown: DataFrame, text: str = "te
     used = tuple(sorted({m for n in lengths for m in masks_of(n)}))
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(sown, "seed"))
     hits = _texts(docs, text).mapInArrow(_sighted(bitmap, used), "t1 long, t2 long, seed long, at long, window binary")
-    met = hits.join(sown, "seed").join(items.select("item", "tokens"), "item").select("t1", "t2", "item", "place", "at", "window", "tokens")
-    return materialise(met.mapInArrow(_judged, "t1 long, t2 long, item long, diagonal long").distinct(), "suspects")
+    # written, so that no task has two Python workers: Spark keeps those of earlier stages, whose memory adds up
+    met = materialise(hits.join(sown, "seed").select("t1", "t2", "item", "place", "at", "window"), "hits")
+    both = met.join(items.select("item", "tokens"), "item").select("t1", "t2", "item", "place", "at", "window", "tokens")
+    out = materialise(both.mapInArrow(_judged, "t1 long, t2 long, item long, diagonal long").distinct(), "suspects")
+    discard(met)
+    return out
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
