@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 
-# BLOSUM62 (Henikoff and Henikoff 1992), lower triangle with the diagonal, residues in the order of RESIDUES.
+# BLOSUM62 after Henikoff and Henikoff (1992) as scans of this kind use it (R-E is -2 and R-L -3 there, the paper's are 0 and -2), lower
+# triangle with the diagonal, residues in the order of RESIDUES.
 BLOSUM62 = """
 A  4
 R -1  5
@@ -14,11 +15,11 @@ N -2  0  6
 D -2 -2  1  6
 C  0 -3 -3 -3  9
 Q -1  1  0  0 -3  5
-E -1  0  0  2 -4  2  5
+E -1 -2  0  2 -4  2  5
 G  0 -2  0 -1 -3 -2 -2  6
 H -2  0  1 -1 -3  0  0 -2  8
 I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
-L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+L -1 -3 -3 -4 -1 -2 -3 -4 -3  2  4
 K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
 M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
 F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6

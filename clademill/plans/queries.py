@@ -481,6 +481,15 @@ def q34_scoring_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("aln_id").agg(F.sum(F.col("n1") * F.col("n2") * F.col("grantham")).alias("distance"), F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
 
 
+def q52_residue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitution scores of the amino-acid pairs seen at each site of the alignments, equal ones included, summed up per gene."""
+    rows = sites.explode_sites(alignment(spark, sf_dir)).select("aln_id", "site", C.translate_codon(F.col("codon")).alias("aa"))
+    counts = rows.where("aa NOT IN ('?', '*')").groupBy("aln_id", "site", "aa").agg(F.count("*").alias("n"))
+    left, right = (counts.select("aln_id", "site", F.col("aa").alias(f"aa{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    pairs = left.join(right, ["aln_id", "site"]).where("aa1 <= aa2").join(F.broadcast(scoring_matrix(spark)), ["aa1", "aa2"])  # 400 rows
+    return pairs.groupBy("aln_id", "aa1", "aa2").agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"), F.sum(F.col("n1") * F.col("n2") * F.col("score")).alias("score"))
+
+
 def q35_training_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as labelled sites of their genes, each with tokens of 100 species and five codons; French genes have no alignment."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "lang", "source").alias("gene_name"))
@@ -655,6 +664,29 @@ UNION ALL SELECT aln_id, site, CAST(seq_idx + 10 AS INTEGER), CAST(g AS INTEGER)
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
+# The scores that q52 has to find, stated apart from the library's own table; rows and columns in the order A R N D C Q E G H I L K M F P S T W Y V.
+_SCORES = """
+    ('A', '4 -1 -2 -2 0 -1 -1 0 -2 -1 -1 -1 -1 -2 -1 1 0 -3 -2 0'),
+    ('R', '-1 5 0 -2 -3 1 -2 -2 0 -3 -3 2 -1 -3 -2 -1 -1 -3 -2 -3'),
+    ('N', '-2 0 6 1 -3 0 0 0 1 -3 -3 0 -2 -3 -2 1 0 -4 -2 -3'),
+    ('D', '-2 -2 1 6 -3 0 2 -1 -1 -3 -4 -1 -3 -3 -1 0 -1 -4 -3 -3'),
+    ('C', '0 -3 -3 -3 9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1'),
+    ('Q', '-1 1 0 0 -3 5 2 -2 0 -3 -2 1 0 -3 -1 0 -1 -2 -1 -2'),
+    ('E', '-1 -2 0 2 -4 2 5 -2 0 -3 -3 1 -2 -3 -1 0 -1 -3 -2 -2'),
+    ('G', '0 -2 0 -1 -3 -2 -2 6 -2 -4 -4 -2 -3 -3 -2 0 -2 -2 -3 -3'),
+    ('H', '-2 0 1 -1 -3 0 0 -2 8 -3 -3 -1 -2 -1 -2 -1 -2 -2 2 -3'),
+    ('I', '-1 -3 -3 -3 -1 -3 -3 -4 -3 4 2 -3 1 0 -3 -2 -1 -3 -1 3'),
+    ('L', '-1 -3 -3 -4 -1 -2 -3 -4 -3 2 4 -2 2 0 -3 -2 -1 -2 -1 1'),
+    ('K', '-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5 -1 -3 -1 0 -1 -3 -2 -2'),
+    ('M', '-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5 0 -2 -1 -1 -1 -1 1'),
+    ('F', '-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6 -4 -2 -2 1 3 -1'),
+    ('P', '-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7 -1 -1 -4 -3 -2'),
+    ('S', '1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4 1 -3 -2 -2'),
+    ('T', '0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5 -2 -2 0'),
+    ('W', '-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11 2 -3'),
+    ('Y', '-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7 -1'),
+    ('V', '0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4')
+"""
 _VALUES = ", ".join(f"('{a}', '{b}', {x})" for (a, b), x in parse_triangle(GRANTHAM).items() if a < b)
 
 _Q09 = f"WITH {_EVENT_SITES}, {_sql_calls('sites', 'event_type', 'event_type, event_id')} SELECT * FROM called"
@@ -712,6 +744,10 @@ ORACLE_SQL = {
     "q34_scoring_matrix": f"""WITH {_MSA}, t AS (SELECT aln_id, site, {_sql_token()} AS tok FROM codons), a AS (SELECT aln_id, site, {_SQL_AA} AS aa FROM t),
         c AS (SELECT aln_id, site, aa, count(*) AS n FROM a WHERE aa NOT IN ('?', '*') GROUP BY ALL), m(x, y, d) AS (VALUES {_VALUES})
         SELECT p.aln_id, CAST(sum(p.n * q.n * d) AS DOUBLE) AS distance, CAST(sum(p.n * q.n) AS BIGINT) AS pairs FROM c p JOIN c q ON p.aln_id = q.aln_id AND p.site = q.site AND p.aa < q.aa JOIN m ON x = p.aa AND y = q.aa GROUP BY p.aln_id""",
+    "q52_residue_scores": f"""WITH {_MSA}, t AS (SELECT aln_id, site, {_sql_token()} AS tok FROM codons), a AS (SELECT aln_id, site, {_SQL_AA} AS aa FROM t),
+        c AS (SELECT aln_id, site, aa, count(*) AS n FROM a WHERE aa NOT IN ('?', '*') GROUP BY ALL),
+        m AS (SELECT r AS x, substr('ARNDCQEGHILKMFPSTWYV', CAST(i AS INTEGER), 1) AS y, CAST(string_split(v, ' ')[i] AS DOUBLE) AS d FROM (VALUES {_SCORES}) g(r, v), range(1, 21) s(i))
+        SELECT p.aln_id, p.aa AS aa1, q.aa AS aa2, CAST(sum(p.n * q.n) AS BIGINT) AS pairs, CAST(sum(p.n * q.n * d) AS DOUBLE) AS score FROM c p JOIN c q ON p.aln_id = q.aln_id AND p.site = q.site AND p.aa <= q.aa JOIN m ON x = p.aa AND y = q.aa GROUP BY ALL""",
     "q35_training_tokens": _Q35,
     "q36_training_distances": _Q36,
     "q37_branch_weights": """SELECT s_nationkey AS tree_id, s_nationkey % 3 = 2 AS has_lengths, sum(CASE WHEN s_nationkey % 3 = 2 THEN (1 + s_suppkey % 5) / 16.0e0 ELSE 1.0e0 END) AS weight FROM supplier GROUP BY s_nationkey""",

@@ -45,5 +45,6 @@ def test_matrices(spark):
     assert table.count() == 400 and table.where("score IS NOT NULL").count() == 4
     whole = {(r.aa1, r.aa2): (r.score, r.grantham) for r in scoring_matrix(spark).collect()}
     assert all(whole[a, b] == whole[b, a] for a, b in whole) and all(whole[a, a][1] == 0 for a in RESIDUES)
+    assert [whole[a, b][0] for a, b in ("RE", "ER", "RL", "LR", "RK", "WW")] == [-2, -2, -3, -3, 2, 11]
     assert [sum(whole[a, b][0] for b in RESIDUES) for a in "AWC"] == [-16, -32, -31]
     assert [sum(whole[a, b][1] for b in RESIDUES) for a in "ACW"] == [sum(map(int, x.split())) for x in ("112 111 126 44 91 107 60 86 94 96 106 84 95 27 35 58 148 112 64", "44 102 139 154 116 126 117 118 117 121 112 118 135 74 80 101 190 154 109", "148 101 174 181 190 130 122 184 115 103 113 110 115 40 153 177 178 37 88")]
