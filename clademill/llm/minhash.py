@@ -5,14 +5,16 @@ probability that is their Jaccard similarity, so they share one of the bands of
 ``1 - (1 - s ** ROWS) ** BANDS``: 0.996 at a similarity of 0.8. The rows of a band meet its first row. Those that are in different groups
 afterwards (a crowd) are joined by prefix filtering: members of sets are ordered by how many sets of the crowd have them, the rarest first, and two
 sets of the wanted similarity share one of their first few. Members of one set alone are not even shuffled, so lines that differ in their numbers
-meet hardly any other, though they share bands with all. Pairs are held against sizes, places and the low bytes of all minima,
-and verified exactly. What many sets share although it is among the rarest of each is dealt out by pairs of blocks.
+meet hardly any other, though they share bands with all. Pairs are held against sizes, places and sketches, whose bound is exact for all but
+large sets, and verified exactly. At first each set links only to the nearest it meets, round by round, so a dense group joins up
+without all its pairs; what is still apart then meets in full. What many sets share although it is among the rarest of each is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -28,6 +30,8 @@ BANDS, ROWS = 14, 5
 BLOCK = 512
 #: Hashes are counted in so many cells (bits), whose counts order them; and so many sets are made at a time.
 CELL_BITS, SLICE = 20, 200
+#: Bytes of a crowd's sketches.
+SKETCH = 128
 _RANDOM = np.random.default_rng(20)
 _FLIPS = _RANDOM.integers(0, 1 << 32, 256, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 1 << 31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -79,6 +83,33 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return n >= least * (len(a) + len(b) - n)
 
 
+def crowd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """``SKETCH`` bytes a set. One of at most ``8 * SKETCH`` members has the parities of how many of them are in each cell: two sets differ in at
+    least as many members as parities, as common ones cancel out. A larger one has the low bytes of minima."""
+    cells, sizes = 8 * SKETCH, np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((len(sets), SKETCH), np.uint8)
+    small, large = np.flatnonzero(sizes <= cells), np.flatnonzero(sizes > cells)
+    if len(small):
+        cell = (np.concatenate([sets[n] for n in small]) & np.uint64(cells - 1)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(small)) * cells, sizes[small]) + cell, minlength=len(small) * cells) & 1
+        out[small] = np.packbits(odd.astype(np.uint8).reshape(-1, cells), axis=1)
+    if len(large):
+        out[large] = minima(mixed(np.concatenate([sets[n] for n in large])), np.cumsum(sizes[large]) - sizes[large], SKETCH).astype(np.uint8)
+    return out
+
+
+def distances(marks: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far apart the sets ``x`` and ``y`` seem by their sketches, from 0 to 1, and whether these allow the similarity. A small set and a large one are not told apart."""
+    large = size > 8 * SKETCH
+    both, one = large[x] & large[y], large[x] ^ large[y]
+    odd = np.bitwise_count(marks.view(np.uint64)[x] ^ marks.view(np.uint64)[y]).sum(axis=1, dtype=np.int64)
+    far, allowed = odd / (size[x] + size[y]), odd <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-6
+    equal = (marks[x[both]] == marks[y[both]]).sum(axis=1)
+    far[both], allowed[both] = 1 - equal / SKETCH, equal >= least_agreeing(SKETCH, least)
+    far[one], allowed[one] = 0.5, True
+    return far, allowed
+
+
 Sets = Callable[[list], list[np.ndarray]]
 
 
@@ -119,25 +150,30 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.nda
 
 
 def _prefixes(sets: Sets, least: float, counts):
-    """``token, id, root, size, place, sketch``: a row for each member of the prefixes of the sets of ``id, root, sketch, data``."""
+    """``token, id, root, size, place``: a row for each member of the prefixes of the sets of ``id, root, data``; and one a set that has such, with its ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = sets(part.column(3).to_pylist())
+                found = sets(part.column(2).to_pylist())
                 heads = [prefix(x, counts.value, least) for x in found]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _ in heads]))
-                size = pa.array([len(x) for x in found], pa.int32()).take(row)
-                columns = [pa.array(np.concatenate([x for x, _ in heads]).view(np.int64)), *(part.column(k).take(row) for k in (0, 1)), size, pa.array(np.concatenate([x for _, x in heads]), pa.int32()), part.column(2).take(row)]
+                some = [n for n, (x, _) in enumerate(heads) if len(x)]
+                if not some:
+                    continue
+                sizes = pa.array([len(x) for x in found], pa.int32())
+                row = pa.array(np.concatenate([some, np.repeat(np.arange(len(found)), [len(x) for x, _ in heads])]))
+                marks = [x.tobytes() for x in crowd_sketches([found[n] for n in some])] + [None] * (len(row) - len(some))
+                tokens, places = (np.concatenate([np.zeros(len(some), kind), *(x[k].view(kind) for x in heads)]) for k, kind in ((0, np.int64), (1, np.int64)))
+                columns = [pa.array(tokens), *(part.column(k).take(row) for k in (0, 1)), sizes.take(row), pa.array(places, pa.int64()).cast(pa.int32()), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "root", "size", "place", "sketch"])
 
     return run
 
 
-def _met(least: float, agreeing: int):
-    """Pairs ``a < b`` of different roots, within a block or between two blocks of a token's rows, whose sizes, places and sketches allow the similarity.
-    Rows come sorted by ``token, i, j``."""
+def _met(least: float, nearest: bool):
+    """Pairs ``a < b`` of different roots, within a block or between two blocks of a token's rows, whose sizes, places and sketches allow the similarity;
+    with ``nearest`` one for each row at most, with the nearest of those behind it. Rows come sorted by ``token, i, j``."""
 
     def pairs(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         own, ids, roots, size, place, i, j = (table.column(c).to_numpy() for c in ("own", "id", "root", "size", "place", "i", "j"))
@@ -146,7 +182,7 @@ def _met(least: float, agreeing: int):
         ends = np.cumsum(partners)
         at = 0
         while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), "right")))
             n = partners[at:to]
             x = np.repeat(np.arange(at, to), n)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
@@ -156,8 +192,13 @@ def _met(least: float, agreeing: int):
             need = least / (1 + least) * (size[x] + size[y]) - 1e-6
             apart = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
             x, y = x[apart], y[apart]
-            apart = (marks[x] == marks[y]).sum(axis=1) >= agreeing
-            x, y = ids[x[apart]], ids[y[apart]]
+            far, apart = distances(marks, size, x, y, least)
+            x, y, far = x[apart], y[apart], far[apart]
+            if nearest and len(x):
+                order = np.lexsort((far, x))
+                order = order[np.append(True, np.diff(x[order]) != 0)]
+                x, y = x[order], y[order]
+            x, y = ids[x], ids[y]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -178,23 +219,62 @@ def _met(least: float, agreeing: int):
     return run
 
 
-def crowd_pairs(crowd: DataFrame, sets: Sets, least: float, count: int = BANDS * ROWS) -> DataFrame:
-    """Candidate pairs ``a, b`` among the written ``id, root, sketch, data``: those of different roots that share a member of both prefixes. No pair
-    of that similarity is missed but by the sketches' chance (``least_agreeing``)."""
+def prefixes(crowd: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """The prefixes and sketches (see ``_prefixes``) of the written ``id, root, data``. A written table."""
     counts = crowd.sparkSession.sparkContext.broadcast(cell_counts(crowd, sets))
-    rows = crowd.select("id", "root", "sketch", "data").mapInArrow(_prefixes(sets, least, counts), "token long, id long, root long, size int, place int, sketch binary")
-    rows = materialise(rows, "prefixes")
+    return materialise(crowd.select("id", "root", "data").mapInArrow(_prefixes(sets, least, counts), "token long, id long, root long, size int, place int, sketch binary"), "prefixes")
+
+
+def met_pairs(found: DataFrame, least: float, nearest: bool = False, roots: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs ``a, b`` of different roots among ``found`` (see ``prefixes``): those that share a member of both prefixes, no pair of that similarity
+    missed but by large sets' sketches and their chance (``least_agreeing``). With ``nearest`` a row of a token has one pair at most, with the nearest it meets in its
+    own block. ``roots`` (``id, root``) are newer ones. A written table."""
+    rows = found.where("sketch IS NULL").drop("sketch")
+    if roots is not None:
+        rows = materialise(rows.drop("root").join(roots, "id"), "rooted")
     tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     tokens = materialise(tokens.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "tokens")
+    own = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    dealt = rows.join(tokens, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("cell", F.explode(cells))
+    dealt = rows.join(tokens, "token").withColumn("own", own).join(found.where("sketch IS NOT NULL").select("id", "sketch"), "id")
+    dealt = dealt.withColumn("cell", F.struct(F.col("own").alias("i"), F.col("own").alias("j")) if nearest else F.explode(cells))
     dealt = dealt.select("token", "cell.i", "cell.j", "own", "id", "root", "size", "place", "sketch").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    out = materialise(dealt.mapInArrow(_met(least, least_agreeing(count, least)), "a long, b long").distinct(), "candidates")
-    for done in (rows, tokens):
+    out = materialise(dealt.mapInArrow(_met(least, nearest), "a long, b long").distinct(), "candidates")
+    for done in (tokens, *([rows] if roots is not None else [])):
         discard(done)
     return out
 
 
+def crowd_pairs(crowd: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """All candidate pairs (see ``met_pairs``) among the written ``id, root, data``."""
+    found = prefixes(crowd, sets, least)
+    out = met_pairs(found, least)
+    discard(found)
+    return out
+
+
+def crowd_links(crowd: DataFrame, data: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """Links ``a, b`` that join all groups of the written ``id, root, data`` of a crowd which links join. Each row is tried with the nearest it meets for as long as
+    that at least halves the groups; then all pairs of groups still apart."""
+    found, now, rooted, links = prefixes(crowd, sets, least), crowd.select("id", "root"), None, []
+    left = now.select("root").distinct().count()
+    while True:
+        more = met_pairs(found, least, True, rooted)
+        links.append(verified(more, data, sets, least))
+        discard(more)
+        ends = links[-1].join(now.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(now.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+        newer = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("newer"))
+        now = rooted = materialise(now.join(newer, "root", "left").select("id", F.coalesce("newer", "root").alias("root")), "roots")
+        before, left = left, now.select("root").distinct().count()
+        if 2 * left > before:
+            break
+    more = met_pairs(found, least, False, rooted)
+    links.append(verified(more, data, sets, least))
+    for done in (more, found):
+        discard(done)
+    return reduce(DataFrame.union, links)
+
+
 def _verified(sets: Sets, least: float):
     """The pairs ``a, b`` of batches ``a, b, left, right`` whose sets are similar enough."""
 
@@ -227,11 +307,11 @@ def meetings(signed: DataFrame) -> DataFrame:
     return met
 
 
-def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float = 0.8, extra: DataFrame | None = None, count: int = BANDS * ROWS) -> DataFrame:
+def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, least: float = 0.8, extra: DataFrame | None = None) -> DataFrame:
     """``node, root`` of the groups that links join, as ``common.components`` gives them.
 
-    ``signed``: a written table ``id long, bands array<long>, sketch binary``; an id may come more than once, and its bands and sketch are
-    null but in one row at least. ``texts`` gets a table of ids and returns ``id, data`` of these. ``sets`` turns data into sorted hashes of
+    ``signed``: a written table ``id long, bands array<long>``; an id may come more than once, and its bands are null but in one row at
+    least. ``texts`` gets a table of ids and returns ``id, data`` of these. ``sets`` turns data into sorted hashes of
     their shingles. ``extra``: further candidate pairs ``a, b``.
     """
     met = meetings(signed)
@@ -245,10 +325,8 @@ def linked(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Set
     others = met.select("band", "id").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     crowds = materialise(others.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "crowds")
     some = materialise(others.join(crowds, "band", "left_semi").select("id", "root").distinct(), "some")
-    marks = signed.where("bands IS NOT NULL").join(some.select("id"), "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"))
-    crowd = materialise(some.join(marks, "id").join(data, "id").select("id", "root", "sketch", "data"), "crowd")
-    more = crowd_pairs(crowd, sets, least, count)
-    out = components(sure.union(verified(more, data, sets, least)))
-    for done in (pairs, crowds, some, crowd, more, met):
+    crowd = materialise(some.join(data, "id").select("id", "root", "data"), "crowd")
+    out = components(sure.union(crowd_links(crowd, data, sets, least)))
+    for done in (pairs, crowds, some, crowd, met):
         discard(done)
     return out

@@ -108,7 +108,7 @@ def _signed(size: int):
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             low = minhash.minima(minhash.mixed(np.concatenate(sets)), np.cumsum(sizes) - sizes)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(minhash.band_keys(low).ravel()), minhash.BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bands, pa.array(minhash.sketches(low), pa.binary())], names=["id", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), bands], names=["id", "bands"])
 
     return run
 
@@ -314,7 +314,7 @@ def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     across = across.join(firsts.select("lane", F.col("print").alias("b"), F.col("first").alias("y")), ["lane", "b"]).select("x", "y")
     within = prints.join(firsts, ["lane", "print"]).where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y"))
     close = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
-    signed = materialise(texts.mapInArrow(_signed(size), "id long, bands array<long>, sketch binary"), "signed")
+    signed = materialise(texts.mapInArrow(_signed(size), "id long, bands array<long>"), "signed")
 
     def some(ids: DataFrame) -> DataFrame:
         return materialise(may_be_in(texts, "id", ids, "id").join(ids, "id", "left_semi"), "texts")

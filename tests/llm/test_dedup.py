@@ -187,6 +187,48 @@ def test_a_crowd_meets_by_prefixes(spark, monkeypatch):
         assert len(pairs) == len(set(pairs)) and links <= set(pairs) and all(a // 2 != b // 2 for a, b in pairs)
 
 
+def test_a_dense_crowd_makes_few_pairs(spark, monkeypatch):
+    """Groups of near copies, one whose pairs nearly all link and one whose pairs are all just too different: candidates grow with the rows, not with their pairs."""
+    rng = random.Random(31)
+    mixed = lambda x: np.sort(minhash.mixed(np.array(sorted(x), np.uint64)))
+
+    def group(n, at, changed):
+        return [set(range(at, at + 200)) - set(rng.sample(range(at, at + 200), changed)) | set(rng.sample(range(at + 500, at + 550), changed)) for _ in range(n)]
+
+    texts = group(300, 0, 11) + group(500, 10_000, 20) + group(40, 20_000, 16)
+    sets = [mixed(x) for x in texts]
+    low = [minhash.minima(x, np.zeros(1, np.int64)) for x in sets]
+    rows = [(n, minhash.band_keys(x)[0].tolist(), minhash.sketches(x)[0]) for n, x in enumerate(low)]
+    signed = common.materialise(spark.createDataFrame(rows, "id long, bands array<long>, sketch binary"), "signed")
+    texts_of = spark.createDataFrame([(n, str(n)) for n in range(len(sets))], "id long, data string")
+    made = []
+
+    def counted(pairs, *rest, real=minhash.verified):
+        made.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    got = {r.node: r.root for r in minhash.linked(signed, lambda ids: texts_of, lambda data: [sets[int(x)] for x in data]).collect()}
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
+    want = components_of(range(len(texts)), links)
+    assert sum(got.get(n, n) != want[n] for n in want) <= 2 and len(links) > 10_000
+    assert sum(made[1:]) <= 5 * len(texts)
+
+
+def test_sketches_keep_all_that_is_similar():
+    """The bound of a crowd's sketches is exact up to as many members as parities, and tells what is less similar apart."""
+    rng = random.Random(32)
+    for size, changed in [(3, 0), (20, 2), (100, 11), (1000, 110), (6000, 660)]:
+        base = rng.sample(range(1 << 40), size)
+        sets = [np.sort(np.array(base[: size - changed] + rng.sample(range(1 << 41, 1 << 42), changed), np.uint64)) for _ in range(30)]
+        sets += [np.sort(np.array(base[: size // 2] + rng.sample(range(1 << 41, 1 << 42), size - size // 2), np.uint64)) for _ in range(30)]
+        sets = [np.sort(minhash.mixed(x)) for x in sets]
+        x, y = np.triu_indices(len(sets), 1)
+        near = np.array([minhash.similar(sets[a], sets[b], 0.8) for a, b in zip(x, y, strict=True)])
+        far, allowed = minhash.distances(minhash.crowd_sketches(sets), np.array([len(s) for s in sets], np.int32), x, y, 0.8)
+        assert near.any() and allowed[near].all() and (size < 20 or far[near].max() < far[~near & (x >= 30)].min() and not allowed[x >= 30].any())
+
+
 def test_prefixes_are_short_where_members_are_rare():
     counts = np.zeros(1 << minhash.CELL_BITS, np.uint32)
     hashes = np.arange(1, 101, dtype=np.uint64) << np.uint64(44)
