@@ -255,7 +255,7 @@ def crowd_pairs(crowd: DataFrame, sets: Sets, least: float) -> DataFrame:
 
 def crowd_links(crowd: DataFrame, data: DataFrame, sets: Sets, least: float) -> DataFrame:
     """Links ``a, b`` that join all groups of the written ``id, root, data`` of a crowd which links join. Each row is tried with the nearest it meets for as long as
-    that at least halves the groups; then all pairs of groups still apart."""
+    that more than halves the groups; then all pairs of groups still apart."""
     found, now, rooted, links = prefixes(crowd, sets, least), crowd.select("id", "root"), None, []
     left = now.select("root").distinct().count()
     while True:
@@ -266,7 +266,7 @@ def crowd_links(crowd: DataFrame, data: DataFrame, sets: Sets, least: float) ->
         newer = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("newer"))
         now = rooted = materialise(now.join(newer, "root", "left").select("id", F.coalesce("newer", "root").alias("root")), "roots")
         before, left = left, now.select("root").distinct().count()
-        if 2 * left > before:
+        if 2 * left >= before:
             break
     more = met_pairs(found, least, False, rooted)
     links.append(verified(more, data, sets, least))
