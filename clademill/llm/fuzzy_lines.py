@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clademill.llm import minhash
-from clademill.llm.common import in_bitmap, key_bitmap, materialise, split_of
+from clademill.llm.common import discard, in_bitmap, key_bitmap, materialise, split_of
+from clademill.llm.exact_dedup import may_be_in
 
 SHINGLE, LEAST = 8, 0.8
 #: Documents at a time, code points hashed at a time, and keys that a task remembers so as to sign a repeated line once.
@@ -83,13 +84,21 @@ def shingle_sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """Each line's different shingle hashes in order."""
     parts: list[list[np.ndarray]] = [[] for _ in lines]
     for hashes, starts, numbers in shingle_hashes(lines, size):
-        for n, part in zip(numbers.tolist(), np.split(hashes, starts[1:]), strict=True):
-            parts[n].append(part)
-    return [np.unique(x[0] if len(x) == 1 else np.concatenate(x)) for x in parts]
+        ends = np.append(starts[1:], len(hashes)).tolist()
+        for n, a, b in zip(numbers.tolist(), starts.tolist(), ends, strict=True):
+            parts[n].append(hashes[a:b])
+    return [_different(x[0] if len(x) == 1 else np.concatenate(x)) for x in parts]
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` with less to do for a short array."""
+    x = np.sort(x)
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.append(True, new)]
 
 
 def signed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, line_no, id, bands, sketch`` of each line that isn't blank. ``id`` is the line's key; the last two are null where the task has signed an equal line before."""
+    """``doc_id, line_no, id, bands`` of each line that isn't blank. ``id`` is the line's key; ``bands`` is null where the task has signed an equal line before."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -119,11 +128,10 @@ def signed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
                 at[fresh_at] = np.arange(len(fresh))
                 index = pa.array(at, mask=at < 0)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(minhash.band_keys(low).ravel()), minhash.BANDS).cast(pa.list_(pa.int64()))
-                marks = pa.array(minhash.sketches(low), pa.binary())
-                columns = [part.column(0).take(pa.array(docs_at)), pa.array(places, pa.int32()), pa.array(keys, pa.int64()), bands.take(index), marks.take(index)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "id", "bands", "sketch"])
+                columns = [part.column(0).take(pa.array(docs_at)), pa.array(places, pa.int32()), pa.array(keys, pa.int64()), bands.take(index)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "id", "bands"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, line_no int, id long, bands array<long>, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, id long, bands array<long>")
 
 
 def lines_of(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
@@ -156,16 +164,19 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     names, are ignored. Empty tables give an empty result.
     """
     signed = materialise(signed_lines(docs, text, doc_id, size), "signed")
-    roots = minhash.linked(signed.select("id", "bands", "sketch"), lambda ids: lines_of(docs, ids, text), partial(shingle_sets, size=size), least)
-    firsts = signed.groupBy(F.col("id").alias("key")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    named = firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
-    named = materialise(named, "keys")
-    heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
-    heads = materialise(heads, "classes")
-    heads = materialise(named.join(heads, "root").select("key", "head", "class_size"), "heads")
-    out = signed.select("doc_id", "line_no", F.col("id").alias("key")).join(heads, "key")
+    roots = minhash.linked(signed.select("id", "bands"), lambda ids: lines_of(docs, ids, text), partial(shingle_sets, size=size), least)
+    rows = may_be_in(signed.select("doc_id", "line_no", F.col("id").alias("root")), "root", roots, "node", "linked")
+    joined = rows.where("linked").join(roots.select(F.col("node").alias("root"), F.col("root").alias("newer")), "root", "left")
+    joined = joined.select("doc_id", "line_no", F.coalesce("newer", "root").alias("root"))
+    rows = materialise(rows.where("NOT linked").select("doc_id", "line_no", "root").union(joined), "rooted")
+    discard(signed)
+    heads = rows.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count("*").alias("class_size"))
+    heads = materialise(heads.where("class_size > 1"), "classes")
+    rows = may_be_in(rows, "root", heads, "root", "several")
+    alone = rows.where("NOT several").select("doc_id", "line_no", F.struct("doc_id", "line_no").alias("head"), F.lit(1).cast("long").alias("class_size"))
+    several = rows.where("several").join(heads, "root", "left").select("doc_id", "line_no", F.coalesce("head", F.struct("doc_id", "line_no")).alias("head"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
-    return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "class_size", kept.alias("kept"))
+    return alone.union(several).select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "class_size", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
