@@ -8,6 +8,8 @@ ancestor is; minima over 1, 2, 4... neighbouring gaps answer every pair by two l
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from clademill.plans.storage import written
 
 #: Doublings that are tried; trees of more levels than 2 to this power have a loop.
 MOST_DOUBLINGS = 48
+#: Leaves each way of a square of pairs, and pairs that a task makes, more or less.
+SIDE, TASK_PAIRS = 1024, 1 << 22
 
 
 def _length() -> Column:
@@ -111,14 +115,52 @@ def ancestors_of_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return looked_up(pairs, *gaps(nodes, wanted))
 
 
+def _lowest(rows: DataFrame, minima: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """``rows`` with ``__low``, the lowest of the gaps from ``begin`` to ``end``, by two lookups; null where ``end`` is before ``begin`` or a gap isn't there."""
+    rows = rows.withColumn("__k", F.when(end >= begin, F.length(F.bin(end - begin + 1)) - 1)).withColumn("__l", begin).withColumn("__r", end + 1 - F.expr("shiftleft(1L, __k)"))
+    for x in ("l", "r"):
+        rows = rows.join(minima.select("tree_id", F.col("k").alias("__k"), F.col("rank").alias(f"__{x}"), F.col("low").alias(f"__low{x}")), ["tree_id", "__k", f"__{x}"], "left")
+    return rows.withColumn("__low", F.least("__lowl", "__lowr")).drop("__k", "__l", "__r", "__lowl", "__lowr")
+
+
 def looked_up(pairs: DataFrame, ranked: DataFrame, low: DataFrame) -> DataFrame:
     most = ranked.groupBy("tree_id").agg((F.max("rank") - F.min("rank")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    minima = _minima(low, most)
     side = lambda x: ranked.select("tree_id", F.col("node_id").alias(f"node_{x}"), F.col("rank").alias(f"__{x}"), F.col("root_dist").alias(f"__d{x}"))
     rows = pairs.join(side("a"), ["tree_id", "node_a"]).join(side("b"), ["tree_id", "node_b"])
-    begin, end = F.least("__a", "__b") + 1, F.greatest("__a", "__b")
-    rows = rows.withColumn("__k", F.length(F.bin(end - begin + 1)) - 1).withColumn("__l", begin).withColumn("__r", end + 1 - F.expr("shiftleft(1L, __k)"))
-    for x in ("l", "r"):
-        rows = rows.join(minima.select("tree_id", F.col("k").alias("__k"), F.col("rank").alias(f"__{x}"), F.col("low").alias(f"__low{x}")), ["tree_id", "__k", f"__{x}"])
-    met = F.least("__lowl", "__lowr")
-    return rows.select(*pairs.columns, met["depth"].cast("int").alias("lca_depth"), (F.col("__da") + F.col("__db") - 2 * met["dist"]).alias("dist"))
+    rows = _lowest(rows, _minima(low, most), F.least("__a", "__b") + 1, F.greatest("__a", "__b")).where("__low IS NOT NULL")
+    return rows.select(*pairs.columns, F.col("__low.depth").cast("int").alias("lca_depth"), (F.col("__da") + F.col("__db") - 2 * F.col("__low.dist")).alias("dist"))
+
+
+def every_pair(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``tree_id, a, b, lca_depth, dist`` for each pair of ``wanted`` nodes (``tree_id, node_id, leaf_idx, name``) of a tree, ``a`` before ``b`` by ``leaf_idx``.
+
+    Nothing is looked up by pair. The highest bit in which two ranks within a tree differ tells the block whose halves they lie in, and what is lowest
+    between them is the lower of two values that each has by itself: from the left one to its half's end and from the other half's start to the right
+    one. So a leaf has a row for each bit, and halves meet in a join, in squares of at most ``SIDE`` leaves each way."""
+    ranked, low = gaps(nodes, wanted)
+    size = ranked.groupBy("tree_id").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    most, total = size.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_PAIRS))
+    rows = wanted.select("tree_id", "node_id", "leaf_idx", "name").join(ranked, ["tree_id", "node_id"]).join(size, "tree_id").where("n > 1")
+    rows = rows.withColumn("r", F.col("rank") - F.col("first")).withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)))
+    rows = rows.withColumn("own", F.expr("shiftright(r, bit)")).withColumn("start", F.expr("shiftleft(own, bit)")).withColumn("left", F.col("own") % 2 == 0)
+    wide = F.expr("shiftleft(1L, bit)")
+    rows = rows.where(~F.col("left") | (F.col("start") + wide < F.col("n")))  # a half without a right neighbour meets nothing
+    begin = F.col("first") + F.when(F.col("left"), F.col("r") + 1).otherwise(F.col("start"))
+    end = F.col("first") + F.when(F.col("left"), F.col("start") + wide - 1).otherwise(F.col("r"))
+    rows = _lowest(rows, _minima(low, most), begin, end)
+    # the squares that a leaf's half is cut into, and those of the half that it meets
+    other = F.when(F.col("left"), F.least(wide, F.col("n") - F.col("start") - wide)).otherwise(wide)
+    beside = F.sequence(F.lit(0).cast("long"), F.floor((other - 1) / SIDE))
+    rows = rows.select(
+        "tree_id", "bit", F.expr("shiftright(own, 1)").alias("block"), "left", F.floor((F.col("r") - F.col("start")) / SIDE).alias("mine"), F.explode(beside).alias("theirs"), "leaf_idx", "name", "root_dist",
+        F.coalesce(F.col("__low.depth").cast("int"), F.lit(2**31 - 1)).alias("depth"), F.coalesce("__low.dist", F.lit(0.0)).alias("dist"),
+    )
+    rows = written(rows, "halves")
+    keys = ["tree_id", "bit", "block", "__i", "__j"]
+    one = lambda x, where, i, j: rows.where(where).select("tree_id", "bit", "block", F.col(i).alias("__i"), F.col(j).alias("__j"), *(F.col(c).alias(f"{c}_{x}") for c in ("leaf_idx", "name", "root_dist", "depth", "dist"))).repartition(parts, *keys)
+    met = one("a", "left", "mine", "theirs").join(one("b", "NOT left", "theirs", "mine"), keys).where("leaf_idx_a <> leaf_idx_b")
+    ahead = F.col("leaf_idx_a") < F.col("leaf_idx_b")
+    first, second = (F.when(ahead, F.col(f"name_{x}")).otherwise(F.col(f"name_{y}")) for x, y in ("ab", "ba"))
+    lowest = F.when(F.col("depth_a") <= F.col("depth_b"), F.col("dist_a")).otherwise(F.col("dist_b"))
+    return met.select("tree_id", first.alias("a"), second.alias("b"), F.least("depth_a", "depth_b").alias("lca_depth"), (F.col("root_dist_a") + F.col("root_dist_b") - 2 * lowest).alias("dist"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clademill.functions.codon import branch_weight, normal_name
 from clademill.operators.levels import greedy_gains
-from clademill.operators.tour import gaps, looked_up
+from clademill.operators.tour import every_pair
 from clademill.plans.storage import written
 
 MOST_LEVELS = 10_000
@@ -52,9 +52,7 @@ def patristic_pairs(nodes: DataFrame, leaf_rows: DataFrame | None = None) -> Dat
     """``tree_id, a, b, lca_depth, dist`` for each pair of ``leaf_rows`` (all leaves by default) of a tree, ``a`` before ``b`` by ``leaf_idx``. ``nodes`` are
     whole trees as ``tour.toured`` gives them. Select the wanted leaves first: pairs grow with their square."""
     wanted = leaves(nodes) if leaf_rows is None else leaf_rows
-    side = lambda x: wanted.select("tree_id", F.col("leaf_idx").alias(f"i{x}"), F.col("name").alias(x), F.col("node_id").alias(f"node_{x}"))
-    pairs = side("a").join(side("b"), "tree_id").where("ia < ib").select("tree_id", "a", "b", "node_a", "node_b")
-    return looked_up(pairs, *gaps(nodes, wanted)).select("tree_id", "a", "b", "lca_depth", "dist")
+    return every_pair(nodes, wanted)
 
 
 def patristic_matrix(pairs: DataFrame, leaf_rows: DataFrame) -> DataFrame:

@@ -211,6 +211,28 @@ def test_tour_of_a_caterpillar(spark):
     assert len(got) == 45 and all(r.lca_depth == min(int(r.a), int(r.b)) and r.dist == 0.5 + 0.5 * abs(int(r.a) - int(r.b)) for r in got)
 
 
+def test_pairs_are_made_in_squares_by_one_join(spark, monkeypatch):
+    """Three trees whose leaves' order isn't the tour's, in squares of two leaves; nothing is looked up by pair."""
+    monkeypatch.setattr(tour, "SIDE", 2)
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for t, n in enumerate((2, 13, 47)):
+        up = {0: None} | {i: int(rng.integers(max(0, i - 6), i)) for i in range(1, n)}
+        tips = [i for i in up if i not in up.values()]
+        place = dict(zip(tips, rng.permutation(len(tips)).tolist(), strict=True))
+        length = {i: float(rng.integers(0, 9)) / 4 for i in up}
+        line = lambda i, up=up: [i, *(line(up[i], up) if up[i] is not None else [])]
+        for a in tips:
+            for b in (x for x in tips if place[a] < place[x]):
+                x, y = line(a, up), line(b, up)
+                met = next(i for i in x if i in y)
+                want[f"t{t}", f"s{a}", f"s{b}"] = (len(line(met, up)) - 1, sum(length[i] for i in (*x[: x.index(met)], *y[: y.index(met)])))
+        rows += [(f"t{t}", i, p, length[i], i in place, f"s{i}", place.get(i)) for i, p in up.items()]
+    table = spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, branch_length double, is_leaf boolean, name string, leaf_idx int")
+    pairs = tree.patristic_pairs(tour.toured(table))
+    assert {(r.tree_id, r.a, r.b): (r.lca_depth, r.dist) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_loops_are_refused(spark, monkeypatch):
     monkeypatch.setattr(tour, "MOST_DOUBLINGS", 6)
     loop = spark.createDataFrame([("t", 1, 2, 1.0), ("t", 2, 1, 1.0)], "tree_id string, node_id long, parent_id long, branch_length double")
