@@ -3,6 +3,7 @@ selection, pruning, ordination, branch-length estimation. Work is dealt out by t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from clademill.operators.tour import every_pair
 from clademill.plans.storage import written
 
 MOST_LEVELS = 10_000
+#: Points whose products are summed up at once.
+PIECE = 4096
 
 
 def with_paths(nodes: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
@@ -256,6 +259,52 @@ def mds(distances: DataFrame, components: int = 4, pad_to: int | None = 256) ->
     return distances.groupBy("aln_id").applyInPandas(run, "aln_id string, species_idx int, coords array<float>")
 
 
+def _of_group(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """``rows`` with what their group has, null where it has nothing; a null is a group too."""
+    return rows.join(groups.withColumnRenamed(by, "__group"), F.col(by).eqNullSafe(F.col("__group")), "left").drop("__group")
+
+
+def _moments(points: DataFrame, by: str, vector: str) -> DataFrame:
+    """``by, n, mean`` of the groups of ``points``."""
+    cells = points.select(by, F.posexplode(F.col(vector)).alias("at", "x")).groupBy(by, "at").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count("*").alias("n"))
+    means = cells.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mean"))), lambda c: c.mean).alias("mean"))
+    return _of_group(points.groupBy(by).agg(F.count("*").alias("n")), means, by).withColumn("mean", F.coalesce("mean", F.array().cast("array<double>")))
+
+
+def points_mds(points: DataFrame, by: str, key: str, vector: str, components: int = 4) -> DataFrame:
+    """``by, key, coords`` of points given as vectors: what ``classical_mds`` finds on the matrix of a group's Euclidean distances, without that matrix.
+
+    The doubly centred matrix of squared distances is that of the centred points' products, so its positive eigenvalues are those of the vectors' own
+    scatter matrix, and a point's coordinates are its products with that one's axes. The scatter is summed up over pieces of some ``PIECE`` points."""
+    groups = written(_moments(points, by, vector), "moments")
+    placed = _of_group(points.select(by, key, F.col(vector).alias("__x")), groups, by)
+    piece = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / PIECE)).alias("__piece")
+
+    def scatter(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame["__x"].to_numpy()).astype(np.float64) - frame["mean"].iloc[0]
+        return pd.DataFrame({by: frame[by].iloc[:1], "sums": [(x.T @ x).ravel()]})
+
+    def axes(frame: pd.DataFrame) -> pd.DataFrame:
+        size = math.isqrt(len(frame["sums"].iloc[0]))
+        values, vectors = np.linalg.eigh(np.asarray(frame["sums"].iloc[0]).reshape(size, size))
+        top = [vectors[:, i] for i in np.argsort(values)[::-1][:components] if values[i] > 0]
+        return pd.DataFrame({by: frame[by].iloc[:1], "axes": [np.concatenate(top) if top else np.zeros(0)]})
+
+    kind = points.schema[by].dataType.simpleString()
+    big = placed.where(F.col("n") > components)
+    sums = big.select(by, piece, "__x", "mean").groupBy(by, "__piece").applyInPandas(scatter, f"{by} {kind}, sums array<double>")
+    sums = sums.select(by, F.posexplode("sums").alias("at", "s")).groupBy(by, "at").agg(F.sum("s").alias("s"))
+    sums = sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda c: c.s).alias("sums"))
+    found = written(sums.groupBy(by).applyInPandas(axes, f"{by} {kind}, axes array<double>"), "axes")
+    centred = F.transform(F.arrays_zip("__x", "mean"), lambda c: c["__x"].cast("double") - c["mean"])
+    product = lambda k: F.aggregate(F.zip_with("__c", F.slice("axes", F.size("__c") * k + 1, F.size("__c")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    coords = F.array(*(F.when(F.size("axes") > F.size("__c") * k, product(k)).otherwise(0.0) for k in range(components)))
+    raw = _of_group(placed, found, by).withColumn("__c", centred).select(by, key, F.coalesce(F.when(F.col("axes").isNotNull(), coords), F.array_repeat(F.lit(0.0), components)).alias("coords"))
+    raw = written(raw, "coordinates")
+    sign = raw.groupBy(by).agg(*(F.signum(F.max_by(F.element_at("coords", k + 1), F.abs(F.element_at("coords", k + 1)))).alias(f"__s{k}") for k in range(components)))
+    return _of_group(raw, sign, by).select(by, key, F.array(*(F.element_at("coords", k + 1) * F.col(f"__s{k}") for k in range(components))).alias("coords"))
+
+
 def hky_lengths(parent: list[int], tips: dict[int, np.ndarray], rounds: int = 3, kappa: float = 2.0) -> np.ndarray:
     """Maximum-likelihood branch lengths of a fixed topology under HKY85 with empirical base frequencies.
 

@@ -127,6 +127,24 @@ def test_mds(spark):
     assert round(padded[0].coords[0], 3) != -3.2
 
 
+def test_mds_of_points(spark, monkeypatch):
+    """Pieces of ten points, a group of three, one without a label and one far from the origin, against the matrix of distances."""
+    monkeypatch.setattr(tree, "PIECE", 10)
+    rng = np.random.default_rng(3)
+    x = {g: rng.normal(size=(n, 7)) * np.arange(7, 0, -1) + at for g, n, at in ((1, 60, 0.0), (2, 3, 0.0), (None, 25, 0.0), (3, 40, 1e6))}
+    rows = [(g, i, p.tolist()) for g, part in x.items() for i, p in enumerate(part)]
+    got = {(r.g, r.id): r.coords for r in tree.points_mds(spark.createDataFrame(rows, "g int, id long, v array<double>"), "g", "id", "v").collect()}
+    for g, part in x.items():
+        want = tree.classical_mds(np.sqrt(((part[:, None] - part[None]) ** 2).sum(-1)))
+        assert np.allclose([got[g, i] for i in range(len(part))], want, atol=1e-4)
+
+
+def test_mds_needs_no_matrix_of_distances(spark):
+    """20,000 points of one group, whose differences alone would take 205 GB."""
+    points = spark.range(20_000).selectExpr("0 AS g", "id", "transform(sequence(1, 64), k -> sin(id * k)) AS v")
+    assert tree.points_mds(points, "g", "id", "v").agg(F.sum(F.col("coords")[0])).first()[0] == pytest.approx(0, abs=1e-6)
+
+
 def test_branch_lengths(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 4, 600)
