@@ -109,6 +109,29 @@ def test_training_learns(spark):
     assert best is not None and last.roc_auc > 0.9 and last.loss < 1
 
 
+def test_attention_in_blocks():
+    """Blocks of three queries and keys, in two sets of keys, against the whole matrix; scores of up to some thousands."""
+    rng = np.random.default_rng(4)
+    x, place = rng.normal(size=(11, 4)) * 40, rng.permutation(11) * 3.0
+    far, values = np.abs(place[:, None] - place[None]), rng.normal(size=(11, 2))
+    one = model.Value(x[None, None])
+    want = model.row_attention(one, one, model.Value(values[None, None]), far[None], model.Value(np.ones((1, 1, 1, 1)))).data[0, 0]
+    parts = [model.attention_sums(x, x[a:b], values[a:b], lambda i, j, m, n, a=a, b=b: far[i:j, a:b][:, m:n], step=3) for a, b in ((0, 7), (7, 11))]
+    top = np.maximum(parts[0][0], parts[1][0])
+    total, out = (sum(p[c] * np.exp(p[0] - top).reshape(-1, *[1] * (c - 1)) for p in parts) for c in (1, 2))
+    assert np.allclose(out / total[:, None], want, atol=1e-12)
+
+
+def test_a_labels_embeddings_meet_in_blocks(spark, monkeypatch):
+    """Blocks of seven embeddings give what one block gives."""
+    from clademill.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(tuple(r) for r in Q.q27_attention_head(spark, sf).collect())
+    monkeypatch.setattr(Q, "HEAD_ROWS", 7)
+    assert np.allclose(sorted(tuple(r) for r in Q.q27_attention_head(spark, sf).collect()), whole, rtol=0, atol=1.1e-5)
+
+
 def test_no_site_carries_a_matrix(spark):
     sites = spark.createDataFrame([("a", i, [1, 2], [1, 2]) for i in range(1, 5)], "aln_id string, site int, codon_toks array<int>, aa_toks array<int>")
     shapes = spark.createDataFrame([("a", 2, [0.0, 1.0, 1.0, 0.0], [0.1] * 8)], "aln_id string, n_species int, dists array<double>, coords array<double>")
