@@ -132,6 +132,27 @@ def test_a_labels_embeddings_meet_in_blocks(spark, monkeypatch):
     assert np.allclose(sorted(tuple(r) for r in Q.q27_attention_head(spark, sf).collect()), whole, rtol=0, atol=1.1e-5)
 
 
+def test_scores_in_small_arrays(spark, monkeypatch):
+    """A row of scores at a time, distances made from places, with and without padding, against the whole forward pass; no alignment is broadcast."""
+    rng = np.random.default_rng(6)
+    w, places = model.seeded_weights(SMALL), rng.random(7) * 4
+    values = {k: model.Value(v) for k, v in w.items()}
+    for size in (7, 9):
+        codons, aas, mask = rng.integers(0, 66, (5, size, 1)), rng.integers(0, 23, (5, size, 1)), np.arange(size) >= 7
+        far, coords = np.zeros((size, size)), rng.random((size, 4))
+        far[:7, :7] = np.abs(places[:, None] - places[None])
+        want = model.forward(values, SMALL, codons, aas, far, coords, mask).data
+        monkeypatch.setattr(model, "MOST_SCORES", 3)
+        for dist in (far, model.Line(places, size)):
+            assert np.allclose(model.predict(w, SMALL, codons, aas, dist, coords, mask), want, atol=1e-12)
+        monkeypatch.undo()
+    assert model.Value.remembers
+    sites = spark.createDataFrame([("a", 1, [1, 2], [1, 2])], "aln_id string, site int, codon_toks array<int>, aa_toks array<int>")
+    shapes = spark.createDataFrame([("a", 2, [0.0, 1.0], [0.1] * 8)], "aln_id string, n_species int, places array<double>, coords array<double>")
+    scored = model.score_sites(sites, shapes, w, SMALL)
+    assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_site_carries_a_matrix(spark):
     sites = spark.createDataFrame([("a", i, [1, 2], [1, 2]) for i in range(1, 5)], "aln_id string, site int, codon_toks array<int>, aa_toks array<int>")
     shapes = spark.createDataFrame([("a", 2, [0.0, 1.0, 1.0, 0.0], [0.1] * 8)], "aln_id string, n_species int, dists array<double>, coords array<double>")
