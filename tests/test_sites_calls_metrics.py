@@ -133,3 +133,22 @@ def test_subsample_by_selection(spark):
         assert found.columns == ["id", "x"] and sorted(r.id for r in found.collect()) == sorted(order[:limit])
     plan = metrics.subsample(rows, "id", 700)._jdf.queryExecution().toString()
     assert "GlobalLimit" not in plan and "TakeOrdered" not in plan
+
+
+def test_residues_are_counted_without_a_row_a_codon(spark, monkeypatch):
+    """Against rows of codons, with tables that are handed on early, odd characters and short sequences."""
+    from clademill.functions import codon as C
+
+    monkeypatch.setattr(sites, "MOST_CELLS", 50)
+    seqs = ["ATGTCATAA", "atgAGCTGGAC", "é☃GTTTTCN-", "", None, "AC", "---TTTTTTGGG", "TTT" * 9, "😀TTTTT", "UUUTTT"]
+    table = spark.createDataFrame([("ab"[i % 2], x) for i, x in enumerate(seqs * 3)], "aln_id string, seq string")
+    rows = sites.explode_sites(table).select("aln_id", "site", C.translate_codon(F.col("codon")).alias("aa")).where("aa NOT IN ('?', '*')")
+    want = {(r.aln_id, r.site, r.aa): r["count"] for r in rows.groupBy("aln_id", "site", "aa").count().collect()}
+    counts = sites.residue_counts(table)
+    assert {(r.aln_id, r.site, x): r[f"n_{x}"] for r in counts.collect() for x in sites.RESIDUES if r[f"n_{x}"]} == want
+    pairs = {}
+    for (aln, site, a), n in want.items():
+        for b in (x for x in sites.RESIDUES if x >= a):
+            pairs[aln, a, b] = pairs.get((aln, a, b), 0) + n * want.get((aln, site, b), 0)
+    assert {(r.aln_id, r.aa1, r.aa2): r.pairs for r in sites.residue_pairs(counts).collect()} == {k: n for k, n in pairs.items() if n}
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
